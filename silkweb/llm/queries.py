@@ -7,17 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silkweb.llm import bpe, exact_dedup, mixing, sharding
+from silkweb.llm import bpe, exact_dedup, mixing, sharding, unigram, urlfilter
 from silkweb.llm.common import table
+from silkweb.llm.urlfilter import Rule
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+URL_RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every document."""
+    return unigram.token_counts(table(spark, sf_dir, "documents"), PIECES)
+
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document."""
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
@@ -34,7 +48,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op6_exact_dedup, op7_byte_bpe, op10_shard)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
