@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silkweb.llm import bpe, exact_dedup, mixing, sharding, unigram, urlfilter
+from silkweb.llm import bpe, exact_dedup, mixing, quality, sharding, unigram, urlfilter
 from silkweb.llm.common import table
 from silkweb.llm.urlfilter import Rule
 
@@ -42,13 +42,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op10_shard)}
+    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op9_quality, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
