@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silkweb.llm import bpe, exact_dedup, mixing, quality, sharding, unigram, urlfilter
+from silkweb.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, unigram, urlfilter
 from silkweb.llm.common import table
 from silkweb.llm.urlfilter import Rule
 
@@ -22,6 +22,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.digest(table(spark, sf_dir, "documents"))
@@ -53,7 +58,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_mix_sources, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op9_quality, op10_shard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_dedup, op3_mix_sources, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op9_quality, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
