@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silkweb.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, unigram, urlfilter
+from silkweb.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, unigram, urlfilter, vectors
 from silkweb.llm.common import table
 from silkweb.llm.urlfilter import Rule
 
@@ -32,6 +32,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
@@ -58,7 +63,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_minhash_dedup, op3_mix_sources, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op9_quality, op10_shard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_dedup, op3_mix_sources, op4_vector_dedup, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op9_quality, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
