@@ -80,9 +80,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes and start offsets of the words in a buffer of bytes, A-Z lower-cased."""
+    return hashed_words(data)[:2]
+
+
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with the last two bytes of each word (256 times the last, plus the one before or 0)."""
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     space = _IS_SPACE[data]
     edge = np.flatnonzero(np.diff(space)) + 1
     if not space[0]:
@@ -93,7 +98,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _Powers.upto(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+    tail = _LOWER[data[end - 1]].astype(np.int64) * 256 + np.where(end - start > 1, _LOWER[data[end - 2]], 0)
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, tail
 
 
 def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -128,20 +134,26 @@ def row_words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.n
 
     A row that is longer than a step is a run of its own, hashed slice by slice.
     """
+    for row, upto, words, counts, _ in row_words_and_tails(data, at):
+        yield row, upto, words, counts
+
+
+def row_words_and_tails(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``row_words``, with the words' last bytes as ``hashed_words`` gives them."""
     row, rows = 0, len(at) - 1
     while row < rows:
         upto = max(row + 1, int(np.searchsorted(at, at[row] + STEP_BYTES, "right")) - 1)
         lo, hi = int(at[row]), int(at[upto])
         if upto == row + 1 and hi - lo > STEP_BYTES:
-            parts = [word_hashes(data[a:b])[0] for a, b in _slices(data, lo, hi)]
-            words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            yield row, upto, words, np.array([len(words)])
+            parts = [hashed_words(data[a:b]) for a, b in _slices(data, lo, hi)]
+            words, tails = (np.concatenate([x[k] for x in parts]) for k in (0, 2))
+            yield row, upto, words, np.array([len(words)]), tails
         else:
             # A space after each row keeps words of neighbours apart.
             ends = at[row + 1 : upto + 1] - lo
             run = np.insert(data[lo:hi], ends, 32)
-            words, start = word_hashes(run)
-            yield row, upto, words, np.diff(np.searchsorted(start, np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))))
+            words, start, tails = hashed_words(run)
+            yield row, upto, words, np.diff(np.searchsorted(start, np.concatenate(([0], ends + np.arange(1, len(ends) + 1))))), tails
         row = upto
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silkweb.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, unigram, urlfilter, vectors
+from silkweb.llm import bpe, exact_dedup, maxent, minhash, mixing, quality, sharding, unigram, urlfilter, vectors
 from silkweb.llm.common import table
 from silkweb.llm.urlfilter import Rule
 
@@ -52,6 +52,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document."""
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity and verdict of every document."""
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -63,7 +68,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_minhash_dedup, op3_mix_sources, op4_vector_dedup, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op9_quality, op10_shard)}
+    return {f.__name__: f for f in (op1_token_counts, op2_minhash_dedup, op3_mix_sources, op4_vector_dedup, op5_url_filter, op6_exact_dedup, op7_byte_bpe, op8_lm_score, op9_quality, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
