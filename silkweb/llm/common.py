@@ -160,6 +160,18 @@ def row_words_and_tails(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int,
 # --- relational helpers ------------------------------------------------------------------------------------------------
 
 
+def least_hashes(df: DataFrame, by: str, n: int) -> DataFrame:
+    """At most n rows: those whose ``by`` has the least hashes, the same ones on every run.
+
+    A cut by hash, from the number of rows, leaves little more than n before they are sorted, however many there are.
+    """
+    rows = df.count()
+    share = 1.0 if rows <= n else min(1.0, (n + 10 * n**0.5 + 10) / rows)
+    cut = int(share * 2**62) * 2 - 2**62 if share < 1 else 2**63 - 1
+    code = F.xxhash64(by) if share >= 1 else F.shiftright(F.xxhash64(by), 1)
+    return df.where(code <= F.lit(cut)).orderBy(F.xxhash64(by), *df.columns).limit(n)
+
+
 def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, name: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row within ``keys``, in the order (bucket, order).
 

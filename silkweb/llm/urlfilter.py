@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silkweb.llm.common import least_hashes
+
 #: Most labelled URLs that the trees are fitted on: those with the least hashes.
 SAMPLE = 20_000
 TREES = 40
@@ -207,7 +209,7 @@ class Model:
 def train(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled URLs, taken by the hash of the URL so that reruns agree."""
     known = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(url, F.col(label).cast("int").alias("y"))
-    rows = known.orderBy(F.xxhash64(url), url, "y").limit(sample).toPandas()
+    rows = least_hashes(known, url, sample).toPandas()
     urls, y = list(rows[url]), rows["y"].to_numpy(float)
     rates = Rates.of(urls, y)
     return Model(rates, fit(features(urls, rates), y))
