@@ -5,14 +5,15 @@ vocabulary match, keeps it if it is compatible with the token before it, else tr
 back where none fits. Positions that failed are remembered, so each is left at most once and time is linear in the
 piece. Compatibility of two neighbours is found by undoing their merges along the split and is memoised.
 
-Matches come from an Aho-Corasick automaton over the vocabulary; bytes stand in it as the Latin-1 characters of the
-same codes.
+Longest matches come from the trie of pyahocorasick over the vocabulary; bytes stand in it as the Latin-1 characters of
+the same codes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array as packed
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,30 +22,51 @@ from pyspark.sql import types as T
 
 from silkweb.llm.common import small_batches
 
-#: Pieces that a worker remembers with their ids; beyond it the memory starts anew.
-MOST_PIECES = 400_000
+#: Pieces that a worker remembers with their ids: the first it meets, which the frequent ones are among.
+MOST_PIECES = 700_000
 #: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 64
 
 
+class _Uneven(Exception):
+    """White space that isn't one blank or line feed between other characters."""
+
+
 class Pieces(dict):
-    """Piece (text) -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, bpe: BytePairs) -> None:
         super().__init__()
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        import numpy as np
-
-        out = np.array(self.bpe.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= MOST_PIECES:
-                self.clear()
+        out = packed("I", self.bpe.encode_piece(piece.encode())).tobytes()
+        if len(piece) <= LONGEST_REMEMBERED and len(self) < MOST_PIECES:
             self[piece] = out
         return out
 
 
+class Words(dict):
+    """Word -> ids of its pieces, with what stands before it."""
+
+    def __init__(self, bpe: BytePairs, before: str) -> None:
+        super().__init__()
+        self.bpe, self.before = bpe, before
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or self.bpe.space(word[0]) or self.bpe.space(word[-1]):
+            raise _Uneven
+        if word.isalpha():  # letters are one piece
+            out = packed("I", self.bpe.encode_piece((self.before + word).encode())).tobytes()
+        elif word[-1] in ".,!?;:" and word[:-1].isalpha():  # and a mark after them is another
+            out = self[word[:-1]] + self.bpe.pieces[word[-1]]
+        else:
+            out = self.bpe.encode_pieces(self.before + word)
+        if len(word) <= LONGEST_REMEMBERED and len(self) < MOST_PIECES:
+            self[word] = out
+        return out
+
+
 class BytePairs:
     """The tokenizer of a rank file: ranks in merge order, ids equal to ranks."""
 
@@ -54,7 +76,13 @@ class BytePairs:
 
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.rank_of: dict[str, int] = {}  # as Latin-1, of those that merges make
         self.find = regex.compile(pattern).findall
+        self.space = regex.compile(r"\s").match
+        # One blank before a word is part of the word's first piece, and a line feed before one is a piece: then words
+        # can be split off first and remembered whole. So it is for a pattern that cuts these probes in this way.
+        probes = {"a b": ["a", " b"], "a\nb": ["a", "\n", "b"], ". 1": [".", " 1"], "1\n'": ["1", "\n", "'"], "' 's": ["'", " '", "s"], "ab é.": ["ab", " é", "."]}
+        self.by_word = all(self.find(probe) == cut for probe, cut in probes.items())
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -66,10 +94,13 @@ class BytePairs:
                     continue  # merges never make it; only a piece that equals it has it
                 self.merged[pair] = rank
                 self.halves[rank] = pair
-            automaton.add_word(word.decode("latin-1"), (len(word), rank))
-        automaton.make_automaton()
-        self.matches = automaton.iter
-        self.pieces = Pieces(self)
+            self.rank_of[word.decode("latin-1")] = rank
+        for word in self.rank_of:
+            automaton.add_word(word, len(word))
+        self.longest = automaton.longest_prefix
+        self.reach = max(map(len, self.rank_of))
+        self.pieces, self.line_feed = Pieces(self), packed("I", self.encode_piece(b"\n")).tobytes()
+        self.words, self.first_words = Words(self, " "), Words(self, "")
 
     def _last_merge(self, word: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes the token, found by merging its bytes with the lower ranks."""
@@ -121,40 +152,52 @@ class BytePairs:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        here: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # matches by start, the longest last
-        for end, match in self.matches(piece.decode("latin-1")):
-            here[end + 1 - match[0]].append(match)
+        latin, n = piece.decode("latin-1"), len(piece)
+        rank_of, fits, longest, reach = self.rank_of.get, self.fits.get, self.longest, self.reach
         dead = bytearray(n + 1)
         out: list[int] = []
         sizes: list[int] = []
-        tries = [len(here[0])]
-        at = 0
-        while at < n:
-            options, k = here[at], tries[-1]
-            found = False
-            while k:
-                k -= 1
-                size, token = options[k]
-                if not dead[at + size] and (not out or self._compatible(out[-1], token)):
-                    found = True
-                    break
-            if found:
-                tries[-1] = k
-                out.append(token)
-                sizes.append(size)
-                at += size
-                tries.append(len(here[at]) if at < n else 0)
+        at, last, size = 0, -1, longest(latin[:reach])
+        while True:
+            while size:
+                token = rank_of(latin[at : at + size])
+                if token is not None and not dead[at + size]:
+                    if last < 0:
+                        break
+                    good = fits((last, token))
+                    if good or good is None and self._compatible(last, token):
+                        break
+                size -= 1
             else:
                 dead[at] = 1
-                tries.pop()
                 out.pop()
-                at -= sizes.pop()
-        return out
+                last = out[-1] if out else -1
+                size = sizes.pop()
+                at -= size
+                size -= 1
+                continue
+            out.append(token)
+            at += size
+            if at == n:
+                return out
+            sizes.append(size)
+            last, size = token, longest(latin[at : at + reach])
+
+    def encode_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        if self.by_word and text:
+            try:
+                lines = []
+                for line in text.split("\n"):
+                    first, *rest = line.split(" ")
+                    lines.append(self.first_words[first] + b"".join(map(self.words.__getitem__, rest)))
+                return self.line_feed.join(lines)
+            except _Uneven:
+                pass
+        return self.encode_pieces(text)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
