@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silkweb.llm.common import components, mix, small_batches
+from silkweb.llm.common import components, mix, partitions, small_batches
 from silkweb.llm.minhash import _spanning
 from silkweb.sources.shared import written
 
@@ -28,6 +28,8 @@ STRANGERS = 4.0
 #: Chance that a pair right at the least cosine meets in some table.
 RECALL = 0.9
 BLOCK_ROWS = 1024
+#: Rows of small buckets that are compared in one go, about.
+BIN_ROWS = 4096
 SEED = 11
 
 
@@ -110,32 +112,37 @@ def _codes(reps: DataFrame, directions: int, tables: int) -> DataFrame:
 
 
 def _compared(batch):
-    """Links of one block, or across a pair of blocks: per vector their number and a vector of its component."""
+    """Links within buckets, or across a pair of a bucket's blocks: per vector their number and one of its component."""
     import pyarrow as pa
 
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
-    ids = batch.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
+    t, code, ids = (batch.column(c).to_numpy() for c in ("t", "code", "id"))
+    order = np.lexsort((ids, code, t))
+    t, code, ids = t[order], code[order], ids[order]
     units = _rows(batch.column("vector").combine_chunks())
-    x = np.stack([units[k] for k in order])
-    ids, side, copies = ids[order], batch.column("side").to_numpy()[order], batch.column("copies").to_numpy()[order]
-    linked = x @ x.T >= COSINE
-    linked &= side[:, None] != side[None, :] if side.any() else ~np.eye(len(x), dtype=bool)
-    earlier = batch.column("codes").combine_chunks()
-    tables = batch.column("t")[0].as_py()
-    earlier = earlier.flatten().to_numpy().reshape(len(ids), -1)[order, :tables]
-    for t in range(tables):
-        if not linked.any():
-            break
-        linked &= earlier[:, t][:, None] != earlier[:, t][None, :]
-    some = np.flatnonzero(linked.any(axis=1))
-    if not len(some):
-        return schema.empty_table()
-    linked = linked[np.ix_(some, some)]
-    root = ids[some].copy()
-    a, b = _spanning(linked)
-    root[a] = ids[some][b]
-    return pa.table({"id": ids[some], "n": linked @ copies[some], "root": root}, schema=schema)
+    side, copies = batch.column("side").to_numpy()[order], batch.column("copies").to_numpy()[order]
+    earlier = batch.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+    edge = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (code[1:] != code[:-1]), [True])))
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        x = np.stack([units[k] for k in order[lo:hi]])
+        linked = x @ x.T >= COSINE
+        if side[lo:hi].any():
+            linked &= side[lo:hi, None] != side[None, lo:hi]
+        else:
+            np.fill_diagonal(linked, False)
+        for k in range(t[lo]):
+            if not linked.any():
+                break
+            linked &= earlier[lo:hi, k][:, None] != earlier[lo:hi, k][None, :]
+        some = np.flatnonzero(linked.any(axis=1))
+        if len(some):
+            linked, own = linked[np.ix_(some, some)], ids[lo:hi][some]
+            root = own.copy()
+            at, first = _spanning(linked)
+            root[at] = own[first]
+            found.append((own, linked @ copies[lo:hi][some], root))
+    columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3)]
+    return pa.table(dict(zip(("id", "n", "root"), columns)), schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -158,13 +165,17 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     coded = written(_codes(reps, directions, tables), "vector-codes")
     places = coded.select("id", F.posexplode("codes").alias("t", "code"))
     buckets = places.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = written(buckets.select("t", "code", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "vector-buckets")
-    met = places.join(buckets, ["t", "code"]).withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("blocks")).cast("int"))
+    buckets = written(buckets.select("t", "code", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "vector-buckets")
+    small = buckets.where("blocks = 1").agg(F.sum("n")).first()[0] or 0
+    bins = max(partitions(spark), -(-small // BIN_ROWS))
+    met = places.join(buckets.drop("n"), ["t", "code"]).withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = F.struct("t", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    # Small buckets share bins, so that a task compares many at a time; of a large one, each block meets each.
+    bin_of = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "code"), F.lit(bins)))
+    place = F.struct(bin_of.alias("bin"), F.when(bin_of.isNull(), F.struct("t", "code")).alias("bucket"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "t", "code", (F.col("own") > F.col("other")).cast("int").alias("side"))
     placed = met.groupBy("id").agg(F.collect_list(place).alias("places"))
     sent = coded.join(placed, "id").select("id", "vector", "copies", "codes", F.explode("places").alias("p")).select("id", "vector", "copies", "codes", "p.*")
-    links = written(sent.groupBy("t", "code", "low", "high").applyInArrow(_compared, "id long, n long, root long"), "vector-links")
+    links = written(sent.groupBy("bin", "bucket", "low", "high").applyInArrow(_compared, "id long, n long, root long"), "vector-links")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     found = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-components")
     of_class = classes.join(counts, F.col("rep") == F.col("id"), "left").join(found, F.col("rep") == F.col("node"), "left")
