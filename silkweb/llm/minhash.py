@@ -115,7 +115,7 @@ def _common(sets: list[np.ndarray], most_sparse: int = 24) -> np.ndarray:
 
 
 def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of a symmetric boolean matrix: each node with the first of its component."""
+    """A spanning forest of a symmetric boolean matrix: each node with the first of its component."""
     left, a, b = np.ones(len(linked), bool), [], []
     for first in range(len(linked)):
         if not left[first]:
@@ -131,7 +131,7 @@ def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of spanning links between similar sets. ``side``: sets of a pair of blocks are compared only across,
+    """Positions of pairs that span the components of similar sets. ``side``: sets of a pair of blocks are compared only across,
     0 with 1; sets of one block (all 0) with each other."""
     none = np.empty(0, int), np.empty(0, int)
     across = side[:, None] != side[None, :] if side.any() else ~np.eye(len(sets), dtype=bool)
@@ -147,7 +147,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray,
 
 
 def _verified(texts: DataFrame, lists: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Spanning links (a, b) between similar documents among those that lists bring together."""
+    """Pairs (a, b) that span the components of similar documents among those that lists bring together."""
     lists = written(lists, "near-lists")
     heads = lists.groupBy("value").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     joined = lists.join(heads, "value").select(F.col("id").alias("a"), F.col("head").alias("b"))
@@ -170,7 +170,8 @@ def _verified(texts: DataFrame, lists: DataFrame, sizes: DataFrame) -> DataFrame
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
     placed = placed.groupBy("id").agg(F.collect_list(F.struct("group", "low", "high", "side")).alias("places"))
-    rows = texts.join(placed, "id").select("id", "text", F.explode("places").alias("p")).select("id", "text", "p.*")
+    # Candidates have no bound, so they are not to be broadcast, and the plan is the same at every size.
+    rows = texts.join(placed.hint("merge"), "id").select("id", "text", F.explode("places").alias("p")).select("id", "text", "p.*")
 
     def compare(batch):
         import pyarrow as pa
@@ -211,4 +212,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, one document per component, with all their columns."""
     gone = near_duplicates(df, key, text).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return df.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti")
