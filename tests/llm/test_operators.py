@@ -319,8 +319,11 @@ def test_lm_learns_context(spark):
 
 def test_lm_probabilities_add_up():
     rng = np.random.default_rng(0)
-    z = maxent._log_softmax(rng.standard_normal((maxent.ROWS, 9)).astype(np.float32), np.array([[1, 2], [3, 4], [5, 6]]))
-    assert np.allclose(np.exp(z).sum(1), 1, atol=1e-5)
+    softmax = maxent.Softmax(rng.uniform(1, 9, 60))
+    weights = rng.standard_normal((maxent.ROWS * (1 + maxent.GROUP), maxent.GROUP)).astype(np.float32)
+    features = np.tile(np.array([[1], [3], [5]]), (1, 64))
+    assert abs(np.exp(softmax.log_p(weights, features, np.arange(64))).sum() - 1) < 1e-5
+    assert np.allclose(np.exp(softmax.log_p(0 * weights, features, np.arange(64))).sum(), 1)
 
 
 # --- quality -----------------------------------------------------------------------------------------------------------
