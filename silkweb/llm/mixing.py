@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal blocks of words.
 
 The documents of each source, in a seeded shuffle, form one stream of words that is cut in blocks of equal size. A
-schedule of slots follows: slot k takes from the source in whose share of the cumulative weights the golden-ratio point
-frac(k * phi) falls, so every stretch of the mix holds the sources close to their weights. The r-th slot of a source
-takes block r of its stream, starting over when the stream ends.
+schedule of slots follows: slot k takes from the source in whose share of the cumulative blocks due the golden-ratio
+point frac(k * phi) falls, so every stretch of the mix holds the sources close to their weights. The r-th slot of a
+source takes block r of its stream, starting over when the stream ends. At the end each source's remainder is settled:
+it takes the blocks that it still lacks, and of its last one as many words as are due.
 """
 
 from __future__ import annotations
@@ -54,21 +55,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: i
     return left.withColumn("target", F.least(F.coalesce(level * F.col("weight"), F.col("full")), F.col("full"))).select("source", "source_size", "source_no", "weight", "target")
 
 
-def schedule(spark, sources: DataFrame, block_words: int, slots: int) -> DataFrame:
-    """(source_no, slot, block, pass) of every slot that takes a block; ``sources`` as ``targets`` returns them."""
+def schedule(spark, sources: DataFrame) -> DataFrame:
+    """(source_no, slot, block, pass) of every slot that takes a block; ``sources`` as ``in_blocks`` returns them.
+
+    A source has as many slots as it takes blocks: those that the points give it beyond that are left out, and those
+    that it lacks (few, as the points are even) follow after the last point.
+    """
     whole = Window.partitionBy()
     before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    some = sources.where("target > 0")
-    low = some.select("source_no", "source_size", (F.coalesce(F.sum("target").over(before), F.lit(0.0)) / F.sum("target").over(whole)).alias("low"))
+    some = sources.where("takes > 0")
+    slots = some.agg(F.sum("takes")).first()[0] or 0
+    low = some.select("source_no", "blocks", "takes", (F.coalesce(F.sum("share").over(before), F.lit(0.0)) / F.sum("share").over(whole)).alias("low"))
     shares = low.withColumn("high", F.coalesce(F.lead("low").over(Window.orderBy("source_no")), F.lit(1.0)))
     cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1).cast("long")))))
     point = F.col("slot") * PHI
     points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("u", point - F.floor(point))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
-    taken = points.join(cells, "cell").where("u >= low AND u < high").select("source_no", "source_size", "slot", F.lit(1).alias("one"), F.floor(F.col("slot") / SLOTS_PER_CHUNK).alias("chunk"))
-    ranked = running_sum(taken, ["source_no"], "chunk", [F.col("slot")], "one", "rank")
-    blocks = F.ceil(F.col("source_size") / block_words)
-    return ranked.select("source_no", "slot", (F.col("rank") % blocks).alias("block"), F.floor(F.col("rank") / blocks).alias("pass"))
+    taken = points.join(cells, "cell").where("u >= low AND u < high").select("source_no", "blocks", "takes", "slot", F.lit(1).alias("one"), F.floor(F.col("slot") / SLOTS_PER_CHUNK).alias("chunk"))
+    ranked = running_sum(taken, ["source_no"], "chunk", [F.col("slot")], "one", "rank").where("rank < takes")
+    given = taken.groupBy("source_no").agg(F.count("*").alias("given"))
+    lacking = some.join(given, "source_no", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < takes")
+    lacking = lacking.select("source_no", "blocks", F.explode(F.sequence(F.col("given"), F.col("takes") - 1)).alias("rank"))
+    slot = F.lit(slots) + F.col("rank")
+    every = ranked.select("source_no", "blocks", "slot", "rank").union(lacking.select("source_no", "blocks", slot, "rank"))
+    return every.select("source_no", "slot", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("pass"))
+
+
+def in_blocks(sources: DataFrame, block_words: int) -> DataFrame:
+    """``sources`` (as ``targets`` returns them) with due, the words to take; blocks, how many equal ones its stream is
+    cut in; share, the blocks that its due words make; and takes, those with the last, of which a part may be taken.
+
+    Block k holds the words from floor(k * source_size / blocks) on, so sizes differ by a word at most.
+    """
+    due = F.least(F.round("target").cast("long"), F.col("source_size") * MOST_PASSES)
+    cut = sources.where("source_size > 0").withColumns({"due": due, "blocks": F.ceil(F.col("source_size") / block_words)})
+    cut = cut.withColumn("share", F.col("due") * F.col("blocks") / F.col("source_size"))
+    # The block of the last word that is due, in its pass.
+    last = F.expr("(due - 1) div source_size * blocks + (((due - 1) % source_size + 1) * blocks - 1) div source_size")
+    return cut.withColumn("takes", F.when(F.col("due") > 0, last + 1).otherwise(F.lit(0).cast("long")))
 
 
 def passes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -88,13 +112,17 @@ def passes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         digits += 1
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     named = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.id", "d.size", "s.source_no", "s.source_size", "s.target")
-    mixed = named.where("size > 0").withColumn("code", code).withColumn("bucket", F.substring("code", 1, digits))
+    cut = in_blocks(sources, block)
+    mixed = named.where("size > 0").join(cut.select("source_no", "due", "blocks"), "source_no").withColumn("code", code).withColumn("bucket", F.substring("code", 1, digits))
     placed = running_sum(mixed, ["source_no"], "bucket", [F.col("code"), F.col("id"), F.col("size")], "size", "start")
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("start")))
-    pieces = pieces.withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")) - F.col("first"))
-    slots = schedule(spark, sources, block, -(-(words or 0) // block)).where(F.col("pass") < MOST_PASSES)
+    pieces = placed.withColumn("block", F.explode(F.expr("sequence(((start + 1) * blocks - 1) div source_size, ((start + size) * blocks - 1) div source_size)")))
+    pieces = pieces.withColumn("first", F.expr("greatest(0L, block * source_size div blocks - start)"))
+    pieces = pieces.withColumn("upto", F.expr("least(size, (block + 1) * source_size div blocks - start)"))
+    slots = schedule(spark, cut)
     same = pieces.join(slots, ["source_no", "block"], "left")
+    # In the pass that its due words end in, a source gives those before the end.
+    ended = F.least(F.col("upto"), F.col("due") - F.col("pass") * F.col("source_size") - F.col("start"))
+    same = same.withColumn("words", F.when(F.col("pass").isNotNull(), ended).otherwise(F.col("upto")) - F.col("first")).withColumn("pass", F.when(F.col("words") > 0, F.col("pass")))
     out = same.groupBy("source_no", "start", "id", "size", "source_size", "target", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
     unworded = named.where("size = 0").selectExpr("source_no", "CAST(NULL AS BIGINT) AS start", "id", "size", "source_size", "target", "CAST(NULL AS BIGINT) AS pass", "0L AS first", "0L AS words")
     return out.select(*unworded.columns).union(unworded)

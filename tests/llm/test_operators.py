@@ -238,6 +238,24 @@ def test_mix(spark, rows):
     assert mixing.digest(frame.limit(0)).count() == 0
 
 
+def test_mix_meets_targets_with_blocks_above_the_sources_sizes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 1)
+    rng, sizes = random.Random(12), {"a": 60_000, "b": 1100, "c": 100, "d": 7, "e": 40_001}
+    made, left = [], dict(sizes)
+    while any(left.values()):
+        s = rng.choice([s for s, n in left.items() if n])
+        n = min(left[s], rng.choice([1, 7, 90, 2500]))
+        left[s] -= n
+        made.append((len(made), words(rng, n), "en", s))
+    frame, want, source = docs(spark, made), plain_targets(sizes), {k: s for k, _, _, s in made}
+    for block in (1024, 100_000):
+        got, taken = collected(mixing.digest(frame, block_words=block)), collections.Counter()
+        for r in got:
+            taken[source[r["doc_id"]]] += r["taken"]
+        assert len(got) == len(made) and all(r["taken"] <= 3 * r["size"] for r in got)
+        assert all(abs(taken[s] - want[s]) <= 1 for s in want), (block, taken, want)
+
+
 # --- vectors -----------------------------------------------------------------------------------------------------------
 
 
