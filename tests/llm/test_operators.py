@@ -372,6 +372,28 @@ def test_quality(spark):
     assert all(r["kept"] for r in collected(quality.judged(frame, labels.limit(0)))) and quality.judged(frame.limit(0), labels).count() == 0
 
 
+def test_quality_finds_repeated_words(spark):
+    rng = random.Random(2)
+    clean = [(k, words(rng, 80), "en", "a") for k in range(120)]
+    repeated = [(500 + k, " ".join(w for w in rng.choices(WORDS, k=8) for _ in range(10)), "en", "a") for k in range(20)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in collected(quality.judged(docs(spark, clean + repeated), labels))}
+    assert all(kept[k] for k, *_ in clean) and not any(kept[k] for k, *_ in repeated)
+
+
+def test_quality_symbols_of_repeated_words(monkeypatch):
+    from silkweb.llm import common
+
+    text = "Der der\nder die  die. die " + "x" * 40 + " " + "x" * 40 + " no"
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = np.concatenate(list(quality._text_grams(data, 0, len(data))))
+    repeats = np.flatnonzero(whole % quality.SYMBOLS == quality.REPEAT)
+    assert list(repeats) == [3, 7, text.index("x x") + 1] and len(whole) == len(data)
+    for step in (4, 9, 30):
+        monkeypatch.setattr(common, "STEP_BYTES", step)
+        assert (np.concatenate(list(quality._text_grams(data, 0, len(data)))) == whole).all()
+
+
 # --- sharding ----------------------------------------------------------------------------------------------------------
 
 
