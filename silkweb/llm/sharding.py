@@ -32,8 +32,9 @@ def shuffled(df: DataFrame, key: str = "doc_id", size: str = "size", shards: int
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.xxhash64(*df.columns))), F.lit(n)).cast("int")
     record = F.struct(F.col(key).alias("_key"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(df.columns)])
     scattered = df.select(bucket.alias("bucket"), record.alias("record"))
+    spread = scattered.repartition(n, "bucket") if n > partitions(df.sparkSession) else scattered  # few buckets in a task
     # The order of buckets within a task fixes what each takes from the random generator, also when a task runs again.
-    packed = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records")).sortWithinPartitions("bucket")
+    packed = spread.groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records")).sortWithinPartitions("bucket")
     dealt = packed.select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one short row per bucket
     offsets = scattered.groupBy("bucket").count().select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
@@ -49,15 +50,21 @@ def shuffled(df: DataFrame, key: str = "doc_id", size: str = "size", shards: int
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard of every record; size is the text's bytes and one.
 
+    Whole rows go through the shuffle; size and CRC are taken from the texts that come out of it.
+
     The law that holds is ``rows``: counts of shards differ by one at most. A null text has no bytes and the CRC of none.
     """
+    placed = shuffled(_sized(df, text), key, "_size")
     plain = F.coalesce(F.col(text), F.lit(""))
-    records = df.select(F.col(key), (F.octet_length(plain) + 1).cast("long").alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32"))
-    return shuffled(records, key).select(key, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(plain) + 1).cast("long").alias("size")
+    return placed.select(key, size, F.crc32(plain.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sized(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_size", (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long"))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", rows_per_file: int = 200_000, **options) -> None:
     """Shuffle whole records and write them under ``path`` as Parquet, a folder per shard, files in slot order."""
-    sized = df.withColumn("_size", F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1)
-    placed = shuffled(sized, key, "_size", **options).drop("_size").withColumn("file", F.floor(F.col("slot") / rows_per_file))
+    placed = shuffled(_sized(df, text), key, "_size", **options).drop("_size").withColumn("file", F.floor(F.col("slot") / rows_per_file))
     placed.repartition("shard", "file").sortWithinPartitions("shard", "file", "slot").write.partitionBy("shard", "file").parquet(path)

@@ -410,3 +410,28 @@ def test_shards(spark, rows, tmp_path):
     assert sharding.digest(frame.limit(0)).count() == 0
     sharding.write_shards(frame.drop("slot"), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
+
+
+def test_shard_digest_is_of_the_texts_that_were_shuffled(spark, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    whole, columns = sharding.shuffled, []
+
+    def marked(df, *args, **options):
+        columns.extend(df.columns)
+        return whole(df, *args, **options).withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shuffled", marked)
+    got = collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in collected(sharding.digest(docs(spark, rows))))
+    marks = lambda t: b"" if t is None else t.encode() + b"!"
+    assert set(docs(spark, []).columns) <= set(columns)
+    assert got == collections.Counter((k, len(marks(t)) + 1, zlib.crc32(marks(t))) for k, t, *_ in rows)
+
+
+def test_shards_of_many_buckets(spark, rows):
+    from pyspark.sql import functions as F
+
+    frame = docs(spark, rows).drop("slot").withColumn("size", F.octet_length("text"))
+    placed = sharding.shuffled(frame, bucket_bytes=2000)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in collected(placed)) == collections.Counter((k, t) for k, t, *_ in rows)
+    assert sorted((r["slot"], r["shard"]) for r in collected(placed)) == [divmod(k, 8) for k in range(len(rows))]
