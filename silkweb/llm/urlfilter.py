@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silkweb.llm.common import least_hashes
+from silkweb.sources.shared import written
 
-#: Most labelled URLs that the trees are fitted on: those with the least hashes.
+#: Most distinct labelled URLs that the trees are fitted on: those with the least hashes.
 SAMPLE = 20_000
 TREES = 40
 DEPTH = 3
@@ -92,6 +93,13 @@ def first_part(url: str | None) -> str:
     return next((x for x in parts_of(url)[1].split("/") if x), "")[:32]
 
 
+def _rates(known: DataFrame, key: Column, base: float) -> dict[str, tuple[float, int]]:
+    """Smoothed shares of blocked URLs and numbers of URLs of the MOST_SUFFIXES most frequent keys, over all rows."""
+    sums = known.groupBy(key.alias("key")).agg(F.sum(F.col("y") * F.col("n")).alias("blocked"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_SUFFIX)
+    often = sums.orderBy(F.col("n").desc(), "key").limit(MOST_SUFFIXES).collect()
+    return {r["key"]: ((r["blocked"] + 4 * base) / (r["n"] + 4), r["n"]) for r in often}
+
+
 @dataclass
 class Rates:
     """Smoothed shares of blocked URLs by suffix of the host and by first part of the path."""
@@ -101,17 +109,12 @@ class Rates:
     base: float
 
     @staticmethod
-    def of(urls: list[str], labels: np.ndarray) -> Rates:
-        base = float(labels.mean()) if len(labels) else 0.5
-
-        def rates(keys: list[str]) -> dict[str, tuple[float, int]]:
-            seen: dict[str, list[float]] = {}
-            for key, y in zip(keys, labels):
-                seen.setdefault(key, []).append(float(y))
-            often = sorted((x for x in seen.items() if len(x[1]) >= LEAST_SUFFIX), key=lambda x: (-len(x[1]), x[0]))[:MOST_SUFFIXES]
-            return {k: ((sum(v) + 4 * base) / (len(v) + 4), len(v)) for k, v in often}
-
-        return Rates(rates([suffix_of(u) for u in urls]), rates([first_part(u) for u in urls]), base)
+    def of(known: DataFrame, url: str) -> Rates:
+        """Counted over all rows of ``known`` (url, y, and n of their copies)."""
+        blocked, rows = known.agg(F.sum(F.col("y") * F.col("n")), F.sum("n")).first()
+        base = blocked / rows if rows else 0.5
+        suffix, part = (F.udf(f, T.StringType())(F.col(url)) for f in (suffix_of, first_part))
+        return Rates(_rates(known, suffix, base), _rates(known, part, base), base)
 
 
 def features(urls: list[str | None], rates: Rates) -> np.ndarray:
@@ -207,11 +210,13 @@ class Model:
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled URLs, taken by the hash of the URL so that reruns agree."""
+    """Fit on at most ``sample`` distinct labelled URLs, taken by the hash of the URL so that reruns agree; shares of
+    suffixes and of first parts are counted over all labelled rows. A URL of both labels is there with each."""
     known = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(url, F.col(label).cast("int").alias("y"))
-    rows = least_hashes(known, url, sample).toPandas()
+    known = written(known.groupBy(url, "y").agg(F.count("*").alias("n")), "url-labels")
+    rows = least_hashes(known.select(url, "y"), url, sample).toPandas()
     urls, y = list(rows[url]), rows["y"].to_numpy(float)
-    rates = Rates.of(urls, y)
+    rates = Rates.of(known, url)
     return Model(rates, fit(features(urls, rates), y))
 
 

@@ -308,6 +308,19 @@ def test_url_trees_on_held_out_urls(spark):
     assert urlfilter.train(labelled, sample=50).blocks([None, ""]).shape == (2,)
 
 
+def test_url_trees_learn_beside_a_hot_url(spark):
+    rng = random.Random(13)
+    good = [f"https://{rng.choice(WORDS[:9])}.example.com/{rng.choice(WORDS)}/{rng.choice(WORDS)}" for _ in range(300)]
+    bad = [f"http://{rng.choice(WORDS[:9])}-{rng.randrange(10**6)}.shop.test/{rng.randrange(10**8)}?a={rng.randrange(99)}" for _ in range(300)]
+    hot = [f"https://hot{k}.example.com/" for k in range(40)]
+    labelled = spark.createDataFrame([*((u, 0) for u in good), *((u, 1) for u in bad), *((u, 0) for u in hot for _ in range(500))], "url string, blocked int")
+    model = urlfilter.train(labelled, sample=200)
+    held = [(u.replace("a", "e"), y) for y, group in ((False, good), (True, bad)) for u in group]
+    assert (model.blocks([u for u, _ in held]) == [y for _, y in held]).mean() > 0.95
+    assert model.rates.suffix["example.com"][1] == 300 + 40 * 500
+    assert model.rates.suffix["shop.test"][1] == 300
+
+
 # --- language model ----------------------------------------------------------------------------------------------------
 
 
