@@ -394,6 +394,15 @@ def test_quality_finds_repeated_words(spark):
     assert all(kept[k] for k, *_ in clean) and not any(kept[k] for k, *_ in repeated)
 
 
+def test_quality_gives_every_language_its_threshold(spark):
+    rng = random.Random(4)
+    made = [(k, words(rng, 20 + k % 30), f"l{k}", "a") for k in range(1050)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(1050)], "doc_id bigint, quality int, toxic int")
+    got = collected(quality.judged(docs(spark, made), labels))
+    near = lambda r: math.log(r["perplexity"]) + quality.SLACK * (r["symbols"] + quality.PRIOR) / r["symbols"]
+    assert len(got) == 1050 and all(abs(math.log(r["threshold"]) - near(r)) < 1e-6 for r in got)
+
+
 def test_quality_symbols_of_repeated_words(monkeypatch):
     from silkweb.llm import common
 
