@@ -153,13 +153,13 @@ def test_copies_are_neighbours_also_where_keys_repeat_and_groups_span_parts(spar
     frame = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        ranged = exact_dedup._in_parts(frame, F.col("text"), F.col("doc_id"), [exact_dedup.normalised(F.col("text")).alias("content")])
-        runs = collected(exact_dedup._runs(ranged, F.col("content"), ["content"]))
+        ranged = exact_dedup._in_parts(frame, F.col("text"), F.col("doc_id"), [exact_dedup.normalised(F.col("text")).alias("plain")])
+        runs = collected(exact_dedup._runs(ranged, F.col("plain"), ["plain"]))
         got = collected(exact_dedup.groups(frame))
         kept = collected(exact_dedup.kept_rows(frame))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert len({(r["part"], r["run"]) for r in runs}) == len({(r["part"], r["content"]) for r in runs})  # a run for each content of a part
+    assert len({(r["part"], r["run"]) for r in runs}) == len({(r["part"], r["plain"]) for r in runs})  # a run for each content of a part
     sizes = collections.Counter(r["part"] for r in runs)
     assert len(sizes) > 0.8 * parts and max(sizes.values()) < 2 * len(made) / parts + 20
     plain = collections.defaultdict(list)
