@@ -42,8 +42,12 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_SAME = np.arange(256, dtype=np.uint8)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: A second sum, modulo a prime: sums modulo 2**64 alone have known collisions (Thue-Morse words), whatever the base.
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 48_271
+#: Bytes whose products with powers below _PRIME add up within 64 bits.
+_EXACT = 1 << 24
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -57,18 +61,38 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, _PRIME)) % np.uint64(_PRIME)
+        done += step
+    return out
+
+
 class _Powers:
-    """Powers of the odd base and of its inverse modulo 2**64, grown when a longer buffer comes."""
+    """Powers of both bases and of their inverses, grown when a longer buffer comes."""
 
-    up = _powers(_BASE, 1 << 12)
-    down = _powers(pow(_BASE, -1, 1 << 64), 1 << 12)
+    size, made = 0, ()
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            cls.up, cls.down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
-        return cls.up, cls.down
+    def upto(cls, n: int) -> tuple[np.ndarray, ...]:
+        if cls.size < n:
+            size = max(1 << 12, 1 << int(n - 1).bit_length())
+            cls.made = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size), _prime_powers(_PRIME_BASE, size), _prime_powers(pow(_PRIME_BASE, -1, _PRIME), size)
+            cls.size = size
+        return cls.made
+
+
+def _prime_sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Running sums of values times powers modulo _PRIME, from 0; up to multiples of it."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    for k in range(0, len(values), _EXACT):
+        part = out[k + 1 : k + 1 + _EXACT]
+        np.cumsum(values[k : k + _EXACT] * powers[k : k + len(part)], out=part)
+        part += out[k] % np.uint64(_PRIME)
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,8 +107,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashed_words(data)[:2]
 
 
-def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``word_hashes``, with the last two bytes of each word (256 times the last, plus the one before or 0)."""
+def hashed_words(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with a number made of the last two bytes of each word; ``lower`` False leaves A-Z as they are."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -95,11 +119,15 @@ def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not space[-1]:
         edge = np.concatenate((edge, [n]))
     start, end = edge[::2], edge[1::2]
-    up, down = _Powers.upto(n + 1)
+    up, down, prime_up, prime_down = _Powers.upto(n + 1)
+    values = (_LOWER if lower else _SAME)[data].astype(np.uint64) + np.uint64(1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    tail = _LOWER[data[end - 1]].astype(np.int64) * 256 + np.where(end - start > 1, _LOWER[data[end - 2]], 0)
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, tail
+    np.cumsum(values * up[:n], out=total[1:])
+    prime, other = np.uint64(_PRIME), _prime_sums(values, prime_up)
+    second = (other[end] % prime + prime - other[start] % prime) % prime * prime_down[start] % prime
+    tail = values[end - 1].astype(np.int64) * 256 + np.where(end - start > 1, values[end - 2].astype(np.int64), 0)
+    first = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(first ^ mix(second)), start, tail
 
 
 def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -190,27 +218,56 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return left.join(right, on).select("l.*", (F.col("r._before") + F.col("l._within")).alias(name)).drop("_within")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", many: int | None = None) -> DataFrame:
+    """``left`` joined to ``right``, which has a row per key, however unevenly the keys of ``left`` lie.
+
+    Rows of ``right`` whose key has more than ``many`` rows in ``left`` (by default a quarter of a partition's share)
+    are broadcast: at most four for each partition. The others meet by shuffle. ``left`` is read twice.
+    """
+    slices = 4 * partitions(left.sparkSession)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    if many is None:
+        many = max(1000, left.count() // slices)
+    hot = F.broadcast(right.join(F.broadcast(counts.where(F.col("_n") > many).select(key)), key, "left_semi").withColumn("_hot", F.lit(True)))
+    met = left.join(hot, key, "left")
+    found = met.where("_hot").drop("_hot")
+    rest = met.where("_hot IS NULL").select(*left.columns)
+    return found.unionByName(rest.join(right.hint("merge"), key, how))
+
+
 def components(links: DataFrame, name: str = "links", most_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as rows (a, b) of longs; component is its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each written to the shared folder. Rows per
-    round never exceed the links; nothing but a changed-row count reaches the driver. Nodes without links don't appear.
+    round never exceed the links; nothing but row counts reaches the driver. Nodes without links don't appear. What a
+    node with very many links learns goes to its rows by broadcast, so that no task holds all of them.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    print_of = None
+    many = max(1000, edges.count() // (2 * partitions(links.sparkSession)))
+
+    def lowest(rows: DataFrame, low: DataFrame) -> DataFrame:
+        hot = F.broadcast(low.where(F.col("n") > many).select("u", F.col("m").alias("hot")))  # few, as each has many rows
+        met = rows.join(hot, "u", "left")
+        rest = met.where("hot IS NULL").select("u", "v").join(low.select("u", "m").hint("merge"), "u")
+        return met.where("hot IS NOT NULL").select("u", "v", F.col("hot").alias("m")).union(rest)
+
     for k in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), f"{name}{k}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == print_of:
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = written(lowest(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large{k}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = lowest(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges = written(small.where("u <> v").distinct(), f"{name}-small{k}")
+        # Settled when every node has one link at most, to a node that has none.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").isEmpty():
             break
-        print_of = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def numbered(df: DataFrame, name: str, column: str = "row") -> DataFrame:
+    """``df`` written with a number for each row, unique and the same wherever it is read. Numbers follow no order."""
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name)

@@ -300,8 +300,8 @@ def test_vectors(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = (unit @ unit.T >= 0.9) & ~np.eye(n, dtype=bool)
     found = {}
-    for block in (vectors.BLOCK_ROWS, 16):
-        monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+    for block in (vectors.BLOCK_BYTES, 16 * 16 * 8):
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", block)
         got = {r["vec_id"]: r for r in collected(vectors.near_duplicates(frame))}
         assert len(got) == n + len(odd)
         found[block] = [got[k]["n_links"] for k in range(n)]
@@ -314,6 +314,32 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_that_share_a_key(spark):
+    """Each row keeps the links of its own vector."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = [0.05, 1.0, 0.0, 0.0]
+    frame = spark.createDataFrame([(1, a), (1, b), (3, near), (4, [0.0, 0.0, 1.0, 0.0]), (4, [0.0, 0.0, 2.0, 0.0]), (0, [0.0, 0.0, 0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in collected(vectors.near_duplicates(frame)))
+    assert got == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+def test_recall_of_vectors_by_band(spark):
+    """Planted pairs just above the least cosine, against brute force."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9005, 0.96, (2000, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side])
+    frame = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in collected(vectors.near_duplicates(frame))}
+    for low, high in ((0.9, 0.92), (0.92, 0.97)):
+        band = [k for k in range(2000) if low <= cosine[k, 0] < high]
+        assert sum(got[k] for k in band) >= 0.9 * len(band)
+
+
 # --- URL filter --------------------------------------------------------------------------------------------------------
 
 
