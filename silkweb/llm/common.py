@@ -218,18 +218,20 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return left.join(right, on).select("l.*", (F.col("r._before") + F.col("l._within")).alias(name)).drop("_within")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", many: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", size: str | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has a row per key, however unevenly the keys of ``left`` lie.
 
-    Rows of ``right`` whose key has more than ``many`` rows in ``left`` (by default a quarter of a partition's share)
-    are broadcast: at most four for each partition. The others meet by shuffle. ``left`` is read twice.
+    Rows of ``right`` whose key has more rows in ``left`` than a quarter of a partition's share are broadcast: at most
+    four for each partition. The others meet by shuffle. ``left`` is read twice; ``size`` is the column of ``right`` with
+    the number of its key's rows in ``left``, where that is known (else they are counted).
     """
-    slices = 4 * partitions(left.sparkSession)
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    if many is None:
-        many = max(1000, left.count() // slices)
-    hot = F.broadcast(right.join(F.broadcast(counts.where(F.col("_n") > many).select(key)), key, "left_semi").withColumn("_hot", F.lit(True)))
-    met = left.join(hot, key, "left")
+    many = max(64, left.count() // (4 * partitions(left.sparkSession)))
+    if size is None:
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+        hot = right.join(F.broadcast(counts.where(F.col("_n") > many).select(key)), key, "left_semi")
+    else:
+        hot = right.where(F.col(size) > many)
+    met = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     found = met.where("_hot").drop("_hot")
     rest = met.where("_hot IS NULL").select(*left.columns)
     return found.unionByName(rest.join(right.hint("merge"), key, how))
@@ -243,7 +245,7 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 60) ->
     node with very many links learns goes to its rows by broadcast, so that no task holds all of them.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    many = max(1000, edges.count() // (2 * partitions(links.sparkSession)))
+    many = max(64, edges.count() // (2 * partitions(links.sparkSession)))
 
     def lowest(rows: DataFrame, low: DataFrame) -> DataFrame:
         hot = F.broadcast(low.where(F.col("n") > many).select("u", F.col("m").alias("hot")))  # few, as each has many rows

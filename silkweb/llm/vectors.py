@@ -239,10 +239,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     of_class = classes.join(counts, F.col("rep") == F.col("id"), "left").join(found, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("digest", "copies", "least", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_class = written(of_class, "vector-linked")
-    least = written(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "vector-least")
-    of_class = written(spread_join(of_class.select("digest", "component", "n_links"), least, "component"), "vector-classed")
+    least = written(of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "vector-least")
+    of_class = written(spread_join(of_class.select("digest", "copies", "component", "n_links"), least, "component", size="size"), "vector-classed")
     linkable = made.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
-    out = spread_join(linkable, of_class, "digest", "left")
+    out = spread_join(linkable, of_class, "digest", "left", "copies")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -175,38 +175,79 @@ def test_copies_are_neighbours_also_where_keys_repeat_and_groups_span_parts(spar
 
 
 def near_components(rows):
-    sets = {}
+    """Per row: (key, set size, component, kept), each row a document of its own."""
+    sets = []
     for k, t, *_ in rows:
         w = (t or "").encode().lower().split()
-        if k is not None:
-            sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-    root = {k: k for k in sets}
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {k: (len(s), find(k), find(k) == k) for k, s in sets.items()}
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][0] is not None and rows[b][0] is not None and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for x, row in enumerate(rows):
+        least[find(x)] = min(least.get(find(x), row[0] or 0), row[0] or 0)
+    return [(row[0], len(sets[x]), None if row[0] is None else least[find(x)], row[0] is None or row[0] == least[find(x)]) for x, row in enumerate(rows)]
+
+
+def near_result(frame):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in collected(minhash.near_duplicates(frame))), key=str)
 
 
 def test_near_dedup(spark, rows, monkeypatch):
-    want = near_components(rows)
-    assert len({c for _, c, _ in want.values()}) < len(want) - 50
-    for block in (minhash.BLOCK_SHINGLES, 600):  # also with clusters of several blocks
+    want = sorted(near_components(rows), key=str)
+    assert len({c for _, _, c, _ in want}) < len(want) - 50
+    assert near_result(docs(spark, rows)) == want
+    for stars, block in ((0, minhash.BLOCK_SHINGLES), (0, 600), (4, 600)):  # also with clusters and heads of several blocks
+        monkeypatch.setattr(minhash, "STARS", stars)
         monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
-        got = collected(minhash.near_duplicates(docs(spark, rows)))
-        assert len(got) == len(rows)
-        for r in got:
-            if r["doc_id"] is None:
-                assert r["component_id"] is None and r["kept"]
-            else:
-                assert (r["n_shingles"], r["component_id"], r["kept"]) == want[r["doc_id"]]
+        assert near_result(docs(spark, rows)) == want
+
+
+def test_near_dedup_of_chains_strays_and_shared_keys(spark):
+    """Chains whose ends aren't similar, strays that share half a text with a group, and other texts under one key."""
+    rng = random.Random(21)
+    base = words(rng, 120).split()
+    chain = []
+    for k in range(40):
+        chain.append(" ".join(base))
+        for _ in range(2):
+            base[rng.randrange(len(base))] = rng.choice(WORDS) + str(k)
+    half = [chain[0].rsplit(" ", 70)[0] + " " + words(rng, 70) for _ in range(12)]
+    made = [(k, t, "en", "a") for k, t in enumerate(chain + half)] + [(3, words(rng, 50), "en", "a"), (3, half[2], "en", "a"), (3, half[2] + " more", "en", "a"), (60, chain[39], "en", "a")]
+    rng.shuffle(made)
+    frame = docs(spark, made)
+    want = near_components(made)
+    assert near_result(frame) == sorted(want, key=str) and 1 < len({c for _, _, c, _ in want}) < 30
+    kept = collected(minhash.kept_rows(frame))
+    from collections import Counter
+
+    stays = {}
+    root = {}
+    for (k, t, *_), (_, _, c, _) in zip(made, want):
+        root.setdefault(t, c)
+        stays.setdefault(c, k)
+    assert len({r["text"] for r in kept}) == len(kept) and Counter(r["doc_id"] for r in kept).keys() <= set(stays)
+
+
+def test_estimates_are_of_the_unions_least_values():
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(400), rng.choice([3, 40, 64, 150, 300]))), np.uint64) for _ in range(30)]
+    sketch, held = np.zeros((30, minhash.K), np.uint64), np.array([min(len(s), minhash.K) for s in sets])
+    for k, s in enumerate(sets):
+        sketch[k, : held[k]] = s[: minhash.K]
+    a, b = (x.ravel() for x in np.meshgrid(range(30), range(30)))
+    for got, i, j in zip(minhash.estimates(sketch, held, a, b), a, b):
+        x, y = {*sets[i][: minhash.K].tolist()}, {*sets[j][: minhash.K].tolist()}
+        least = sorted(x | y)[: minhash.K]
+        assert abs(got - len([v for v in least if v in x and v in y]) / len(least)) < 1e-12
 
 
 def test_near_dedup_of_nothing(spark):
