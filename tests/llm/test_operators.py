@@ -457,15 +457,56 @@ def test_lm_probabilities_add_up():
 # --- quality -----------------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_adds_up_and_prefers_what_it_saw():
-    counts = np.zeros((quality.SYMBOLS,) * quality.ORDER, np.int64)
-    for a, b in ((b"the cat sat on the mat and the dog", 20), (b"a rat", 3)):
-        s = np.concatenate((np.zeros(3, int), quality.SYMBOL[np.frombuffer(a, np.uint8)]))
-        np.add.at(counts, tuple(s[k : k + len(s) - 3] for k in range(4)), b)
-    log_p = quality.kneser_ney(counts)
-    assert np.allclose(np.exp(log_p).sum(-1), 1)
-    score = lambda t: np.mean([log_p.ravel()[g].mean() for g in quality._text_grams(np.frombuffer(t, np.uint8), 0, len(t))])
-    assert score(b"the cat and the dog") > score(b"&&& XX!! | zq") + 1
+def plain_kneser_ney(texts):
+    """Probability of a symbol after the four before it, from dictionaries."""
+    levels = [collections.Counter()]
+    for t in texts:
+        s = bytes(quality.ORDER - 1) + t
+        levels[0].update(s[k : k + quality.ORDER] for k in range(len(s) - quality.ORDER + 1))
+    while len(next(iter(levels[-1]))) > 1:
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    off = [quality.discounts(*(sum(c == k for c in level.values()) for k in (1, 2, 3, 4))) for level in levels]
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        at = quality.ORDER - len(gram)
+        after = [c for g, c in levels[at].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        c = levels[at][gram]
+        return (c - off[at][min(c, 3)] + sum(off[at][min(x, 3)] for x in after) * p(gram[1:])) / sum(after)
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries(spark, monkeypatch):
+    """Scores of all texts, of a language with its own model and of others, in batches and shards of any size."""
+    rng = random.Random(6)
+    made = [(k, rng.choice([words(rng, 12), "日本 語の 文", "Тот Тот же", "a"]), "en" if k % 3 else "ja") for k in range(40)] + [(40, "&&& | zq", "en"), (41, None, "en"), (42, "", None), (43, words(rng, 8), None)]
+    frame = spark.createDataFrame(made, "id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(quality, "LEAST_DOCS", 20)
+    model, counts = quality.train(frame.where("id < 30"))
+    assert model.languages == {"en": 1}
+
+    def symbols(t):
+        out, before = bytearray(t.encode()), None
+        for m in __import__("re").finditer(rb"[^\x20\x09-\x0d]+", t.encode()):
+            if m[0].lower() == before:
+                out[m.start() - 1] = quality.REPEAT
+            before = m[0].lower()
+        return bytes(out)
+
+    own = plain_kneser_ney([symbols(t) for k, t, lang in made if k < 30 and lang == "en"])
+    every = plain_kneser_ney([symbols(t) for k, t, _ in made if k < 30])
+    assert abs(sum(own(b"\0ka" + b"n" + bytes([x])) for x in range(256)) - 1) < 1e-9
+    for size in (1 << 25, 100):
+        monkeypatch.setattr(quality, "BATCH_BYTES", size)
+        got = {r["id"]: r for r in collected(quality.surprise(frame, model, counts))}
+        for k, t, lang in made:
+            s = bytes(quality.ORDER - 1) + symbols(t or "")
+            want = -sum(math.log((own if lang == "en" else every)(s[i : i + quality.ORDER])) for i in range(len(s) - quality.ORDER + 1))
+            assert abs(got[k]["nats"] - want) < 1e-5 * max(1, want) and got[k]["symbols"] == len((t or "").encode()) and got[k]["text"] == t
 
 
 def test_quality(spark):
@@ -491,13 +532,23 @@ def test_quality_finds_repeated_words(spark):
     assert all(kept[k] for k, *_ in clean) and not any(kept[k] for k, *_ in repeated)
 
 
-def test_quality_gives_every_language_its_threshold(spark):
+def test_quality_gives_every_language_its_threshold(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_QUANTILE", 1)
     rng = random.Random(4)
-    made = [(k, words(rng, 20 + k % 30), f"l{k}", "a") for k in range(1050)]
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(1050)], "doc_id bigint, quality int, toxic int")
+    made = [(k, words(rng, 20 + k % 30), f"l{k % 1050}", "a") for k in range(4200)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(4200)], "doc_id bigint, quality int, toxic int")
     got = collected(quality.judged(docs(spark, made), labels))
-    near = lambda r: math.log(r["perplexity"]) + quality.SLACK * (r["symbols"] + quality.PRIOR) / r["symbols"]
-    assert len(got) == 1050 and all(abs(math.log(r["threshold"]) - near(r)) < 1e-6 for r in got)
+    assert len(got) == 4200 and len({(r["lang"], r["threshold"]) for r in got}) > 1050 and sum(not r["kept"] for r in got) < 20
+
+
+def test_quality_of_labels_left_out(spark):
+    """Learned from half of the labels, judged by the other half."""
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = "crc32(cast(doc_id as string)) % 2 = {}"
+    got = quality.judged(docs_, labels.where(half.format(0))).join(labels.where(half.format(1)), "doc_id")
+    rows = collected(got.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")))
+    share = {r["quality"]: r["kept"] / r["n"] for r in rows}
+    assert share[0] < 0.1 and share[1] > 0.98
 
 
 def test_quality_symbols_of_repeated_words(monkeypatch):
@@ -505,12 +556,13 @@ def test_quality_symbols_of_repeated_words(monkeypatch):
 
     text = "Der der\nder die  die. die " + "x" * 40 + " " + "x" * 40 + " no"
     data = np.frombuffer(text.encode(), np.uint8)
-    whole = np.concatenate(list(quality._text_grams(data, 0, len(data))))
+    grams = lambda: np.concatenate([g for _, g in quality.text_grams(data, np.array([0, len(data)]), np.zeros(1, np.int64))])
+    whole = grams()
     repeats = np.flatnonzero(whole % quality.SYMBOLS == quality.REPEAT)
     assert list(repeats) == [3, 7, text.index("x x") + 1] and len(whole) == len(data)
     for step in (4, 9, 30):
         monkeypatch.setattr(common, "STEP_BYTES", step)
-        assert (np.concatenate(list(quality._text_grams(data, 0, len(data)))) == whole).all()
+        assert (grams() == whole).all()
 
 
 # --- sharding ----------------------------------------------------------------------------------------------------------
