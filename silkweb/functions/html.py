@@ -247,10 +247,34 @@ def _fits(node: Node, chain: list, at: int = 0) -> bool:
     return False
 
 
+_PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9]*")
+_OF_ATTRIBUTE = re.compile(r"\[\s*([A-Za-z\-]+)[^\]]*\]")
+
+
+@lru_cache(maxsize=512)
+def _indexed(selector: str) -> tuple[frozenset, tuple, tuple]:
+    """A selector's plain tags, its alternatives of one attribute under the attribute's name, and the others."""
+    tags, of_attribute, others = set(), [], []
+    for part in re.findall(r"""((?:[^,"'\[]|\[[^\]]*\]|"[^"]*"|'[^']*')+)""", selector):
+        text = part.strip()
+        if _PLAIN.fullmatch(text):
+            tags.add(text.lower())
+        elif m := _OF_ATTRIBUTE.fullmatch(text):
+            of_attribute.append((m[1].lower(), *compile_selector(text)))
+        else:
+            others += compile_selector(text)
+    return frozenset(tags), tuple(of_attribute), tuple(others)
+
+
 def select(root: Node, selector: str) -> list[Node]:
-    """Elements that fit the selector, in document order."""
-    chains = compile_selector(selector)
-    return [n for n in root.elements() if any(_fits(n, chain) for chain in chains)]
+    """Elements that fit the selector, in document order. Plain tags and missing attributes are settled by look-up."""
+    compile_selector(selector)
+    tags, of_attribute, others = _indexed(selector)
+    out = []
+    for n in root.elements():
+        if n.tag in tags or (n.attrs and any(name in n.attrs and _fits(n, chain) for name, chain in of_attribute)) or any(_fits(n, chain) for chain in others):
+            out.append(n)
+    return out
 
 
 # --- text and links ----------------------------------------------------------------------------------------------------

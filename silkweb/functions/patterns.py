@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +53,12 @@ def _from_js(source: str, flags: str) -> str:
     return (f"(?{inline})" if inline else "") + start + "".join(out)
 
 
+@lru_cache(maxsize=512)
+def _python(text: str):
+    """The twin of what Java runs: named groups and look-behind of several lengths are the same in both."""
+    return regex.compile(text, regex.V0)
+
+
 @dataclass(frozen=True)
 class Compiled:
     kind: str
@@ -61,7 +68,7 @@ class Compiled:
 
     def test(self, value: str) -> bool:
         if self.kind == "regex":
-            return re.search(self.text, value) is not None
+            return _python(self.text).search(value) is not None
         if self.kind == "substring":
             return self.text in value
         try:
@@ -98,8 +105,8 @@ def compile_pattern(pattern: Pattern) -> Compiled:
     if pattern.startswith("/") and end > 0:
         text = _from_js(pattern[1:end], pattern[end + 1 :])
         try:
-            re.compile(text)
-        except re.error as e:
+            _python(text)
+        except regex.error as e:
             raise PatternError(f"{pattern!r}: {e}") from None
         return Compiled("regex", text, len(pattern))
     if pattern.startswith(("http://", "https://")):

@@ -59,6 +59,15 @@ def requeued(queue: DataFrame, which: str) -> DataFrame:
 
 
 def page_cutoff(results: DataFrame, max_pages: int) -> DataFrame:
-    """Rows (seq, ok) up to the one that completes ``max_pages`` successes, in order of seq."""
-    done = F.sum(F.col("ok").cast("int")).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return results.where("seq IS NOT NULL").withColumn("_done", F.coalesce(done, F.lit(0))).where(F.col("_done") < max_pages).drop("_done")
+    """Rows (seq, ok) up to the one that completes ``max_pages`` successes, in order of seq.
+
+    Successes are counted within range partitions, on top of what the partitions before them hold.
+    """
+    spread = results.where("seq IS NOT NULL").repartitionByRange("seq").withColumn("_part", F.spark_partition_id())
+    rows = written(spread.withColumn("_one", F.col("ok").cast("int")), "cutoff")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = rows.groupBy("_part").agg(F.sum("_one").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(F.broadcast(offsets.where(F.col("_before") < max_pages)), "_part")
+    done = F.col("_before") + F.coalesce(F.sum("_one").over(within), F.lit(0))
+    return placed.withColumn("_done", done).where(F.col("_done") < max_pages).drop("_done", "_before", "_part", "_one")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silkweb.functions.content import content_kind, gate_passes, parse_json, skip_reason, stringify, to_text
+from silkweb.functions.content import content_kind, gate_passes, parse_json, parse_strict, skip_reason, stringify, to_text
 from silkweb.functions.html import extract_text, links_of, parse_html, text_of
 from silkweb.functions.patterns import admitted
 from silkweb.functions.sitemap import parse_sitemap
@@ -28,7 +28,7 @@ from silkweb.operators.rules import effective, site_rule
 from silkweb.plans.config import load_config
 from silkweb.plans.hooks import Hooks, reduced
 from silkweb.plans.output import format_records
-from silkweb.sources.fetch import RateLimitError, fetched, resolve_fetcher, with_retries
+from silkweb.sources.fetch import FetchError, RateLimitError, fetched, resolve_fetcher, with_retries
 from silkweb.sources.shared import written
 from silkweb.sources.store import Store
 
@@ -48,8 +48,6 @@ def parsed(passed: DataFrame, config: Mapping, hooks: Mapping[str, list] | None
     def one(row) -> tuple:
         entry = {"seq": row.seq, "url": row.url, "depth": row.depth, "referrer": row.referrer}
         result = {"data": row.data, "status": row.status, "headers": dict(row.headers or {})}
-        for fn in hooks.get("response", ()):
-            fn(result, entry)
         extract, page, links, data = rules[row.rule], None, [], None
         if row.kind == "html":
             page = parse_html(to_text(row.data))
@@ -63,8 +61,6 @@ def parsed(passed: DataFrame, config: Mapping, hooks: Mapping[str, list] | None
         content = reduced(hooks.get("extract", ()), content, page, entry, result)
         url, extra = row.url, {}
         if hooks.get("transform"):
-            from silkweb.functions.content import parse_strict
-
             record = {"url": url, "content": content, "crawledAt": now} | ({} if data is None else {"data": parse_strict(data)})
             record = reduced(hooks["transform"], record, entry, result)
             url, content = record["url"], record.get("content")
@@ -85,6 +81,30 @@ def parsed(passed: DataFrame, config: Mapping, hooks: Mapping[str, list] | None
     return passed.select("seq", "url", "depth", "referrer", "data", "status", "headers", "kind", "rule").mapInPandas(run, _PARSED)
 
 
+def watched(answers: DataFrame, hooks: list) -> DataFrame:
+    """``answers`` after the response hooks, which see all of them, may change data, status and headers, and make an
+    answer an error by raising."""
+    schema = T.StructType([f for f in answers.schema.fields])
+    columns = answers.columns
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                entry = {k: row[k] for k in ("seq", "url", "depth", "referrer")}
+                result = {"data": row["data"], "status": row["status"], "headers": dict(row["headers"] or {})}
+                try:
+                    for fn in hooks:
+                        fn(result, entry)
+                    row |= result
+                except Exception as e:
+                    row["error"] = str(e) or type(e).__name__
+                out.append([row[c] for c in columns])
+            yield pd.DataFrame(out, columns=columns)
+
+    return answers.mapInPandas(run, schema)
+
+
 class Crawler:
     """A crawl of one configuration. Stages can be run one by one; ``on`` registers hooks."""
 
@@ -99,6 +119,7 @@ class Crawler:
         level = {"silent": logging.CRITICAL + 1, "error": logging.ERROR, "warn": logging.WARNING, "debug": logging.DEBUG}
         self.logger.setLevel(level.get(self.config["log_level"], logging.INFO))
         self.stopped = False
+        self.statistics: dict[str, int] = {}
         self._queue: DataFrame | None = None
 
     # --- state ---
@@ -109,8 +130,8 @@ class Crawler:
             self._queue = self.store.queue()
         return self._queue
 
-    def _save(self, queue: DataFrame) -> None:
-        self._queue = self.store.save_queue(queue.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in fr.QUEUE.split(", "))]))
+    def _save(self, queue: DataFrame, batch: str | None = None) -> None:
+        self._queue = self.store.save_queue(queue.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in fr.QUEUE.split(", "))]), batch)
 
     def counts(self) -> dict[str, int]:
         got = {r["state"]: r["n"] for r in fr.state_counts(self.queue).collect()}
@@ -231,16 +252,22 @@ class Crawler:
         now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
         todo = written(todo.select("seq", "url", "depth", "referrer"), "wave")
         got = written(todo.join(fetched(self.fetcher, todo, config), "url"), "fetched")
-        answers = got.where("error IS NULL AND NOT rate_limited").withColumn("ct", F.try_element_at("headers", F.lit("content-type"))).withColumn("rule", site_rule(F.col("url"), config["sites"]))
+        answers = got.where("error IS NULL AND NOT rate_limited")
+        on_response = self.hooks.of("response")["response"]
+        if on_response:
+            seen = written(watched(answers, on_response), "watched")
+            got = got.where("error IS NOT NULL OR rate_limited").unionByName(seen)
+            answers = seen.where("error IS NULL")
+        answers = answers.withColumn("ct", F.try_element_at("headers", F.lit("content-type"))).withColumn("rule", site_rule(F.col("url"), config["sites"]))
         passes = gate_passes(F.col("ct"), effective(config, -1)["allowed_content_types"])
         for k in range(len(config["sites"])):
             passes = F.when(F.col("rule") == k, gate_passes(F.col("ct"), effective(config, k)["allowed_content_types"])).otherwise(passes)
         passed = answers.where(passes).withColumn("kind", content_kind(F.col("ct")))
-        pages = written(parsed(passed, config, self.hooks.of("response", "links", "extract", "transform"), now), "parsed")
+        pages = written(parsed(passed, config, self.hooks.of("links", "extract", "transform"), now), "parsed")
         good = pages.where("failed IS NULL")
         start = fr.last_file_number(queue).first()["n"] + 1
         named = written(fr.numbered(good.drop("links"), ["seq"], start, "n").withColumn("file", F.concat(F.col("n").cast("string"), F.lit(".json"))), "named")
-        self.store.add_records(named.select("seq", "url", "content", F.lit(now).alias("crawled_at"), "data", "hash", "extra", "file"))
+        batch = self.store.add_records(named.select("seq", "url", "content", F.lit(now).alias("crawled_at"), "data", "hash", "extra", "file"))
         skipped = answers.where(~passes).select("seq", "status", skip_reason(F.col("ct")).alias("skipped"))
         none = F.lit(None).cast("string")
         outcome = (
@@ -253,17 +280,51 @@ class Crawler:
         after = queue.alias("q").join(outcome.alias("o"), "seq", "left").select("seq", "q.url", *[F.coalesce(f"o.{c}", f"q.{c}").alias(c) for c in ("file", "status", "error", "skipped")], "q.referrer", "q.depth")
         links = good.join(todo.select("seq", F.col("url").alias("referrer"), "depth"), "seq")
         found = links.select(F.posexplode("links").alias("pos", "raw"), "referrer", (F.col("depth") + 1).alias("depth"), F.col("seq").alias("parent"))
-        self._save(self._with_new(written(after, "queue"), found))
-        self._tell(outcome)
+        self._save(self._with_new(written(after, "queue"), found), batch)
+        self._tell(outcome, got, named.withColumn("crawledAt", F.lit(now)))
         return bool(got.where("rate_limited").take(1))
 
-    def _tell(self, outcome: DataFrame) -> None:
-        """Hooks that watch on the driver: page, skip and error, row by row."""
-        for name, which in (("page", "file"), ("skip", "skipped"), ("error", "error")):
-            if self.hooks.has(name):
-                rows = outcome.where(F.col(which).isNotNull()).join(self.queue.select("seq", "url", "depth", "referrer"), "seq").orderBy("seq")
-                for row in rows.toLocalIterator():
-                    self.hooks.emit(name, row.asDict())
+    def _tell(self, outcome: DataFrame, got: DataFrame, named: DataFrame) -> None:
+        """Hooks that watch on the driver, row by row in the queue's order: page(record, entry, result),
+        skip(entry, {reason, status, result}) and error(error, entry). Rows come one partition at a time."""
+        if not any(self.hooks.has(h) for h in ("page", "skip", "error")):
+            return
+        entries = self.queue.select("seq", F.struct("seq", "url", "depth", "referrer", "file", "status", "error", "skipped").alias("entry"))
+        answers = got.select("seq", F.struct("data", "status", "headers").alias("result"))
+        rows = outcome.select("seq", "file", "error", "skipped", "status").join(entries, "seq").join(answers, "seq")
+        if self.hooks.has("page"):
+            records = named.select("seq", F.struct("url", "content", "crawledAt", "data", "hash", "extra").alias("record"))
+            for row in rows.join(records, "seq").orderBy("seq").toLocalIterator():
+                record = row["record"].asDict()
+                extra, data = dict(record.pop("extra") or {}), record.pop("data")
+                record |= ({} if data is None else {"data": parse_strict(data)}) | {k: parse_strict(v) for k, v in extra.items()}
+                self.hooks.emit("page", record, row["entry"].asDict(), self._result(row))
+        if self.hooks.has("skip"):
+            for row in rows.where("skipped IS NOT NULL").orderBy("seq").toLocalIterator():
+                self.hooks.emit("skip", row["entry"].asDict(), {"reason": row["skipped"], "status": row["status"], "result": self._result(row)})
+        if self.hooks.has("error"):
+            for row in rows.where("error IS NOT NULL").orderBy("seq").toLocalIterator():
+                self.hooks.emit("error", FetchError(row["error"], row["status"]), row["entry"].asDict())
+
+    @staticmethod
+    def _result(row) -> dict:
+        return {"data": None if row["result"]["data"] is None else bytes(row["result"]["data"]), "status": row["result"]["status"], "headers": dict(row["result"]["headers"] or {})}
+
+    def _banner(self) -> None:
+        crawl, config = self.config["crawl"], self.config
+        name = getattr(self.fetcher, "name", type(self.fetcher).__name__)
+        lines = [
+            f"Start URLs: {', '.join(config['start_urls'])}",
+            f"Fetcher: {name}",
+            *([f"Browser wait until: {config['browser']['wait_until']}"] if name == "browser" else []),
+            f"Concurrency: {crawl['concurrency']}",
+            f"Per-host delay: {crawl['delay']} ms",
+            f"Max depth: {crawl['max_depth']}",
+            f"Max pages: {crawl['max_pages']}",
+            f"Allowed content types: {', '.join(config['allowed_content_types'])}",
+            f"Output format: {config['output']['format']}",
+        ]
+        self.logger.info("crawl starts\n%s", "\n".join(f"  - {x}" for x in lines))
 
     def crawl(self) -> dict[str, int]:
         """Waves until nothing is pending, ``stop`` was called, or max_pages are crawled; counts by state."""
@@ -274,6 +335,7 @@ class Crawler:
             if hasattr(self.fetcher, "init"):
                 self.fetcher.init()
             self.init()
+            self._banner()
             self.seed_sitemaps()
             while not self.stopped:
                 n = self.counts()
@@ -281,11 +343,16 @@ class Crawler:
                 if not n["pending"] or (left is not None and left <= 0):
                     break
                 todo = self.queue.where(fr.state() == "pending")
-                if left is not None:
-                    todo = todo.orderBy("seq").limit(left)
+                if left is not None and left < n["pending"]:
+                    last = fr.page_cutoff(todo.select("seq", F.lit(True).alias("ok")), left).agg(F.max("seq")).first()[0]
+                    todo = todo.where(F.col("seq") <= last)
+                self.logger.info("%d of %d done, %d to fetch", sum(n.values()) - n["pending"], sum(n.values()), n["pending"] if left is None else min(left, n["pending"]))
                 if self._wave(todo):
                     raise RateLimitError(code=self.config["rate_limit"]["exit_code"])
-            return self.counts()
+            n = self.counts()
+            self.statistics = {**n, "total": sum(n.values())}
+            self.logger.info("crawl ends: %s", ", ".join(f"{k} {v}" for k, v in self.statistics.items()))
+            return n
         finally:
             for s, handler in old.items():
                 signal.signal(s, handler)

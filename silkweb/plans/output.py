@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silkweb.functions.content import parse_strict, stringify
 from silkweb.operators.rules import route
+from silkweb.sources.shared import shared_dir, written
 
 #: Fields that stay within the store.
 INTERNAL = ("hash", "crawled_at", "file", "seq")
@@ -64,31 +67,54 @@ def files(records: DataFrame, form: str = "json") -> DataFrame:
     return rows.groupBy("file").agg(whole.alias("body"), F.count("*").alias("n"))
 
 
+#: What stands before the first record, after each, and after the last one in place of that.
+_FRAME = {"lines": ("", "\n", ""), "jsonl": ("", "\n", "\n"), "json": ("[\n", ",\n", "\n]")}
+_EMPTY = {"lines": "", "jsonl": "\n", "json": "[]"}
+
+
+def _write_files(records: DataFrame, form: str) -> dict[str, int]:
+    """Write every file of ``records`` (with file); records per file.
+
+    Executors sort and write parts of consecutive records, as many as there are partitions; the driver then copies the
+    parts of a file one after the other, as bytes of which it holds a buffer. Files are few: the routes name them.
+    """
+    from silkweb.sources.store import delete, join_parts
+
+    spark = records.sparkSession
+    form = form if form in _FRAME else "json"
+    first, between, last = _FRAME[form]
+    rows = written(rendered(records, form), "output-lines")
+    counts = {r["file"]: r["n"] for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    number = F.create_map(*[F.lit(x) for k, f in enumerate(sorted(counts)) for x in (f, k)])
+    parts = rows.withColumns({"number": F.try_element_at(number, F.col("file")), "key": F.collate("url", "UNICODE")})
+    place = f"{shared_dir(spark)}/silkweb/output-{uuid.uuid4().hex}"
+    line = F.concat("line", F.lit(between[:-1])) if between != "\n" else F.col("line")
+    parts.repartitionByRange("number", "key", "seq").sortWithinPartitions("number", "key", "seq").select("number", line.alias("line")).write.partitionBy("number").text(place)
+    for k, path in enumerate(sorted(counts)):
+        join_parts(spark, f"{place}/number={k}", path, first, len(between), last)
+    delete(spark, place)
+    return counts
+
+
 def write_records(records: DataFrame, path: str, form: str = "json") -> int:
     """Write the records, whatever their route, into one file; their number."""
     from silkweb.sources.store import write_text
 
-    one = files(records.withColumn("file", F.lit(path)), form).collect()
-    body, n = (one[0]["body"], one[0]["n"]) if one else ({"lines": "", "jsonl": "\n"}.get(form, "[]"), 0)
-    write_text(records.sparkSession, path, body)
+    n = _write_files(records.withColumn("file", F.lit(path)), form).get(path, 0)
+    if not n:
+        write_text(records.sparkSession, path, _EMPTY.get(form, "[]"))
     return n
 
 
 def format_records(records: DataFrame, output: dict, directory: str) -> dict[str, int]:
-    """Write every routed file under ``directory`` and delete what else is there; records per file.
+    """Write every routed file under ``directory`` and delete what else is there; records per file."""
+    from silkweb.sources.store import prune
 
-    Files are written one after the other by the driver, which holds one at a time. For outputs of many gigabytes a
-    file, ``write_partitioned`` lets the executors write.
-    """
-    from silkweb.sources.store import prune, write_text
-
-    spark = records.sparkSession
-    written = {}
-    for row in files(routed(records, output, directory), output["format"]).toLocalIterator():
-        write_text(spark, row["file"], row["body"])
-        written[row["file"]] = row["n"]
-    prune(spark, directory, set(written))
-    return written
+    counts = _write_files(routed(records, output, directory), output["format"])
+    prune(records.sparkSession, directory, set(counts))
+    return counts
 
 
 def write_partitioned(records: DataFrame, output: dict, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from silkweb.functions import content, html, patterns, sitemap, urls
 from silkweb.operators import frontier as fr
 from silkweb.operators import rules
-from silkweb.plans import output
+from silkweb.plans import crawl_queries, output
 from silkweb.plans.config import REMOVED_ELEMENTS, load_config
-from silkweb.sources.shared import written
+from silkweb.sources.shared import shared_dir, written
 
 CONFIG = load_config(
     {
@@ -182,16 +183,27 @@ def output_exclude(spark, sf_dir):
     return _known(spark, sf_dir).where(~patterns.matches_any(F.col("norm"), CONFIG["output"]["exclude"])).select("page_id")
 
 
+def _files(spark, sf_dir, form: str) -> DataFrame:
+    """The files as they are written, with their records' number."""
+    place = f"{shared_dir(spark)}/silkweb/files-{uuid.uuid4().hex}"
+    rows = _known(spark, sf_dir).select(F.col("page_id").alias("seq"), F.col("norm").alias("url"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("map<string,string>").alias("extra"))
+    counts = output.format_records(rows, {**CONFIG["output"], "format": form}, f"{place}/out")
+    number = spark.createDataFrame([(f[f.index("/out/") + 1 :], n) for f, n in counts.items()], "file string, n long")
+    bodies = spark.read.text(f"{place}/out", wholetext=True, recursiveFileLookup=True)
+    named = bodies.select(F.regexp_extract(F.col("_metadata.file_path"), r"/(out/[^/].*)$", 1).alias("file"), F.col("value").alias("body"))
+    return named.join(number, "file")
+
+
 def output_lines(spark, sf_dir):
-    return output.files(_routed(spark, sf_dir), "lines")
+    return _files(spark, sf_dir, "lines")
 
 
 def output_jsonl(spark, sf_dir):
-    return output.files(_routed(spark, sf_dir), "jsonl")
+    return _files(spark, sf_dir, "jsonl")
 
 
 def output_json(spark, sf_dir):
-    return output.files(_routed(spark, sf_dir), "json")
+    return _files(spark, sf_dir, "json")
 
 
 def _queue(spark, sf_dir) -> DataFrame:
@@ -228,12 +240,13 @@ def max_pages_cutoff(spark, sf_dir):
 
 def crawl_bfs(spark, sf_dir):
     """Two levels of a crawl with the pages as seeds and as the web: seeds are there, what they link to is not."""
-    pages = written(_known(spark, sf_dir).groupBy("norm").agg(F.min(F.struct("page_id", "html")).alias("p")).select(F.col("p.page_id").alias("page_id"), "norm", "p.html"), "bfs-pages")
-    seeds = pages.select(F.col("norm").alias("url"), F.lit("crawled").alias("state"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer"))
+    first = written(_known(spark, sf_dir).select("page_id", "norm").groupBy("norm").agg(F.min("page_id").alias("page_id")), "bfs-first")
+    pages = first.join(_pages(spark, sf_dir).select("page_id", "html"), "page_id")
+    seeds = first.select(F.col("norm").alias("url"), F.lit("crawled").alias("state"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer"))
     links = pages.select("page_id", "norm", F.posexplode(html.discover_links_column(F.col("html"), F.col("norm"))).alias("pos", "raw"))
     found = links.select(urls.normalize_url(F.col("raw")).alias("url"), F.col("norm").alias("referrer"), F.lit(1).alias("depth"), F.col("page_id").alias("parent"), "pos")
     new = fr.first_discovered(found, seeds, max_depth=1)
-    met = new.join(pages.select(F.col("norm").alias("url"), F.lit("crawled").alias("met")), "url", "left")
+    met = new.join(first.select(F.col("norm").alias("url"), F.lit("crawled").alias("met")), "url", "left")
     return seeds.unionByName(met.select("url", F.coalesce("met", F.lit("error")).alias("state"), "depth", "referrer"))
 
 
@@ -244,10 +257,13 @@ def parse_sitemap(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to routed records: canonical URL, first one wins, readable text, hash, output file."""
-    pages = _known(spark, sf_dir).where("norm IS NOT NULL").groupBy("norm").agg(F.min(F.struct("page_id", "html")).alias("p"))
-    rows = pages.select(F.col("norm").alias("url"), F.col("p.page_id").alias("page_id"), html.extract_text_column(F.col("p.html"), REMOVED_ELEMENTS).alias("content"))
-    files = rows.withColumn("file", rules.route(F.col("url"), CONFIG["output"]["routes"], CONFIG["output"]["exclude"], "out"))
-    return files.select("page_id", "url", "file", F.sha2("content", 256).alias("hash"), F.char_length("content").alias("chars"))
+    # Small columns go through the shuffles: whole pages are read where they lie, those of the first rows alone.
+    first = written(_known(spark, sf_dir).select("page_id", "norm").where("norm IS NOT NULL").groupBy("norm").agg(F.min("page_id").alias("page_id")), "flagship-first")
+    pages = _pages(spark, sf_dir).select("page_id", "html").join(first.select("page_id"), "page_id", "left_semi")
+    texts = pages.select("page_id", html.extract_text_column(F.col("html"), REMOVED_ELEMENTS).alias("content"))
+    hashed = texts.select("page_id", F.sha2("content", 256).alias("hash"), F.char_length("content").alias("chars"))
+    rows = first.join(hashed, "page_id").withColumn("file", rules.route(F.col("norm"), CONFIG["output"]["routes"], CONFIG["output"]["exclude"], "out"))
+    return rows.select("page_id", F.col("norm").alias("url"), "file", "hash", "chars")
 
 
 PATTERNS = {"pattern_regex": "/example\\.(com|net)\\/en/", "pattern_substring": "blog.th", "pattern_url_prefix": "https://blog.ththan.example.net/en"}
@@ -255,7 +271,7 @@ PATTERNS = {"pattern_regex": "/example\\.(com|net)\\/en/", "pattern_substring":
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (flagship, url_normalize, url_parts, pattern_any, crawl_admission, exclude_binary, frontier_dedup, extract_text, extract_text_root, discover_links, link_outdegree, link_first_discovery, content_gate, parse_json_pretty, content_hash, duplicate_content, site_override, route_records, route_counts, output_exclude, output_lines, output_jsonl, output_json, queue_states, next_dataset_id, requeue_errors, max_pages_cutoff, crawl_bfs, parse_sitemap)
-    return {f.__name__: f for f in plain} | {name: _pattern(p) for name, p in PATTERNS.items()}
+    return {f.__name__: f for f in plain} | {name: _pattern(p) for name, p in PATTERNS.items()} | crawl_queries.queries()
 
 
 _ROUTE = """CASE WHEN contains(norm, 'cheap-pills') THEN NULL
@@ -275,7 +291,7 @@ _FIRST = "f AS (SELECT norm, min(page_id) AS page_id FROM n GROUP BY norm)"
 def oracle_sql() -> dict[str, str]:
     order = "ORDER BY norm COLLATE en_us, page_id"
     article = "coalesce(nullif(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), html)"
-    return {
+    return crawl_queries.oracle_sql() | {
         "flagship": f"WITH {_N}, {_FIRST}, t AS (SELECT f.page_id, f.norm, html, split_part({_PATH.replace('norm', 'f.norm')}, '/', 2) AS seg FROM f JOIN pages USING (page_id)), u AS (SELECT page_id, norm AS url, {_ROUTE} AS file, {_text_sql('html')} AS content FROM t) SELECT page_id, url, file, sha256(content) AS hash, length(content) AS chars FROM u",
         "url_normalize": f"WITH {_N} SELECT page_id, norm FROM n",
         "url_parts": f"""WITH {_N}, p AS (SELECT page_id, {_ORIGIN} AS origin, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS seg FROM n)

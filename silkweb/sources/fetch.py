@@ -6,8 +6,10 @@ or ``fetch(url)``, a dict with data, status and headers that raises FetchError;
 
 from __future__ import annotations
 
+import heapq
 import http.client
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import timezone
 from email.utils import parsedate_to_datetime
@@ -18,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkweb.functions.urls import authority_of, normalize_url, resolve
+from silkweb.sources.shared import written
 
+#: Bytes of answers that a task holds, about; one more may be as large as the limit on bodies.
+ANSWER_BYTES = 16 << 20
 FETCHED = "url STRING, data BINARY, status INT, headers MAP<STRING,STRING>, error STRING, rate_limited BOOLEAN"
 
 
@@ -79,21 +84,37 @@ def with_retries(fetch: Callable[[str], dict], url: str, retry: dict, rate_limit
 
 
 def _polite(frontier: DataFrame, fetch: Callable[[str], dict], config: dict) -> DataFrame:
-    """Fetch in tasks; a host's URLs are one task's, so its requests can be spaced."""
+    """Fetch in as many tasks as requests may run at once. A host's URLs are one task's, so its requests can be spaced;
+    a task takes the host that is due next, so a slow one doesn't hold up the others. Answers leave by bytes."""
     retry, limit, gap = config["retry"], config["rate_limit"], config["crawl"]["delay"] / 1000
     hosts = frontier.withColumn("_host", authority_of(F.col("url")))
-    dealt = hosts.repartition(max(1, config["crawl"]["concurrency"]), "_host").sortWithinPartitions("_host", "seq").select("url", "_host")
+    dealt = hosts.repartition(max(1, config["crawl"]["concurrency"]), "_host").sortWithinPartitions("seq").select("url", "_host")
+    names = ["url", "data", "status", "headers", "error", "rate_limited"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, float] = {}
+        due: dict[str, float] = {}
+        rows, size = [], 0
         for batch in batches:
-            rows = []
+            waiting: dict[str, deque] = {}
             for url, host in zip(batch["url"], batch["_host"]):
-                if gap > 0:
-                    time.sleep(max(0.0, last.get(host, 0) + gap - time.monotonic()))
-                    last[host] = time.monotonic()
-                rows.append(with_retries(fetch, url, retry, limit))
-            yield pd.DataFrame(rows, columns=["url", "data", "status", "headers", "error", "rate_limited"])
+                waiting.setdefault(host, deque()).append(url)
+            turns = [(due.get(host, 0.0), k, host) for k, host in enumerate(waiting)]
+            heapq.heapify(turns)
+            turn = len(turns)
+            while turns:
+                when, _, host = heapq.heappop(turns)
+                time.sleep(max(0.0, when - time.monotonic()))
+                due[host] = time.monotonic() + gap
+                rows.append(with_retries(fetch, waiting[host].popleft(), retry, limit))
+                size += len(rows[-1]["data"] or b"")
+                turn += 1
+                if waiting[host]:
+                    heapq.heappush(turns, (due[host], turn, host))
+                if size > ANSWER_BYTES or len(rows) >= 1000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return dealt.mapInPandas(run, FETCHED)
 
@@ -174,7 +195,15 @@ class TableFetcher:
         rows = pages.select(normalize_url(F.col("url")).alias("key"), F.col("body").cast("binary").alias("body"), pick("status", "int", 200), pick("content_type", "string", "text/html"), pick("location", "string", None), pick("fail_times", "int", 0))
         # Of several rows with one canonical URL, the least in all columns answers.
         best = F.min(F.struct("status", "content_type", "location", "fail_times", "body")).alias("r")
-        self.pages = rows.where("key IS NOT NULL").groupBy("key").agg(best).select("key", "r.*")
+        self._pages = rows.where("key IS NOT NULL").groupBy("key").agg(best).select("key", "r.*")
+        self._written: DataFrame | None = None
+
+    @property
+    def pages(self) -> DataFrame:
+        """The web by canonical URL, written when it is first asked for."""
+        if self._written is None:
+            self._written = written(self._pages, "web")
+        return self._written
 
     def fetch_frame(self, frontier: DataFrame, config: dict) -> DataFrame:
         most, retry, limit = config["request"]["max_content_length"], config["retry"], config["rate_limit"]

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one of this machine, which only a
+    session within one process may use; on a cluster, RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="silkweb-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

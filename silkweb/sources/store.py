@@ -63,41 +63,86 @@ def prune(spark: SparkSession, directory: str, keep: set[str]) -> list[str]:
     return gone
 
 
+def swap_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a text in place of a file's at once: written beside it, then renamed over it."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, beside, text)
+    jvm = spark.sparkContext._jvm
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    place = _at(spark, path)[0].makeQualified(_at(spark, path)[1])
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(_at(spark, beside)[0].makeQualified(_at(spark, beside)[1]), place, overwrite)
+
+
+def join_parts(spark: SparkSession, folder: str, path: str, first: str, cut: int, last: str) -> None:
+    """Put the part files of a folder one after the other into the file ``path``: ``first`` before them, and ``last`` in
+    place of their last ``cut`` bytes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, place = _at(spark, folder)
+    parts = sorted((s.getPath().getName(), s.getPath(), s.getLen()) for s in fs.listStatus(place) if s.getPath().getName().startswith("part-") and s.getLen())
+    out_fs, out_path = _at(spark, path)
+    out = out_fs.create(out_path, True)
+    out.write(bytearray(first.encode()))
+    for k, (_, part, size) in enumerate(parts):
+        stream = fs.open(part)
+        # Copied in the JVM; a part is longer than what is cut of the last one.
+        jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size - (cut if k + 1 == len(parts) else 0))
+        stream.close()
+    out.write(bytearray(last.encode()))
+    out.close()
+
+
 class Store:
     """Queue versions and record batches under one directory.
 
-    Every version of the queue is a Parquet table of its own; a small pointer file names the current one, so a crawl
-    that is cut off finds the last complete wave.
+    Every version of the queue is a Parquet table of its own, and so are the records that each wave adds. A small
+    pointer file names the current version and the batches that belong to it, so a crawl that is cut off anywhere finds
+    the last complete wave and nothing of the one after it.
     """
 
     def __init__(self, spark: SparkSession, storage: dict) -> None:
         self.spark, self.queue_dir, self.crawled_dir = spark, storage["queue_path"], storage["crawled_dir"]
 
+    def _current(self) -> dict:
+        text = read_text(self.spark, f"{self.queue_dir}/CURRENT")
+        return json.loads(text) if text else {"queue": None, "records": []}
+
     def queue(self) -> DataFrame:
-        name = read_text(self.spark, f"{self.queue_dir}/CURRENT")
+        name = self._current()["queue"]
         if name is None:
             return self.spark.createDataFrame([], QUEUE)
         return self.spark.read.schema(QUEUE).parquet(f"{self.queue_dir}/{name}")
 
-    def save_queue(self, queue: DataFrame) -> DataFrame:
-        name, old = f"v-{uuid.uuid4().hex}", read_text(self.spark, f"{self.queue_dir}/CURRENT")
+    def save_queue(self, queue: DataFrame, batch: str | None = None) -> DataFrame:
+        """Make ``queue`` the current version, and the records of ``batch`` part of it."""
+        name, old = f"v-{uuid.uuid4().hex}", self._current()
         queue.write.parquet(f"{self.queue_dir}/{name}")
-        write_text(self.spark, f"{self.queue_dir}/CURRENT", name)
-        if old:
-            delete(self.spark, f"{self.queue_dir}/{old}")
+        swap_text(self.spark, f"{self.queue_dir}/CURRENT", json.dumps({"queue": name, "records": old["records"] + ([batch] if batch else [])}))
+        if old["queue"]:
+            delete(self.spark, f"{self.queue_dir}/{old['queue']}")
         return self.queue()
 
-    def add_records(self, records: DataFrame) -> None:
-        records.write.mode("append").parquet(self.crawled_dir)
+    def add_records(self, records: DataFrame) -> str:
+        """Write a batch of records; they count once ``save_queue`` names the batch that is returned."""
+        batch = f"r-{uuid.uuid4().hex}"
+        records.write.parquet(f"{self.crawled_dir}/{batch}")
+        return batch
 
     def records(self) -> DataFrame:
         """Records of the crawled rows of the queue, with the queue's order; rows without a record are left out."""
-        fs, place = _at(self.spark, self.crawled_dir)
-        if not fs.exists(place):
+        batches = self._current()["records"]
+        if not batches:
             return self.spark.createDataFrame([], RECORDS)
-        made = self.spark.read.schema(RECORDS).parquet(self.crawled_dir).drop("seq")
+        made = self.spark.read.schema(RECORDS).parquet(*[f"{self.crawled_dir}/{b}" for b in batches]).drop("seq")
         return self.queue().where(F.col("file").isNotNull()).select("seq", "file").join(made, "file")
 
+    def export_json(self, path: str) -> int:
+        """Write the records as JSON Lines by the executors, a folder of parts; their number."""
+        rows = self.records().select("file", "url", "content", F.col("crawled_at").alias("crawledAt"), "data", "hash", "extra")
+        rows.write.mode("overwrite").json(path)
+        return rows.count()
+
     def reset(self) -> None:
         delete(self.spark, self.queue_dir)
         delete(self.spark, self.crawled_dir)

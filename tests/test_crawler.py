@@ -44,13 +44,14 @@ def states(queue):
 def test_whole_crawl(spark, tmp_path):
     c = crawler(spark, tmp_path)
     seen = []
-    c.on("skip", lambda row: seen.append((row["url"], row["skipped"])))
+    c.on("skip", lambda entry, why: seen.append((entry["url"], why["reason"], why["status"])))
     got = states(c.run())
     assert got == {
         "/": ("crawled", 0, None), "/a": ("crawled", 1, "/"), "/b": ("crawled", 1, "/"), "/d": ("crawled", 2, "/a"), "/e": ("crawled", 2, "/b"),
         "/json": ("crawled", 2, "/b"), "/img": ("skipped", 2, "/b"), "/gone": ("error", 2, "/b"), "/f": ("crawled", 3, "/d"),
     }
-    assert seen == [("https://w.com/img", "content-type: image/gif")]
+    assert seen == [("https://w.com/img", "content-type: image/gif", 200)]
+    assert c.statistics == {"crawled": 7, "error": 1, "skipped": 1, "pending": 0, "total": 9}
     assert (tmp_path / "data/formatted/a.txt").read_text() == "https://w.com/a page a l l"
     assert (tmp_path / "data/formatted/rest.txt").read_text().split("\n")[0] == "https://w.com/ home l l l l l"
     records = {r.url: r for r in c.records().collect()}
@@ -93,6 +94,130 @@ def test_rate_limit_leaves_the_page_pending(spark, tmp_path):
     assert e.value.code == 12 and states(c.queue)["/b"][0] == "pending" and states(c.queue)["/a"][0] == "crawled"
 
 
+@pytest.mark.parametrize("where", ["add_records", "save_queue", "swap"])
+def test_a_cut_within_a_wave_gives_each_record_once(spark, tmp_path, monkeypatch, where):
+    """The driver is lost after the records of the second wave, before the queue's version, or before the pointer."""
+    from silkweb.sources import store
+
+    c = crawler(spark, tmp_path)
+    waves = []
+    real = {"add_records": c.store.add_records, "save_queue": c.store.save_queue}
+
+    def fails(*args):
+        waves.append(1)
+        out = real["add_records"](*args) if where == "add_records" else None
+        if len(waves) == 2:
+            raise KeyboardInterrupt
+        return out if where == "add_records" else real["save_queue"](*args)
+
+    if where == "swap":
+        swap = store.swap_text
+        monkeypatch.setattr(store, "swap_text", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt) if waves.append(1) or len(waves) == 3 else swap(*a))
+    else:
+        setattr(c.store, where, fails)
+    with pytest.raises(KeyboardInterrupt):
+        c.crawl()
+    monkeypatch.undo()
+    again = crawler(spark, tmp_path, reset_on_complete=False)
+    assert again.crawl() == {"crawled": 7, "error": 1, "skipped": 1, "pending": 0}
+    records = again.records().collect()
+    assert len(records) == len({r.url for r in records}) == 7 and sorted(int(r.file[:-5]) for r in records) == list(range(1, 8))
+    assert states(again.queue) == states(crawler(spark, tmp_path / "whole").run())
+
+
+def test_hooks_get_what_they_should(spark, tmp_path):
+    c = crawler(spark, tmp_path, max_depth=2)
+
+    def on_response(result, entry):  # runs in tasks, before the gate
+        if entry["url"].endswith("/img"):
+            result["headers"]["content-type"] = "text/html"
+        if entry["url"].endswith("/d"):
+            raise ValueError("no thanks")
+        if entry["url"].endswith("/json"):
+            result["headers"]["content-type"] = "application/x-other"
+
+    c.on("response", on_response)
+    c.on("links", lambda links, page, entry, result: [*links, "https://w.com/more"] if entry["url"].endswith("/a") else None)
+    c.on("extract", lambda content, page, entry, result: content.upper() if entry["depth"] == 0 else None)
+    c.on("transform", lambda record, entry, result: {**record, "n": len(result["data"])})
+    pages, skips, errors = [], [], []
+    off = c.on("page", lambda record, entry, result: pages.append((record, entry, result)))
+    c.on("skip", lambda entry, why: skips.append((entry["url"], why["reason"], why["result"]["data"])))
+    c.on("error", lambda error, entry: errors.append((str(error), error.status, entry["url"])))
+    got = states(c.run())
+    assert got["/img"][0] == "crawled" and got["/d"][0] == "error" and got["/json"][0] == "skipped" and "/more" in got
+    assert [p[0]["url"] for p in pages][:2] == ["https://w.com/", "https://w.com/a"]
+    record, entry, result = pages[0]
+    assert record["content"].startswith("HOME") and record["n"] == len(result["data"]) and set(record) == {"url", "content", "crawledAt", "hash", "n"}
+    assert entry["file"] == "1.json" and entry["status"] == 200 and result["headers"]["content-type"] == "text/html"
+    assert skips == [("https://w.com/json", "content-type: application/x-other", b'{"b":1.0}')]
+    assert ("no thanks", 200, "https://w.com/d") in errors and ("Invalid status code: 404", 404, "https://w.com/gone") in errors
+    off()
+
+
+def test_files_are_written_by_parts(spark, tmp_path):
+    from silkweb.plans.output import files, write_records
+
+    rows = [(k, f"https://w.com/{k % 37}/é", None if k % 5 else f"c\n{k}", '{"a":1}' if k % 3 else None, {}) for k in range(400)]
+    frame = spark.createDataFrame(rows, "seq long, url string, content string, data string, extra map<string,string>").repartition(5)
+    for form in ("json", "jsonl", "lines", "other"):
+        path = str(tmp_path / f"{form}.out")
+        assert write_records(frame, path, form) == 400
+        assert open(path, encoding="utf-8").read() == files(frame.withColumn("file", __import__("pyspark").sql.functions.lit("f")), form).first()["body"]
+        assert write_records(frame.limit(0), path, form) == 0
+        assert open(path).read() == {"lines": "", "jsonl": "\n"}.get(form, "[]")
+
+
+def test_store_files(spark, tmp_path):
+    from silkweb.sources import store
+
+    at = str(tmp_path / "x.json")
+    assert store.load_json(spark, at, 7) == 7 and store.read_text(spark, at) is None
+    store.swap_text(spark, at, '{"a": 1}')
+    store.swap_text(spark, at, '{"a": 2}')
+    assert store.load_json(spark, at) == {"a": 2} and [f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")] == ["x.json"]
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/y.txt").write_text("y")
+    assert len(store.prune(spark, str(tmp_path), {at})) == 1 and store.prune(spark, str(tmp_path / "none"), set()) == []
+
+
+def test_hosts_take_turns(spark):
+    """A task fetches the hosts in turn and spaces the requests of each."""
+    import time
+
+    from silkweb.plans.config import load_config
+    from silkweb.sources.fetch import fetched
+
+    class Clock:
+        name = "clock"
+
+        def fetch(self, url):
+            return {"data": str(time.time()).encode(), "status": 200, "headers": {}}
+
+    config = load_config({"start_urls": ["https://a.com/"], "crawl": {"concurrency": 1, "delay": 100}})
+    frame = spark.createDataFrame([(k, f"https://{'abc'[k // 3]}.com/{k}") for k in range(9)], "seq long, url string")
+    at = {r.url: float(bytes(r.data)) for r in fetched(Clock(), frame, config).collect()}
+    times = [[at[f"https://{h}.com/{3 * n + k}"] for k in range(3)] for n, h in enumerate("abc")]
+    assert all(b - a > 0.09 for t in times for a, b in zip(t, t[1:])) and max(at.values()) - min(at.values()) < 0.6
+
+
+def test_json_as_text_and_names(spark, tmp_path):
+    import silkweb
+
+    assert all(getattr(silkweb, n) is not None for n in silkweb.__all__)
+    assert silkweb.matches_pattern("a2024d", "/(?<y>[0-9]+)d/") and silkweb.matches_pattern("xd", "/(?<!a|bc)d/") and not silkweb.matches_pattern("bcd", "/(?<!a|bc)d/")
+    from pyspark.sql import functions as F
+
+    from silkweb.functions.patterns import matches
+
+    rows = spark.createDataFrame([("a2024d",), ("bcd",), ("xd",)], "u string")
+    assert [tuple(r) for r in rows.select(matches(F.col("u"), "/(?<y>[0-9]+)d/"), matches(F.col("u"), "/(?<!a|bc)d/")).collect()] == [(True, True), (False, False), (False, True)]
+    c = crawler(spark, tmp_path, max_depth=2)
+    c.config["extract"]["json"] = False
+    c.run()
+    assert {r.url: r.content for r in c.records().collect()}["https://w.com/json"] == '{"b":1.0}'
+
+
 def test_several_crawlers(spark, tmp_path):
     queues = run_crawlers(spark, [crawler(spark, tmp_path / "1", max_depth=0), crawler(spark, tmp_path / "2", max_depth=1)], concurrency=2)
     assert [q.count() for q in queues] == [1, 3]
