@@ -2,7 +2,7 @@
 
 The documents of each source, in a seeded shuffle, form one stream of words that is cut in blocks of equal size. A
 schedule of slots follows: slot k takes from the source in whose share of the cumulative blocks due the golden-ratio
-point frac(k * phi) falls, so every stretch of the mix holds the sources close to their weights. The r-th slot of a
+point frac(k * phi), computed in whole numbers, falls, so every stretch of the mix holds the sources close to their weights. The r-th slot of a
 source takes block r of its stream, starting over when the stream ends. At the end each source's remainder is settled:
 it takes the blocks that it still lacks, and of its last one as many words as are due.
 """
@@ -12,22 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silkweb.llm.common import SPACE, n_words, partitions, running_sum
+from silkweb.llm.common import SPACE, n_words, numbered, partitions, running_sum
 from silkweb.sources.shared import written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its words.
 MOST_PASSES = 3
+#: Words of a block: the grain of the schedule. Sources keep close to their weights from some tens of blocks on; what
+#: each gives in all is exact for any size.
 BLOCK_WORDS = 1024
-#: Blocks get smaller than BLOCK_WORDS where the mix would have fewer slots than this.
-LEAST_SLOTS = 1 << 16
 SEED = 7
-#: Fractional part of the golden ratio.
-PHI = 0.6180339887498949
+#: The golden ratio's fractional part in POINTS of a turn, and the same after STRIDE slots: products stay below 2**63 up
+#: to POINTS slots.
+POINTS, STRIDE = 1 << 42, 1 << 20
+GOLDEN = 2_718_142_227_965
 #: Cells of [0, 1) that points and shares are matched by.
 CELLS = 4096
-SLOTS_PER_CHUNK = 4096
+SLOTS_PER_CHUNK = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int = MOST_PASSES) -> DataFrame:
@@ -68,8 +70,8 @@ def schedule(spark, sources: DataFrame) -> DataFrame:
     low = some.select("source_no", "blocks", "takes", (F.coalesce(F.sum("share").over(before), F.lit(0.0)) / F.sum("share").over(whole)).alias("low"))
     shares = low.withColumn("high", F.coalesce(F.lead("low").over(Window.orderBy("source_no")), F.lit(1.0)))
     cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1).cast("long")))))
-    point = F.col("slot") * PHI
-    points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("u", point - F.floor(point))
+    far, near = F.expr(f"slot div {STRIDE}") * (GOLDEN * STRIDE % POINTS) % POINTS, F.col("slot") % STRIDE * GOLDEN % POINTS
+    points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("u", (far + near) % POINTS / POINTS)
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
     taken = points.join(cells, "cell").where("u >= low AND u < high").select("source_no", "blocks", "takes", "slot", F.lit(1).alias("one"), F.floor(F.col("slot") / SLOTS_PER_CHUNK).alias("chunk"))
     ranked = running_sum(taken, ["source_no"], "chunk", [F.col("slot")], "one", "rank").where("rank < takes")
@@ -95,24 +97,24 @@ def in_blocks(sources: DataFrame, block_words: int) -> DataFrame:
     return cut.withColumn("takes", F.when(F.col("due") > 0, last + 1).otherwise(F.lit(0).cast("long")))
 
 
-def passes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def passes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED, row: str | None = None) -> DataFrame:
     """A row per document and pass that takes words of it, or one with null pass where none does: source_no, start (in
-    the source's stream of words), id, size, source_size, target, pass, first (word), words.
+    the source's stream of words), row (the column ``row``, else any number), id, size, source_size, target, pass, first (word), words.
 
     A document's words of one pass lie together, as a pass takes blocks in their order. Null texts and those without
     words have size 0 and are never taken; null keys and repeated rows are documents of their own.
     """
     spark = df.sparkSession
-    sized = written(df.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "mix-sizes")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    sized = written(df.select(number.alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "mix-sizes")
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "mix-sources")
-    rows, words = sized.agg(F.count("*"), F.sum("size")).first()
-    block = max(1, min(block_words, (words or 0) // LEAST_SLOTS))
+    rows = sized.count()
     digits = 2
     while 16**digits < max(partitions(spark), rows // 20_000):
         digits += 1
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    named = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.id", "d.size", "s.source_no", "s.source_size", "s.target")
-    cut = in_blocks(sources, block)
+    named = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.row", "d.id", "d.size", "s.source_no", "s.source_size", "s.target")
+    cut = in_blocks(sources, block_words)
     mixed = named.where("size > 0").join(cut.select("source_no", "due", "blocks"), "source_no").withColumn("code", code).withColumn("bucket", F.substring("code", 1, digits))
     placed = running_sum(mixed, ["source_no"], "bucket", [F.col("code"), F.col("id"), F.col("size")], "size", "start")
     pieces = placed.withColumn("block", F.explode(F.expr("sequence(((start + 1) * blocks - 1) div source_size, ((start + size) * blocks - 1) div source_size)")))
@@ -123,8 +125,8 @@ def passes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # In the pass that its due words end in, a source gives those before the end.
     ended = F.least(F.col("upto"), F.col("due") - F.col("pass") * F.col("source_size") - F.col("start"))
     same = same.withColumn("words", F.when(F.col("pass").isNotNull(), ended).otherwise(F.col("upto")) - F.col("first")).withColumn("pass", F.when(F.col("words") > 0, F.col("pass")))
-    out = same.groupBy("source_no", "start", "id", "size", "source_size", "target", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
-    unworded = named.where("size = 0").selectExpr("source_no", "CAST(NULL AS BIGINT) AS start", "id", "size", "source_size", "target", "CAST(NULL AS BIGINT) AS pass", "0L AS first", "0L AS words")
+    out = same.groupBy("source_no", "start", "row", "id", "size", "source_size", "target", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    unworded = named.where("size = 0").selectExpr("source_no", "CAST(NULL AS BIGINT) AS start", "row", "id", "size", "source_size", "target", "CAST(NULL AS BIGINT) AS pass", "0L AS first", "0L AS words")
     return out.select(*unworded.columns).union(unworded)
 
 
@@ -132,7 +134,7 @@ def digest(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """key, size, source_size, target, taken of every document, as the contract of the mix names them."""
     rows = passes(df, key, **options).withColumn("taken", F.when(F.col("pass").isNotNull(), F.col("words")).otherwise(F.lit(0).cast("long")))
     columns = [F.col("id").alias(key), "size", "source_size", "target", "taken"]
-    worded = rows.where("size > 0").groupBy("source_no", "start", "id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    worded = rows.where("size > 0").groupBy("source_no", "start", "row", "id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
     return worded.select(*columns).union(rows.where("size = 0").select(*columns))
 
 
@@ -141,11 +143,30 @@ def _cut(text: Column, first: Column, words: Column) -> Column:
     return F.array_join(F.slice(kept, (first + 1).cast("int"), words.cast("int")), " ")
 
 
-def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """Rows of ``df`` as often as the mix takes them, with all columns; where a pass takes part of a document, its text
-    is those words, joined by spaces. Rows that the mix never takes are gone. Keys should be unique: rows that share one
-    are each taken as often as all of them together."""
-    taken = passes(df, key, text, **options).where("pass IS NOT NULL").select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("first").alias("_first"), F.col("words").alias("_words"))
-    rows = df.join(taken, F.col(key).eqNullSafe(F.col("_id")))
-    part = F.when(F.col("_words") < F.col("_size"), _cut(F.col(text), F.col("_first"), F.col("_words"))).otherwise(F.col(text))
-    return rows.withColumn(text, part).select(*df.columns)
+    is those words, joined by spaces. Rows that the mix never takes are gone. Rows may share keys: each is a document
+    of its own."""
+    place = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    rows = numbered(df.toDF(*place.values()), "mix-rows")
+    taken = passes(rows, place[key], place[text], place[source], row="row", **options).where("pass IS NOT NULL").select("row", "size", "first", "words")
+    whole = F.col(place[text])
+    part = F.when(F.col("words") < F.col("size"), _cut(whole, F.col("first"), F.col("words"))).otherwise(whole)
+    return rows.join(taken.hint("merge"), "row").withColumn(place[text], part).select(*[F.col(p).alias(c) for c, p in place.items()])
+
+
+#: As a source gives its due words in the order of its stream, what is taken of a document follows from where it starts.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, CASE no % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, (3 * source_size)::DOUBLE AS full_size FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(full_size) OVER before, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level FROM w
+  WINDOW before AS (ORDER BY full_size / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT arg_min(level, (full_size / weight, no)) AS level FROM l WHERE full_size > level * weight),
+t AS (SELECT source, source_size, least(coalesce((SELECT level FROM o) * weight, full_size), full_size) AS target FROM w),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, least(round(t.target)::BIGINT, 3 * t.source_size) AS due,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE (due // source_size) * size + greatest(0, least(size, due % source_size - start)) END::BIGINT AS taken FROM p
+"""

@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": minhash.SQL, "op4_vector_dedup": vectors.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op2_minhash_dedup": minhash.SQL, "op3_mix_sources": mixing.SQL, "op4_vector_dedup": vectors.SQL, "op6_exact_dedup": exact_dedup.SQL}
