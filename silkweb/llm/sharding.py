@@ -21,18 +21,24 @@ def shuffled(df: DataFrame, key: str = "doc_id", size: str = "size", shards: int
     """``df`` with shard (0 to shards - 1) and slot (gapless from 0 within the shard), replacing columns of these names.
 
     ``size`` is a column of bytes per record; there are enough buckets for an even share of them to stay under
-    ``bucket_bytes``, and at least one per shuffle partition. Null keys hash like a value of their own, with the other
-    columns, so that many of them spread too. Ties don't matter: within a bucket, records start in the order of their
-    values, so the result depends on the records, the partition count and the seed only. Maps can't be ordered: pack
+    ``bucket_bytes``, and at least one per shuffle partition. A record's bucket comes from all its columns, so records
+    that share a key spread; records that are equal in all columns and more than a quarter of a bucket's share spread by
+    where they lie. Ties don't matter: within a bucket, records start in the order of their values, so, but for such
+    equal records, the result depends on the records, the partition count and the seed only. Maps can't be ordered: pack
     them first. An empty table gives no rows.
     """
     df = df.drop("shard", "slot")
-    total = df.agg(F.sum(size)).first()[0] or 0
-    n = max(partitions(df.sparkSession), -(-int(total) // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.xxhash64(*df.columns))), F.lit(n)).cast("int")
-    record = F.struct(F.col(key).alias("_key"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(df.columns)])
-    scattered = df.select(bucket.alias("bucket"), record.alias("record"))
-    spread = scattered.repartition(n, "bucket") if n > partitions(df.sparkSession) else scattered  # few buckets in a task
+    spark = df.sparkSession
+    rows, total = df.agg(F.count("*"), F.sum(size)).first()
+    n = max(partitions(spark), -(-int(total or 0) // bucket_bytes))
+    code = F.xxhash64(F.lit(seed), F.col(key), *[F.col(f"`{c}`") for c in df.columns])
+    record = F.struct(F.col(key).alias("_key"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(df.columns)])
+    coded = df.select(code.alias("code"), record.alias("record"))
+    many = max(64, rows // (4 * n))
+    often = F.broadcast(df.select(code.alias("code")).groupBy("code").count().where(F.col("count") > many).select("code", F.lit(True).alias("often")))  # 4n at most
+    salted = coded.join(often, "code", "left").withColumn("salt", F.when(F.col("often"), F.monotonically_increasing_id()))
+    scattered = salted.select(F.pmod(F.xxhash64("code", "salt"), F.lit(n)).cast("int").alias("bucket"), "record")
+    spread = scattered.repartition(n, "bucket") if n > partitions(spark) else scattered  # few buckets in a task
     # The order of buckets within a task fixes what each takes from the random generator, also when a task runs again.
     packed = spread.groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records")).sortWithinPartitions("bucket")
     dealt = packed.select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
@@ -47,24 +53,35 @@ def shuffled(df: DataFrame, key: str = "doc_id", size: str = "size", shards: int
     )
 
 
+def _sized(df: DataFrame, text: str) -> DataFrame:
+    """The columns as c0, c1, ... and size, so that none of them can clash."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.withColumn("size", (F.octet_length(F.coalesce(F.col(f"c{df.columns.index(text)}"), F.lit(""))) + 1).cast("long"))
+
+
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard of every record; size is the text's bytes and one.
 
     Whole rows go through the shuffle; size and CRC are taken from the texts that come out of it.
 
-    The law that holds is ``rows``: counts of shards differ by one at most. A null text has no bytes and the CRC of none.
+    The law that holds is ``rows``: counts of shards differ by one at most. Groups of equal texts therefore aren't kept
+    together: a group may hold more rows than a shard. A null text has no bytes and the CRC of none.
     """
-    placed = shuffled(_sized(df, text), key, "_size")
-    plain = F.coalesce(F.col(text), F.lit(""))
+    placed = shuffled(_sized(df, text), f"c{df.columns.index(key)}", "size")
+    plain = F.coalesce(F.col(f"c{df.columns.index(text)}"), F.lit(""))
     size = (F.octet_length(plain) + 1).cast("long").alias("size")
-    return placed.select(key, size, F.crc32(plain.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _sized(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_size", (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long"))
+    return placed.select(F.col(f"c{df.columns.index(key)}").alias(key), size, F.crc32(plain.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", rows_per_file: int = 200_000, **options) -> None:
-    """Shuffle whole records and write them under ``path`` as Parquet, a folder per shard, files in slot order."""
-    placed = shuffled(_sized(df, text), key, "_size", **options).drop("_size").withColumn("file", F.floor(F.col("slot") / rows_per_file))
-    placed.repartition("shard", "file").sortWithinPartitions("shard", "file", "slot").write.partitionBy("shard", "file").parquet(path)
+    """Shuffle whole records and write them under ``path`` as Parquet, a folder per shard, files in slot order.
+
+    Columns named shard or slot give way to those of the shuffle; the folders' second name is ``file``, or that with
+    underscores where a column has it."""
+    df = df.drop("shard", "slot")
+    file = "file"
+    while file in df.columns:
+        file += "_"
+    placed = shuffled(_sized(df, text), f"c{df.columns.index(key)}", "size", **options).drop("size").toDF(*df.columns, "shard", "slot")
+    placed = placed.withColumn(file, F.floor(F.col("slot") / rows_per_file))
+    placed.repartition("shard", file).sortWithinPartitions("shard", file, "slot").write.partitionBy("shard", file).parquet(path)

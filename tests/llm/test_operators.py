@@ -309,8 +309,36 @@ def test_mix(spark, rows):
     assert mixing.digest(frame.limit(0)).count() == 0
 
 
-def test_mix_meets_targets_with_blocks_above_the_sources_sizes(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "LEAST_SLOTS", 1)
+def test_mix_of_rows_that_share_a_key(spark):
+    """Rows of the mix hold the words that the plan takes, whatever their keys and column names."""
+    rng = random.Random(4)
+    made = [(k % 5, words(rng, rng.choice([3, 90, 700])), "ab"[k % 2], 1, 2, 3, 4) for k in range(40)] + [(7, "one text", "b", 1, 2, 3, 4)] * 3 + [(None, "one text", None, 1, 2, 3, 4)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string, _id int, row int, _first int, words int")
+    mixed = mixing.mixed_rows(frame, block_words=64)
+    size = lambda t: len(t.split())
+    assert mixed.columns == frame.columns
+    assert sum(size(r["text"]) for r in collected(mixed)) == sum(r["taken"] for r in collected(mixing.digest(frame, block_words=64)))
+    per = collections.Counter()
+    for r in collected(mixed):
+        per[r["doc_id"]] += size(r["text"])
+    assert per == collections.Counter({k: n for k, n in collections.Counter([r["doc_id"] for r in collected(mixing.digest(frame, block_words=64)) for _ in range(r["taken"])]).items()})
+
+
+def test_schedule_keeps_sources_close_to_their_weights(spark):
+    """Every stretch of the schedule holds a source's share of slots, as golden-ratio points fall evenly."""
+    sources = spark.createDataFrame([(0, 5000, 5000, 5000.0), (1, 3000, 3000, 3000.0), (2, 2000, 2000, 2000.0)], "source_no long, blocks long, takes long, share double")
+    got = collected(mixing.schedule(spark, sources))
+    order = [r["source_no"] for r in sorted(got, key=lambda r: r["slot"])]
+    assert collections.Counter(order) == {0: 5000, 1: 3000, 2: 2000}
+    for k in range(0, 9000, 500):
+        part = collections.Counter(order[k : k + 1000])
+        assert all(abs(part[s] - w) <= 12 for s, w in ((0, 500), (1, 300), (2, 200)))
+    for s in range(3):
+        blocks = [r["block"] for r in sorted(got, key=lambda r: r["slot"]) if r["source_no"] == s]
+        assert blocks == list(range(len(blocks)))
+
+
+def test_mix_meets_targets_with_blocks_above_the_sources_sizes(spark):
     rng, sizes = random.Random(12), {"a": 60_000, "b": 1100, "c": 100, "d": 7, "e": 40_001}
     made, left = [], dict(sizes)
     while any(left.values()):
@@ -579,29 +607,39 @@ def test_shards(spark, rows, tmp_path):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert sorted(map(str, got)) == sorted(map(str, collected(sharding.digest(frame.repartition(7)))))
     assert sharding.digest(frame.limit(0)).count() == 0
-    sharding.write_shards(frame.drop("slot"), str(tmp_path / "s"))
+    sharding.write_shards(frame.withColumn("file", F.lit("f")).withColumn("size", F.lit("s")), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
 
 
 def test_shard_digest_is_of_the_texts_that_were_shuffled(spark, rows, monkeypatch):
-    from pyspark.sql import functions as F
-
     whole, columns = sharding.shuffled, []
 
     def marked(df, *args, **options):
         columns.extend(df.columns)
-        return whole(df, *args, **options).withColumn("text", F.concat("text", F.lit("!")))
+        return whole(df, *args, **options).withColumn("c1", F.concat("c1", F.lit("!")))
 
     monkeypatch.setattr(sharding, "shuffled", marked)
     got = collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in collected(sharding.digest(docs(spark, rows))))
     marks = lambda t: b"" if t is None else t.encode() + b"!"
-    assert set(docs(spark, []).columns) <= set(columns)
+    assert len(columns) == len(docs(spark, []).columns) + 1
     assert got == collections.Counter((k, len(marks(t)) + 1, zlib.crc32(marks(t))) for k, t, *_ in rows)
 
 
-def test_shards_of_many_buckets(spark, rows):
-    from pyspark.sql import functions as F
+def test_shards_spread_rows_of_one_key_and_equal_rows(spark):
+    """A third of the rows share a key, another third are the same row: no bucket takes much more than its share."""
+    made = [(7, f"text {k}") for k in range(1000)] + [(8, "the same")] * 1000 + [(100 + k, f"other {k}") for k in range(1000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    placed = sharding.shuffled(frame.withColumn("size", F.lit(100)), bucket_bytes=10_000)
+    assert sorted((r["slot"], r["shard"]) for r in collected(placed)) == [divmod(k, 8) for k in range(3000)]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in collected(placed)) == collections.Counter(made)
+    # In the order of the result, equal rows and rows of one key lie everywhere.
+    order = [r["doc_id"] for r in sorted(collected(placed), key=lambda r: (r["slot"], r["shard"]))]
+    for k in (7, 8):
+        share = [order[i : i + 300].count(k) for i in range(0, 3000, 300)]
+        assert min(share) > 50 and max(share) < 170
 
+
+def test_shards_of_many_buckets(spark, rows):
     frame = docs(spark, rows).drop("slot").withColumn("size", F.octet_length("text"))
     placed = sharding.shuffled(frame, bucket_bytes=2000)
     assert collections.Counter((r["doc_id"], r["text"]) for r in collected(placed)) == collections.Counter((k, t) for k, t, *_ in rows)
