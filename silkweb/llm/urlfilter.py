@@ -6,7 +6,6 @@ URLs, a bounded sample of them, on the driver; scoring runs in numpy batches on
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silkweb.llm.common import least_hashes
+from silkweb.llm.common import least_hashes, texts_of
 from silkweb.sources.shared import written
 
 #: Most distinct labelled URLs that the trees are fitted on: those with the least hashes.
@@ -30,6 +29,8 @@ LEAST_LEAF = 8
 LEAST_SUFFIX = 5
 #: Distinct suffixes that the statistic keeps, the most frequent.
 MOST_SUFFIXES = 4096
+#: Parts of the labelled URLs; the statistics that a URL is trained with come from the other parts.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -67,70 +68,115 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 # --- features ----------------------------------------------------------------------------------------------------------
 
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digits", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "upper", "longest_part", "fragment", "secure", "suffix_rate", "suffix_seen", "part_rate")
-_SPLIT = re.compile(r"(?s)^(?:.*?://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?$")
+PARTS = ("url", "host", "path", "query", "suffix", "part")
 
 
-def _entropy(text: str) -> float:
-    if not text:
-        return 0.0
-    counts = np.unique(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), return_counts=True)[1]
-    share = counts / counts.sum()
-    return float(-(share * np.log2(share)).sum())
-
+def parts_of(url: Column) -> list[Column]:
+    """The columns PARTS: a url, its host, path and query as they are, the host's last two labels, A-Z lower-cased, and
+    the path's first part. All are empty for null; without ``://`` the host starts the url."""
+    text = F.coalesce(url, F.lit(""))
+    rest = F.regexp_replace(text, r"(?s)^.*?://", "")
+    host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
+    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(rest, r"(?s)^[^?#]*\?([^#]*)", 1)
+    suffix = F.substring_index(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), ".", -2)
+    return [c.alias(n) for c, n in zip((text, host, path, query, suffix, F.regexp_extract(path, r"^/*([^/]*)", 1)), PARTS)]
+
+
+class _Bytes:
+    """Counts over the rows of an Arrow string column, from its buffer."""
+
+    def __init__(self, column) -> None:
+        self.data, at = texts_of(column)
+        self.data = self.data[at[0] : at[-1]]
+        self.size = np.diff(at)
+        self.rows = len(self.size)
+        self.owner = np.repeat(np.arange(self.rows), self.size)
+
+    def count(self, byte: bytes, upto: bytes | None = None) -> np.ndarray:
+        """Bytes that are one, or in a range of them."""
+        fits = self.data == byte[0] if upto is None else (self.data >= byte[0]) & (self.data <= upto[0])
+        return np.bincount(self.owner[fits], minlength=self.rows)
+
+    def entropy(self) -> np.ndarray:
+        """In bits, of the bytes of each row."""
+        n = np.bincount(self.owner * 256 + self.data, minlength=self.rows * 256).reshape(-1, 256)
+        share = n / np.maximum(self.size, 1)[:, None]
+        return -(share * np.log2(np.where(n > 0, share, 1))).sum(1)
+
+    def longest_between(self, byte: bytes) -> np.ndarray:
+        """Length of the longest run without the byte."""
+        first = np.cumsum(self.size) - self.size
+        edges = np.sort(np.concatenate((first - 1, np.flatnonzero(self.data == byte[0]))))
+        owner = np.minimum(np.searchsorted(first, edges + 1, "right") - 1, self.rows - 1) if self.rows else edges
+        ends = np.concatenate((edges[1:], [len(self.data)]))
+        run = np.minimum(ends, (first + self.size)[owner]) - edges - 1 if self.rows else edges
+        out = np.zeros(self.rows, np.int64)
+        np.maximum.at(out, owner, run)
+        return out
 
-def parts_of(url: str | None) -> tuple[str, str, str, str]:
-    """Host, path, query, fragment of a url, all empty for null."""
-    m = _SPLIT.match(url or "")
-    return tuple(x or "" for x in m.groups()) if m else ("", "", "", "")
 
+def _rates(known: DataFrame, key: str, base: float) -> Statistic:
+    """Over all rows of ``known`` (with y, n and fold), of the MOST_SUFFIXES most frequent keys."""
+    sums = known.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == f, v).otherwise(0)).alias(f"{name}{f}") for f in range(FOLDS) for name, v in (("y", F.col("y") * F.col("n")), ("n", F.col("n")))])
+    often = sums.where(F.col("n") >= LEAST_SUFFIX).orderBy(F.col("n").desc(), key).limit(MOST_SUFFIXES).collect()
+    fold = lambda name: np.array([[r[f"{name}{f}"] for f in range(FOLDS)] for r in often], float).reshape(-1, FOLDS)
+    return Statistic([r[key] for r in often], fold("y"), fold("n"), base)
 
-def suffix_of(url: str | None) -> str:
-    """The last two labels of the host."""
-    return ".".join(parts_of(url)[0].lower().split(".")[-2:])
 
+@dataclass
+class Statistic:
+    """Blocked URLs and URLs by key and fold."""
 
-def first_part(url: str | None) -> str:
-    return next((x for x in parts_of(url)[1].split("/") if x), "")[:32]
+    keys: list[str]
+    blocked: np.ndarray
+    n: np.ndarray
+    base: float
 
+    def of(self, column, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(smoothed share of blocked URLs, number of URLs) for a column of keys, without the rows' own folds."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def _rates(known: DataFrame, key: Column, base: float) -> dict[str, tuple[float, int]]:
-    """Smoothed shares of blocked URLs and numbers of URLs of the MOST_SUFFIXES most frequent keys, over all rows."""
-    sums = known.groupBy(key.alias("key")).agg(F.sum(F.col("y") * F.col("n")).alias("blocked"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_SUFFIX)
-    often = sums.orderBy(F.col("n").desc(), "key").limit(MOST_SUFFIXES).collect()
-    return {r["key"]: ((r["blocked"] + 4 * base) / (r["n"] + 4), r["n"]) for r in often}
+        at = pc.index_in(column, value_set=pa.array(self.keys, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        if not self.keys:
+            return np.full(len(at), self.base), np.zeros(len(at))
+        blocked, n = self.blocked.sum(1)[at], self.n.sum(1)[at]
+        if fold is not None:
+            blocked, n = blocked - self.blocked[at, fold], n - self.n[at, fold]
+        blocked, n = np.where(at < 0, 0, blocked), np.where(at < 0, 0, n)
+        return (blocked + 4 * self.base) / (n + 4), n
 
 
 @dataclass
 class Rates:
-    """Smoothed shares of blocked URLs by suffix of the host and by first part of the path."""
+    """Statistics by suffix of the host and by first part of the path."""
 
-    suffix: dict[str, tuple[float, int]]
-    part: dict[str, tuple[float, int]]
-    base: float
+    suffix: Statistic
+    part: Statistic
 
     @staticmethod
-    def of(known: DataFrame, url: str) -> Rates:
-        """Counted over all rows of ``known`` (url, y, and n of their copies)."""
+    def of(known: DataFrame) -> Rates:
         blocked, rows = known.agg(F.sum(F.col("y") * F.col("n")), F.sum("n")).first()
         base = blocked / rows if rows else 0.5
-        suffix, part = (F.udf(f, T.StringType())(F.col(url)) for f in (suffix_of, first_part))
-        return Rates(_rates(known, suffix, base), _rates(known, part, base), base)
-
-
-def features(urls: list[str | None], rates: Rates) -> np.ndarray:
-    out = np.zeros((len(urls), len(FEATURES)))
-    for k, url in enumerate(urls):
-        host, path, query, fragment = parts_of(url)
-        text = url or ""
-        n, labels, parts = max(1, len(text)), host.split("."), [x for x in path.split("/") if x]
-        suffix = rates.suffix.get(".".join(labels[-2:]).lower(), (rates.base, 0))
-        digits = sum(c.isdigit() for c in text)
-        out[k] = (
-            len(text), len(host), len(path), len(parts), len(labels), digits / n, sum(c.isdigit() for c in host), host.count("-"), _entropy(text), _entropy(host),
-            query.count("=") + query.count("&"), len(query), sum(c.isupper() for c in text), max(map(len, parts), default=0), bool(fragment), text[:8].lower() == "https://",
-            suffix[0], np.log1p(suffix[1]), rates.part.get(first_part(url), (rates.base, 0))[0],
-        )
-    return out
+        return Rates(_rates(known, "suffix", base), _rates(known, "part", base))
+
+
+def features(parts: dict, rates: Rates, fold: np.ndarray | None = None) -> np.ndarray:
+    """Rows of FEATURES from Arrow columns PARTS; ``fold`` leaves the rows' own folds out of the statistics."""
+    url, host, path, query = (_Bytes(parts[p]) for p in PARTS[:4])
+    suffix, seen = rates.suffix.of(parts["suffix"], fold)
+    parted = url.data.tobytes()
+    first = np.cumsum(url.size) - url.size
+    secure = np.array([parted[a : a + 8].lower() == b"https://" for a in first], bool)
+    return np.stack(
+        [
+            url.size, host.size, path.size, path.count(b"/"), host.count(b".") + 1, url.count(b"0", b"9") / np.maximum(url.size, 1), host.count(b"0", b"9"), host.count(b"-"), url.entropy(), host.entropy(),
+            query.count(b"=") + query.count(b"&"), query.size, url.count(b"A", b"Z"), path.longest_between(b"/"), url.count(b"#") > 0, secure,
+            suffix, np.log1p(seen), rates.part.of(parts["part"], fold)[0],
+        ],
+        1,
+    ).astype(float)
 
 
 # --- trees -------------------------------------------------------------------------------------------------------------
@@ -205,19 +251,22 @@ class Model:
     rates: Rates
     trees: Trees
 
-    def blocks(self, urls: list[str | None]) -> np.ndarray:
-        return self.trees.margin(features(urls, self.rates)) > 0
+    def blocks(self, parts: dict) -> np.ndarray:
+        return self.trees.margin(features(parts, self.rates)) > 0
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` distinct labelled URLs, taken by the hash of the URL so that reruns agree; shares of
-    suffixes and of first parts are counted over all labelled rows. A URL of both labels is there with each."""
-    known = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(url, F.col(label).cast("int").alias("y"))
-    known = written(known.groupBy(url, "y").agg(F.count("*").alias("n")), "url-labels")
-    rows = least_hashes(known.select(url, "y"), url, sample).toPandas()
-    urls, y = list(rows[url]), rows["y"].to_numpy(float)
-    rates = Rates.of(known, url)
-    return Model(rates, fit(features(urls, rates), y))
+    suffixes and of first parts are counted over all labelled rows, for a row in training without its own fold. A URL of
+    both labels is there with each."""
+    known = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(*parts_of(F.col(url)), F.col(label).cast("int").alias("y"))
+    # A host is one fold's, so its rows don't tell each other's labels through the suffix.
+    known = known.groupBy(*PARTS, "y").agg(F.count("*").alias("n")).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    known = written(known, "url-labels")
+    rows = least_hashes(known.drop("n"), "url", sample).toArrow().combine_chunks()
+    parts = {p: rows.column(p).combine_chunks() for p in PARTS}
+    rates = Rates.of(known)
+    return Model(rates, fit(features(parts, rates, rows.column("fold").to_numpy()), rows.column("y").to_numpy().astype(float)))
 
 
 def judge(df: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, key: str = "page_id", url: str = "url", sample: int = SAMPLE) -> DataFrame:
@@ -228,24 +277,26 @@ def judge(df: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, k
     one kind, the trees give that kind (allow if there are none). Repeated rows and null keys keep a row each.
     """
     host, path = host_and_path(F.col(url))
-    split = df.select(F.col(key), F.col(url).alias("_url"), host.alias("host"), path.alias("path"))
+    split = df.select(F.col(key).alias("id"), F.col(url).alias("whole"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split.select("*", rule.alias("rule"), verdict.alias("ruled"))
     if labelled is None:
-        labelled = ruled.where("ruled IS NOT NULL").select(F.col("_url").alias("url"), (F.col("ruled") == "block").alias("blocked"))
+        labelled = ruled.where("ruled IS NOT NULL").select(F.col("whole").alias("url"), (F.col("ruled") == "block").alias("blocked"))
     model = train(labelled, sample=sample)
-    schema = T.StructType([df.schema[key], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            decided = batch.column(batch.schema.get_field_index("ruled")).to_pylist()
-            urls = batch.column(batch.schema.get_field_index("_url")).to_pylist()
-            open_rows = [k for k, v in enumerate(decided) if v is None]
-            for k, blocked in zip(open_rows, model.blocks([urls[k] for k in open_rows])):
-                decided[k] = "block" if blocked else "allow"
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in (key, "host", "path", "rule")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(decided, pa.string())], names=[key, "host", "path", "rule", "verdict"])
-
-    return ruled.select(F.col(key), "_url", "host", "path", "rule", "ruled").mapInArrow(run, schema)
+            decided = batch.column(4)
+            undecided = pc.is_null(decided)
+            kind = np.zeros(batch.num_rows, bool)
+            some = batch.filter(undecided)
+            if some.num_rows:
+                kind[undecided.to_numpy(zero_copy_only=False)] = model.blocks({p: some.column(5 + k) for k, p in enumerate(PARTS)})
+            verdicts = pc.if_else(undecided, pc.if_else(pa.array(kind), "block", "allow"), decided)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], verdicts], names=schema.names)
+
+    return ruled.select("id", "host", "path", "rule", "ruled", *[c.alias(f"u_{n}") for c, n in zip(parts_of(F.col("whole")), PARTS)]).mapInArrow(run, schema)

@@ -422,6 +422,39 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in got.values()} <= {"allow", "block"} and urlfilter.judge(frame.limit(0), URL_RULES).count() == 0
 
 
+def url_parts(spark, urls):
+    made = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, u string").orderBy("k").select(*urlfilter.parts_of(F.col("u"))).toArrow()
+    return {p: made.column(p).combine_chunks() for p in urlfilter.PARTS}
+
+
+def test_url_features_against_plain_strings(spark):
+    urls = [None, "", "nothing", "https://A.b-c.Example.COM/x1/yyy22//z?a=1&b=2#f", "http://h.com", "x://h?q://y", "https://é.fr/ü/9?x", "http://h.com//deep/", "HTTPS://h.com/?#"]
+    rates = urlfilter.Rates(*(urlfilter.Statistic(["Example.com", "example.com", "deep"], np.ones((3, 5)), 2 * np.ones((3, 5)), 0.25) for _ in range(2)))
+    got = urlfilter.features(url_parts(spark, urls), rates)
+
+    def entropy(b):
+        return -sum(n / len(b) * math.log2(n / len(b)) for n in collections.Counter(b).values())
+
+    for u, row in zip(urls, got):
+        text = u or ""
+        rest = text.split("://", 1)[-1]
+        host = __import__("re").split("[/?#]", rest)[0]
+        path = __import__("re").split("[?#]", rest[len(host) :])[0]
+        query = rest[len(host) + len(path) :].split("#")[0][1:]
+        b = text.encode()
+        want = [len(b), len(host.encode()), len(path.encode()), path.count("/"), host.count(".") + 1, sum(48 <= c <= 57 for c in b) / max(1, len(b)), sum(c.isdigit() for c in host), host.count("-"), entropy(b), entropy(host.encode()), query.count("=") + query.count("&"), len(query), sum(65 <= c <= 90 for c in b), max(map(len, path.encode().split(b"/"))), "#" in text, text[:8].lower() == "https://"]
+        assert np.allclose(row[: len(want)], want), (u, row, want)
+    suffix = urlfilter.FEATURES.index("suffix_rate")
+    assert np.allclose(got[3, suffix : suffix + 2], [(5 + 1) / 14, np.log1p(10)]) and got[4, suffix] == 0.25 and np.isclose(got[7, -1], 6 / 14)
+
+
+def test_url_statistics_of_a_row_in_training_leave_its_fold_out():
+    import pyarrow as pa
+
+    s = urlfilter.Statistic(["a"], np.array([[3.0, 0, 0, 0, 0]]), np.array([[3.0, 1, 0, 0, 0]]), 0.5)
+    assert s.of(pa.array(["a", "a", "b"]), np.array([0, 1, 0]))[0].tolist() == [2 / 5, 5 / 7, 0.5]
+
+
 def test_url_trees_on_held_out_urls(spark):
     rng = random.Random(6)
     good = [f"https://{rng.choice(WORDS)}.example.com/{rng.choice(WORDS)}/{rng.choice(WORDS)}" for _ in range(400)]
@@ -429,8 +462,8 @@ def test_url_trees_on_held_out_urls(spark):
     labelled = spark.createDataFrame([(u, int(k >= 400)) for k, u in enumerate(good + bad) if k % 4], "url string, blocked int")
     model = urlfilter.train(labelled)
     held = [(u, k >= 400) for k, u in enumerate(good + bad) if not k % 4]
-    assert (model.blocks([u for u, _ in held]) == [y for _, y in held]).mean() > 0.95
-    assert urlfilter.train(labelled, sample=50).blocks([None, ""]).shape == (2,)
+    assert (model.blocks(url_parts(spark, [u for u, _ in held])) == [y for _, y in held]).mean() > 0.95
+    assert urlfilter.train(labelled, sample=50).blocks(url_parts(spark, [None, ""])).shape == (2,)
 
 
 def test_url_trees_learn_beside_a_hot_url(spark):
@@ -441,9 +474,8 @@ def test_url_trees_learn_beside_a_hot_url(spark):
     labelled = spark.createDataFrame([*((u, 0) for u in good), *((u, 1) for u in bad), *((u, 0) for u in hot for _ in range(500))], "url string, blocked int")
     model = urlfilter.train(labelled, sample=200)
     held = [(u.replace("a", "e"), y) for y, group in ((False, good), (True, bad)) for u in group]
-    assert (model.blocks([u for u, _ in held]) == [y for _, y in held]).mean() > 0.95
-    assert model.rates.suffix["example.com"][1] == 300 + 40 * 500
-    assert model.rates.suffix["shop.test"][1] == 300
+    assert (model.blocks(url_parts(spark, [u for u, _ in held])) == [y for _, y in held]).mean() > 0.95
+    assert dict(zip(model.rates.suffix.keys, model.rates.suffix.n.sum(1))) == {"example.com": 300 + 40 * 500, "shop.test": 300}
 
 
 # --- language model ----------------------------------------------------------------------------------------------------
