@@ -185,6 +185,44 @@ def row_words_and_tails(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int,
         row = upto
 
 
+# --- texts in batches that meet counts in shards -----------------------------------------------------------------------
+
+bundled = "shard long, batch long, kind long, payload binary"
+
+
+def bundles(batches: Iterator, text: int, size: int) -> Iterator[tuple[int, list]]:
+    """(number, Arrow batches) of about ``size`` bytes of text in column ``text``, the same at every reading."""
+    from pyspark import TaskContext
+
+    number, held, rows = TaskContext.get().partitionId() << 24, 0, []
+    for batch in batches:
+        rows.append(batch)
+        _, at = texts_of(batch.column(text))
+        held += int(at[-1] - at[0])
+        if held > size:
+            yield number, rows
+            number, held, rows = number + 1, 0, []
+    if rows:
+        yield number, rows
+
+
+def packed_row(shard: int, batch: int, kind: int, payload: bytes):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict({"shard": [shard], "batch": [batch], "kind": [kind], "payload": [payload]}, schema=pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("kind", pa.int64()), ("payload", pa.binary())]))
+
+
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` where it but reads, filters and projects stored rows, whose partitions hold the same rows at every reading;
+    else written."""
+    nodes, plain = [df._jdf.queryExecution().optimizedPlan()], True
+    while nodes:
+        node = nodes.pop()
+        plain &= node.nodeName().split(" ")[0] in ("Project", "Filter", "LogicalRelation", "LocalRelation")
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return df if plain else written(df, name)
+
+
 # --- relational helpers ------------------------------------------------------------------------------------------------
 
 

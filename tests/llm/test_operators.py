@@ -497,6 +497,60 @@ def test_lm_scores(spark, rows, monkeypatch):
     assert maxent.scores(docs(spark, ODD).limit(0)).count() == 0
 
 
+def plain_scores(rows):
+    """log10 probability of every text, from dictionaries: pairs, then classes with two features, then shares of them."""
+    from silkweb.llm.common import word_hashes
+
+    held = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % 5 == 1
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    code = lambda w: np.array([maxent.END], np.uint64) if w is None else np.array([maxent.START], np.uint64) if w == 0 else word_hashes(np.frombuffer(w, np.uint8))[0]
+    c, pairs = collections.Counter(), collections.defaultdict(collections.Counter)
+    train = [tokens(t) for k, t, *_ in rows if not held(k)]
+    for words_ in train:
+        c.update(words_)
+        for a, b in zip([0, *words_], words_):
+            pairs[a][b] += 1
+    ranked = sorted(c, key=lambda w: (-c[w], int(code(w).view(np.int64)[0])))
+    singles = sorted(ranked[: maxent.SINGLES], key=lambda w: int(code(w)[0]))
+    bin_ = lambda w: 0 if w is None else int(maxent.bin_of(np.array([(w[-1] + 1) * 256 + (w[-2] + 1 if len(w) > 1 else 0)]))[0])
+    class_ = lambda w: singles.index(w) if w in singles else len(singles) + bin_(w)
+    of_bin = [0.5] * maxent.BINS
+    for w in c:
+        if w not in singles:
+            of_bin[bin_(w)] += c[w] + 0.5
+    softmax = maxent.Softmax(np.array([c[w] + 0.5 for w in singles] + of_bin))
+    size = 1 << min(max((len(c) // 4).bit_length(), maxent.LEAST_ROWS.bit_length() - 1), maxent.MOST_ROWS.bit_length() - 1)
+    feature = lambda a, b: maxent._features((code(a), code(b)), size)
+    met = np.zeros((size, 64), np.int64)
+    for words_ in train:
+        for two, one, w in zip([0, 0, *words_], [0, *words_], words_):
+            for row in feature(one, two):
+                met[row[0], class_(w)] += 1
+    softmax.update(met)
+
+    def score(words_):
+        total = 0.0
+        for two, one, w in zip([0, 0, *words_], [0, *words_], words_):
+            p = math.exp(softmax.log_p(feature(one, two), np.array([class_(w)]))[0]) * (1 if w in singles else (c[w] + 0.5) / of_bin[bin_(w)])
+            after = pairs.get(one)
+            if after:
+                n = sum(after.values())
+                p = max(after.get(w, 0) - maxent.DISCOUNT, 0) / n + maxent.DISCOUNT * len(after) / n * p
+            total += math.log10(p)
+        return total
+
+    return [score(tokens(t)) for _, t, *_ in rows]
+
+
+def test_lm_scores_against_dictionaries(spark, rows, monkeypatch):
+    monkeypatch.setattr(maxent, "FREQUENT", 60)
+    want = sorted((str(k), round(x, 3)) for (k, *_), x in zip(rows, plain_scores(rows)))
+    for size in (1 << 24, 3000):  # in one batch a task, and in many
+        monkeypatch.setattr(maxent, "BATCH_BYTES", size)
+        got = sorted((str(r["doc_id"]), round(r["score"], 3)) for r in collected(maxent.scores(docs(spark, rows).repartition(5))))
+        assert [k for k, _ in got] == [k for k, _ in want] and all(abs(a - b) <= 2e-3 + 1e-5 * abs(b) for (_, a), (_, b) in zip(got, want))
+
+
 def test_lm_learns_context(spark):
     rng = random.Random(9)
     text = lambda own: " ".join(w for _ in range(60) for w in (rng.choice(own), rng.choice(own)))
@@ -505,13 +559,26 @@ def test_lm_learns_context(spark):
     assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)
 
 
+def test_lm_tells_texts_that_occur_twice(spark):
+    """Copies in training and left out: their words follow each other as they did before."""
+    rng = random.Random(14)
+    texts = [words(rng, 60) for _ in range(200)]
+    made = [(k, t, "en", "a") for k, t in enumerate(texts)] + [(1000 + k, t, "en", "a") for k, t in enumerate(texts[:60])]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in collected(maxent.scores(docs(spark, made))) if r["held_out"]}
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    twice = [got[k] for k in got if (k >= 1000 and not held(k - 1000)) or (k < 60 and not held(k + 1000))]
+    once = [got[k] for k in got if 60 <= k < 1000]
+    assert len(twice) > 10 and min(twice) > max(once)
+
+
 def test_lm_probabilities_add_up():
     rng = np.random.default_rng(0)
     softmax = maxent.Softmax(rng.uniform(1, 9, 60))
-    weights = rng.standard_normal((maxent.ROWS * (1 + maxent.GROUP), maxent.GROUP)).astype(np.float32)
-    features = np.tile(np.array([[1], [3], [5]]), (1, 64))
-    assert abs(np.exp(softmax.log_p(weights, features, np.arange(64))).sum() - 1) < 1e-5
-    assert np.allclose(np.exp(softmax.log_p(0 * weights, features, np.arange(64))).sum(), 1)
+    features = np.tile(np.array([[1], [3]]), (1, 64))
+    softmax.weights = np.zeros((8 * (1 + maxent.GROUP), maxent.GROUP), np.float32)
+    assert np.allclose(np.exp(softmax.log_p(features, np.arange(64))).sum(), 1)
+    softmax.update(rng.integers(0, 50, (8, 64)))
+    assert abs(np.exp(softmax.log_p(features, np.arange(64))).sum() - 1) < 1e-5
 
 
 # --- quality -----------------------------------------------------------------------------------------------------------
