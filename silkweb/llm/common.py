@@ -36,6 +36,12 @@ def n_words(text: Column) -> Column:
     return F.length(F.regexp_replace(starts, rf"[{SPACE}]", "")).cast("long")
 
 
+def distinct(*parts: np.ndarray) -> np.ndarray:
+    """The different values of arrays, in order."""
+    every = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+    return every[np.concatenate(([True], every[1:] != every[:-1]))] if len(every) else every
+
+
 # --- words of UTF-8 buffers, hashed without making strings -------------------------------------------------------------
 
 _IS_SPACE = np.zeros(256, bool)
