@@ -218,15 +218,25 @@ def packed_row(shard: int, batch: int, kind: int, payload: bytes):
     return pa.RecordBatch.from_pydict({"shard": [shard], "batch": [batch], "kind": [kind], "payload": [payload]}, schema=pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("kind", pa.int64()), ("payload", pa.binary())]))
 
 
-def stable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` where it but reads, filters and projects stored rows, whose partitions hold the same rows at every reading;
-    else written."""
+def _is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` but reads, filters and projects stored files, whose partitions hold the same rows at every reading.
+
+    How files are cut depends on the number of cores, which changes when executors come and go: it is fixed here.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     nodes, plain = [df._jdf.queryExecution().optimizedPlan()], True
     while nodes:
         node = nodes.pop()
-        plain &= node.nodeName().split(" ")[0] in ("Project", "Filter", "LogicalRelation", "LocalRelation")
+        plain &= node.nodeName().split(" ")[0] in ("Project", "Filter", "LogicalRelation")
         nodes += [node.children().apply(k) for k in range(node.children().size())]
-    return df if plain else written(df, name)
+    return plain
+
+
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` where its partitions hold the same rows at every reading; else written."""
+    return df if _is_stored(df) else written(df, name)
 
 
 # --- relational helpers ------------------------------------------------------------------------------------------------
@@ -315,5 +325,7 @@ def components(links: DataFrame, name: str = "links", most_rounds: int = 60) ->
 
 
 def numbered(df: DataFrame, name: str, column: str = "row") -> DataFrame:
-    """``df`` written with a number for each row, unique and the same wherever it is read. Numbers follow no order."""
-    return written(df.withColumn(column, F.monotonically_increasing_id()), name)
+    """``df`` with a number for each row, unique and the same at every reading; written unless it is read from stored
+    files. Numbers follow no order."""
+    rows = df.withColumn(column, F.monotonically_increasing_id())
+    return rows if _is_stored(df) else written(rows, name)
