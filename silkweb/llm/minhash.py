@@ -36,7 +36,7 @@ K = 64
 #: one link in a million on the very threshold is missed.
 LEAST_ESTIMATE = 0.5
 #: Rounds of comparing one member of each list with the others.
-STARS = 2
+STARS = 1
 #: Shingles that a block of documents holds, about.
 BLOCK_SHINGLES = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
