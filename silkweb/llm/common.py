@@ -13,7 +13,7 @@ from silkweb.sources.shared import written
 #: White space between words: \x20 and \x09-\x0D.
 SPACE = r"\x20\x09-\x0D"
 #: Text that one numpy step holds, in bytes; longer texts are taken in slices.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

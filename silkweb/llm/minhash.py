@@ -38,7 +38,7 @@ LEAST_ESTIMATE = 0.5
 #: Rounds of comparing one member of each list with the others.
 STARS = 1
 #: Shingles that a block of documents holds, about.
-BLOCK_SHINGLES = 150_000
+BLOCK_SHINGLES = 60_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(1 << 63)
 
@@ -116,8 +116,8 @@ def _common(sets: list[np.ndarray], most_sparse: int = 24) -> np.ndarray:
     n = np.diff(np.concatenate((start, [len(values)])))
     for d in np.unique(n[(n > 1) & (n <= most_sparse)]):
         at = start[n == d]
-        for k in range(0, len(at), max(1, 2_000_000 // (d * d))):
-            who = owner[at[k : k + max(1, 2_000_000 // (d * d)), None] + np.arange(d)]
+        for k in range(0, len(at), max(1, 500_000 // (d * d))):
+            who = owner[at[k : k + max(1, 500_000 // (d * d)), None] + np.arange(d)]
             out += np.bincount((who[:, :, None] * m + who[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
     often = np.flatnonzero(n > most_sparse)
     for k in range(0, len(often), 2048):
@@ -149,8 +149,8 @@ def estimates(sketch: np.ndarray, held: np.ndarray, a: np.ndarray, b: np.ndarray
     """Share of the least K values of the union that both sketches hold, for pairs (a, b) of rows of ``sketch``, of
     which ``held`` values count."""
     out = np.empty(len(a))
-    for k in range(0, len(a), 16_384):
-        i, j = a[k : k + 16_384], b[k : k + 16_384]
+    for k in range(0, len(a), 4_096):
+        i, j = a[k : k + 4_096], b[k : k + 4_096]
         counts = np.concatenate([np.arange(sketch.shape[1]) < held[i, None], np.arange(sketch.shape[1]) < held[j, None]], 1)
         both = np.concatenate([sketch[i], sketch[j]], 1)
         order = np.argsort(np.where(counts, both, np.uint64(2**64 - 1)), 1, kind="stable")
@@ -159,7 +159,7 @@ def estimates(sketch: np.ndarray, held: np.ndarray, a: np.ndarray, b: np.ndarray
         again[:, 1:] = (both[:, 1:] == both[:, :-1]) & counts[:, 1:] & counts[:, :-1]
         rank = np.cumsum(counts & ~again, 1)
         least = np.minimum(rank[:, -1], K)
-        out[k : k + 16_384] = (again & (rank <= least[:, None])).sum(1) / np.maximum(least, 1)
+        out[k : k + 4_096] = (again & (rank <= least[:, None])).sum(1) / np.maximum(least, 1)
     return out
 
 
