@@ -1,280 +1,21 @@
-"""Readable text and links of HTML pages.
-
-A tolerant tree builder on the standard library's tokenizer, a small selector matcher, and two Arrow UDFs. Pages are
-parsed once: ``page_parts`` gives links and text together.
-"""
+"""Readable text and links of HTML pages, and the Arrow UDFs that read columns of them."""
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silkweb.functions.htmltree import Comment, Node, parse_html
+from silkweb.functions.selectors import SelectorError, compile_selector, select
 from silkweb.functions.urls import UrlError, parse
 
-_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = {"script", "style"}
-_HEAD_ONLY = set("base link meta title script style noscript template".split())
-#: Opening one of the tags ends an open element of the set, up to the elements that stop the search.
-_P_ENDS = set("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
-    "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
-    "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
-}
-_SCOPES = {"table", "td", "th", "caption", "button", "object", "template", "html"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Node | str] = []
-
-    def elements(self):
-        """Elements below, in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#document", {}, None)
-        self.html = self._add(Node("html", {}, self.root))
-        self.head = self._add(Node("head", {}, self.html))
-        self.body: Node | None = None
-        self.open: list[Node] = [self.html, self.head]
-
-    def _add(self, node: Node) -> Node:
-        node.parent.children.append(node)
-        return node
-
-    def _in_body(self) -> None:
-        if self.body is None:
-            self.body = self._add(Node("body", {}, self.html))
-            self.open = [self.html, self.body]
-
-    def _close(self, tags: set[str], stop: set[str]) -> None:
-        for k in range(len(self.open) - 1, 1, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return self._close(tags, stop) if len(tags) > 1 else None
-            if self.open[k].tag in stop:
-                return None
-        return None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values.setdefault(name, value or "")
-        if tag == "html" or tag == "head":
-            if tag == "html":
-                self.html.attrs.update({k: v for k, v in values.items() if k not in self.html.attrs})
-            return
-        if tag == "body":
-            self._in_body()
-            self.body.attrs.update({k: v for k, v in values.items() if k not in self.body.attrs})
-            return
-        if self.body is None and tag not in _HEAD_ONLY:
-            self._in_body()
-        if tag in _ENDS:
-            self._close(*_ENDS[tag])
-        if tag in _P_ENDS:
-            self._close({"p"}, _SCOPES)
-        node = self._add(Node(tag, values, self.open[-1]))
-        if tag not in _VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "head" and self.body is None:
-            self.open = [self.html, self.head]
-            self._in_body()
-        if tag in ("html", "body", "head") or tag in _VOID:
-            return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                if not self.open[1:]:
-                    self.open.append(self.body or self.head)
-                return
-        if tag == "p":
-            self.handle_starttag("p", [])
-            self.open.pop()
-
-    def handle_data(self, data: str) -> None:
-        at = self.open[-1]
-        if at.tag in ("html", "head"):
-            if not data.strip(" \t\n\f\r"):
-                return
-            self._in_body()
-            at = self.body
-        if at.children and isinstance(at.children[-1], str):
-            at.children[-1] += data
-        else:
-            at.children.append(data)
-
-    def handle_comment(self, data: str) -> None:
-        # A comment parts the texts around it, as a node of its own would.
-        if self.open[-1].tag not in ("html", "head"):
-            self.open[-1].children.append("")
-
-
-def parse_html(text: str) -> Node:
-    builder = _Builder()
-    builder.feed(text)
-    builder.close()
-    builder._in_body()
-    return builder.root
-
-
-# --- selectors ---------------------------------------------------------------------------------------------------------
-
-_NAME = r"(?:[\w\-]|[^\x00-\x7f]|\\.)+"
-_SIMPLE = re.compile(rf"""(?P<any>\*)|\#(?P<id>{_NAME})|\.(?P<cls>{_NAME})|(?P<tag>{_NAME})|\[\s*(?P<attr>{_NAME})\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>{_NAME}))\s*(?P<case>[iIsS])?\s*)?\]""", re.X)
-
-
-class SelectorError(ValueError):
-    """The selector isn't among those that are understood."""
-
-
-def _unescaped(name: str) -> str:
-    return re.sub(r"\\(.)", r"\1", name)
-
-
-def _attr_test(name: str, op: str | None, want: str, fold: bool):
-    if fold:
-        want = want.lower()
-
-    def test(node: Node) -> bool:
-        have = node.attrs.get(name)
-        if have is None or op is None:
-            return have is not None
-        if fold:
-            have = have.lower()
-        if op == "=":
-            return have == want
-        if op == "~=":
-            return bool(want) and want in have.split()
-        if op == "|=":
-            return have == want or have.startswith(want + "-")
-        return bool(want) and (have.startswith(want) if op == "^=" else have.endswith(want) if op == "$=" else want in have)
-
-    return test
-
-
-def _tests(compound: str) -> list:
-    out, at = [], 0
-    while at < len(compound):
-        m = _SIMPLE.match(compound, at)
-        if not m or (m["tag"] and at):
-            raise SelectorError(compound)
-        if m["tag"]:
-            out.append(lambda n, tag=_unescaped(m["tag"]).lower(): n.tag == tag)
-        elif m["id"]:
-            out.append(lambda n, want=_unescaped(m["id"]): n.attrs.get("id") == want)
-        elif m["cls"]:
-            out.append(lambda n, want=_unescaped(m["cls"]): want in n.attrs.get("class", "").split())
-        elif m["attr"]:
-            want = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), "")
-            out.append(_attr_test(_unescaped(m["attr"]).lower(), m["op"], want, (m["case"] or "").lower() == "i"))
-        at = m.end()
-    return out
-
-
-@lru_cache(maxsize=512)
-def compile_selector(selector: str) -> tuple:
-    """A list of alternatives, each [(combinator, tests), ...] from right to left. SelectorError if not understood."""
-    alternatives = []
-    for part in re.findall(r"""((?:[^,"'\[]|\[[^\]]*\]|"[^"]*"|'[^']*')+)""", selector):
-        text = re.sub(r"\s*([>+~])\s*(?![^\[]*\])", r"\1", part.strip())
-        pieces = re.split(r"([>+~]|\s+)(?![^\[]*\])", text)
-        if not text or not pieces[-1] or not pieces[0]:
-            raise SelectorError(selector)
-        chain = [(None, _tests(pieces[-1]))]
-        for k in range(len(pieces) - 3, -1, -2):
-            chain.append((pieces[k + 1].strip() or " ", _tests(pieces[k])))
-        alternatives.append(chain)
-    if not alternatives:
-        raise SelectorError(selector)
-    return tuple(alternatives)
-
-
-def _before(node: Node) -> list[Node]:
-    """Elder siblings, the nearest first."""
-    siblings = [c for c in node.parent.children if isinstance(c, Node)] if node.parent else []
-    at = next((k for k, c in enumerate(siblings) if c is node), 0)
-    return siblings[:at][::-1]
-
-
-def _fits(node: Node, chain: list, at: int = 0) -> bool:
-    if not all(test(node) for test in chain[at][1]):
-        return False
-    if at + 1 == len(chain):
-        return True
-    how = chain[at + 1][0]
-    if how == ">":
-        return node.parent is not None and _fits(node.parent, chain, at + 1)
-    if how == "+":
-        return any(_fits(n, chain, at + 1) for n in _before(node)[:1])
-    if how == "~":
-        return any(_fits(n, chain, at + 1) for n in _before(node))
-    up = node.parent
-    while up is not None:
-        if _fits(up, chain, at + 1):
-            return True
-        up = up.parent
-    return False
-
-
-_PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9]*")
-_OF_ATTRIBUTE = re.compile(r"\[\s*([A-Za-z\-]+)[^\]]*\]")
-
+__all__ = ["Node", "SelectorError", "compile_selector", "discover_links", "discover_links_column", "extract_text", "extract_text_column", "links_of", "parse_html", "select", "stripped", "text_of"]
 
-@lru_cache(maxsize=512)
-def _indexed(selector: str) -> tuple[frozenset, tuple, tuple]:
-    """A selector's plain tags, its alternatives of one attribute under the attribute's name, and the others."""
-    tags, of_attribute, others = set(), [], []
-    for part in re.findall(r"""((?:[^,"'\[]|\[[^\]]*\]|"[^"]*"|'[^']*')+)""", selector):
-        text = part.strip()
-        if _PLAIN.fullmatch(text):
-            tags.add(text.lower())
-        elif m := _OF_ATTRIBUTE.fullmatch(text):
-            of_attribute.append((m[1].lower(), *compile_selector(text)))
-        else:
-            others += compile_selector(text)
-    return frozenset(tags), tuple(of_attribute), tuple(others)
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """Elements that fit the selector, in document order. Plain tags and missing attributes are settled by look-up."""
-    compile_selector(selector)
-    tags, of_attribute, others = _indexed(selector)
-    out = []
-    for n in root.elements():
-        if n.tag in tags or (n.attrs and any(name in n.attrs and _fits(n, chain) for name, chain in of_attribute)) or any(_fits(n, chain) for chain in others):
-            out.append(n)
-    return out
+_RAW = {"script", "style"}
 
 
 # --- text and links ----------------------------------------------------------------------------------------------------
@@ -307,9 +48,9 @@ def _texts(node: Node, gone: set[int], out: list[str]) -> None:
     while stack:
         child = stack.pop()
         if isinstance(child, str):
-            if child:
+            if not isinstance(child, Comment):
                 out.append(child)
-        elif id(child) not in gone and child.tag not in _RAW:
+        elif id(child) not in gone and child.tag not in _RAW and child.tag != "#content":
             stack.extend(reversed(child.children))
 
 
@@ -345,6 +86,14 @@ def text_of(page: Node, remove: list[str] = (), root: str | list[str] | None = N
     return tidy(" ".join(out))
 
 
+def stripped(page: Node, remove: list[str]) -> Node:
+    """The page itself without comments and what ``remove`` selects; texts on either side stay apart."""
+    gone = _removed(page, list(remove))
+    for node in [page, *page.elements()]:
+        node.children = [c for c in node.children if not isinstance(c, Comment) and id(c) not in gone]
+    return page
+
+
 def links_of(page: Node, base: str) -> list[str]:
     """Distinct absolute links of the anchors, in document order; links within the page and to no page are left out."""
     try:

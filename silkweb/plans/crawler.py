@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silkweb.functions.content import content_kind, gate_passes, parse_json, parse_strict, skip_reason, stringify, to_text
-from silkweb.functions.html import extract_text, links_of, parse_html, text_of
+from silkweb.functions.html import extract_text, links_of, parse_html, stripped, text_of
 from silkweb.functions.patterns import admitted
 from silkweb.functions.sitemap import parse_sitemap
 from silkweb.functions.urls import normalize, normalize_or_none, normalize_url, resolve
@@ -40,7 +40,8 @@ _FIXED = ("url", "content", "crawledAt", "data")
 def parsed(passed: DataFrame, config: Mapping, hooks: Mapping[str, list] | None = None, now: str = "") -> DataFrame:
     """Content, links and hash of responses that passed the gate (seq, url, depth, data, status, headers, kind, rule).
 
-    Pages are parsed once, for links before anything is removed and for text after.
+    Pages are parsed once, for links before anything is removed and for text after; the hook for links sees the whole
+    page, the one for text what is left of it.
     """
     hooks = hooks or {}
     rules = {k: effective(config, k)["extract"] for k in range(-1, len(config["sites"]))}
@@ -51,13 +52,14 @@ def parsed(passed: DataFrame, config: Mapping, hooks: Mapping[str, list] | None
         extract, page, links, data = rules[row.rule], None, [], None
         if row.kind == "html":
             page = parse_html(to_text(row.data))
-            links = links_of(page, row.url)
-            content = text_of(page, extract["remove_selectors"], extract["root"], extract["root_fallback"])
+            links = reduced(hooks.get("links", ()), links_of(page, row.url), page, entry, result)
+            content = text_of(stripped(page, extract["remove_selectors"]), [], extract["root"], extract["root_fallback"])
         elif row.kind == "json" and extract["json"] is not False:
             data, content = parse_json(row.data)
         else:
             content = to_text(row.data)
-        links = reduced(hooks.get("links", ()), links, page, entry, result)
+        if page is None:
+            links = reduced(hooks.get("links", ()), links, None, entry, result)
         content = reduced(hooks.get("extract", ()), content, page, entry, result)
         url, extra = row.url, {}
         if hooks.get("transform"):

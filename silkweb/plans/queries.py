@@ -111,6 +111,30 @@ def extract_text_root(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", html.extract_text_column(F.col("html"), REMOVED_ELEMENTS, root="article").alias("content"))
 
 
+#: Faults put before a page's article: an anchor in an anchor, markup in a text field, a table that holds all that follows.
+FAULTS = '<p><a href="/one">1<a href="/two">2</a><b>3<i>4</b>5</i></p><textarea><b>6</b></textarea><table><tr><td>7</td></tr>'
+
+
+def faulty_pages(spark, sf_dir):
+    """Text and links of pages with faults, which only the standard's tree tells: what follows the table comes before it."""
+    page = F.replace("html", F.lit("<article>"), F.lit(FAULTS + "<article>"))
+    rows = _known(spark, sf_dir).where("contains(html, '<article>')").select("page_id", "norm", page.alias("html"))
+    links = F.filter(html.discover_links_column(F.col("html"), F.col("norm")), lambda x: x.endswith("/one") | x.endswith("/two"))
+    cells = html.extract_text_column(F.col("html"), root="table td, textarea, p:has(> a ~ a) > :not(a)")
+    return rows.select("page_id", html.extract_text_column(F.col("html"), REMOVED_ELEMENTS).alias("content"), F.array_join(links, " ").alias("links"), cells.alias("cells"))
+
+
+def selected_text(spark, sf_dir):
+    """Text by selectors of structure and content, a site's own among them."""
+    sites = [{"match": "example.net", "extract": {"root": "article > p:nth-child(2)", "remove_selectors": {"replace": ["nav", "article > :last-child:not(:nth-child(2))"]}}}]
+    config = load_config({"start_urls": CONFIG["start_urls"], "sites": sites, "extract": {"root": "article:not(:empty)", "remove_selectors": {"extend": ["article > :nth-child(n + 2)", "nav li:nth-last-child(2)"]}}})
+    rule = rules.site_rule(F.col("norm"), config["sites"])
+    rows = _known(spark, sf_dir).where("contains(html, '<article>')").withColumn("rule", rule)
+    made = [rules.effective(config, k)["extract"] for k in (-1, 0)]
+    each = [rows.where(F.col("rule") == k - 1).select("page_id", html.extract_text_column(F.col("html"), e["remove_selectors"], e["root"]).alias("content")) for k, e in enumerate(made)]
+    return each[0].union(each[1])
+
+
 def _links(spark, sf_dir) -> DataFrame:
     rows = _known(spark, sf_dir).select("page_id", "norm", "html")
     return rows.select("page_id", "norm", F.posexplode(html.discover_links_column(F.col("html"), F.col("norm"))).alias("pos", "dst"))
@@ -270,7 +294,7 @@ PATTERNS = {"pattern_regex": "/example\\.(com|net)\\/en/", "pattern_substring":
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (flagship, url_normalize, url_parts, pattern_any, crawl_admission, exclude_binary, frontier_dedup, extract_text, extract_text_root, discover_links, link_outdegree, link_first_discovery, content_gate, parse_json_pretty, content_hash, duplicate_content, site_override, route_records, route_counts, output_exclude, output_lines, output_jsonl, output_json, queue_states, next_dataset_id, requeue_errors, max_pages_cutoff, crawl_bfs, parse_sitemap)
+    plain = (flagship, url_normalize, url_parts, pattern_any, crawl_admission, exclude_binary, frontier_dedup, extract_text, extract_text_root, faulty_pages, selected_text, discover_links, link_outdegree, link_first_discovery, content_gate, parse_json_pretty, content_hash, duplicate_content, site_override, route_records, route_counts, output_exclude, output_lines, output_jsonl, output_json, queue_states, next_dataset_id, requeue_errors, max_pages_cutoff, crawl_bfs, parse_sitemap)
     return {f.__name__: f for f in plain} | {name: _pattern(p) for name, p in PATTERNS.items()} | crawl_queries.queries()
 
 
@@ -306,6 +330,9 @@ SELECT page_id, origin[9:] AS host, array_to_string(seg, '|') AS segments, array
         "frontier_dedup": f"WITH {_N} SELECT norm AS url, min(page_id) AS page_id FROM n WHERE norm NOT IN (SELECT norm FROM n WHERE page_id % 7 = 0) GROUP BY norm",
         "extract_text": f"SELECT page_id, {_text_sql('html')} AS content FROM pages",
         "extract_text_root": f"SELECT page_id, {_text_sql(article)} AS content FROM pages",
+        "faulty_pages": f"""WITH {_N}, s AS (SELECT page_id, {_ORIGIN} AS o, {_text_sql("split_part(html, '<article>', 1)")} AS a, {_text_sql("regexp_extract(html, '(?s)<article>.*$', 0)")} AS b FROM n WHERE contains(html, '<article>'))
+SELECT page_id, trim(regexp_replace(a || ' 1 2 3 4 5 ' || b || ' 7', ' {{2,}}', ' ', 'g')) AS content, o || '/one ' || o || '/two' AS links, '3 4 5 <b>6</b> 7' AS cells FROM s""",
+        "selected_text": f"""WITH {_N} SELECT page_id, CASE WHEN contains(norm, 'example.net') THEN {_text_sql("regexp_extract(html, '(?s)</h1><p>(.*?)(</?p>|</article>)', 1)")} ELSE {_text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} END AS content FROM n WHERE contains(html, '<article>')""",
         "discover_links": f"WITH {_links_sql()} SELECT page_id, pos, dst FROM links",
         "link_outdegree": f"WITH {_links_sql()} SELECT page_id, count(*) AS links FROM links GROUP BY page_id",
         "link_first_discovery": f"WITH {_links_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY page_id, pos) AS rn FROM links WHERE dst NOT IN (SELECT norm FROM n)) SELECT dst AS url, norm AS referrer, page_id, pos FROM o WHERE rn = 1",

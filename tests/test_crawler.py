@@ -3,7 +3,9 @@ import threading
 
 import pytest
 
-from silkweb.plans.crawler import Crawler, run_crawlers
+from silkweb.functions.html import select, text_of
+from silkweb.plans.config import load_config
+from silkweb.plans.crawler import Crawler, parsed, run_crawlers
 from silkweb.sources.fetch import FetchError, HttpFetcher, RateLimitError, TableFetcher
 from silkweb.streaming.ingest import stream_records
 
@@ -125,6 +127,18 @@ def test_a_cut_within_a_wave_gives_each_record_once(spark, tmp_path, monkeypatch
     assert states(again.queue) == states(crawler(spark, tmp_path / "whole").run())
 
 
+def test_the_extract_hook_gets_what_is_left_of_the_page(spark):
+    page = "<body><nav><a href=/n>n</a></nav><p>a<!-- c --><b>b</b><script>s</script></p></body>"
+    row = [(0, "https://w.com/", 0, None, bytearray(page.encode()), 200, None, "html", -1)]
+    rows = spark.createDataFrame(row, "seq bigint, url string, depth int, referrer string, data binary, status int, headers map<string,string>, kind string, rule int")
+    seen = {
+        "links": [lambda links, page, entry, result: [*links, str(len(select(page, "nav, script")))]],
+        "extract": [lambda content, page, entry, result: f"{content}|{len(select(page, 'nav, script'))}|{text_of(page)}"],
+    }
+    got = parsed(rows, load_config({"start_urls": ["https://w.com/"]}), seen).first()
+    assert got["links"] == ["https://w.com/n", "2"] and got["content"] == "a b|0|a b"
+
+
 def test_hooks_get_what_they_should(spark, tmp_path):
     c = crawler(spark, tmp_path, max_depth=2)
 
