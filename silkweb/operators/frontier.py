@@ -25,16 +25,20 @@ def last_file_number(queue: DataFrame) -> DataFrame:
     return queue.agg(F.coalesce(F.max(number.cast("bigint")), F.lit(0).cast("bigint")).alias("n"))
 
 
-def first_discovered(found: DataFrame, known: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Of ``found`` (url, referrer, depth, parent, pos), the first row of each URL that ``known`` doesn't have.
+def first_of_each(found: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Of ``found`` (url, referrer, depth, parent, pos), the first row of each URL.
 
     Rows below ``max_depth`` go before they count as found. The least (parent, pos) of a URL combines before the
     shuffle, so a URL that every page links to costs a row per task.
     """
     if max_depth is not None:
         found = found.where(F.col("depth") <= max_depth)
-    first = found.groupBy("url").agg(F.min(F.struct("parent", "pos", "referrer", "depth")).alias("f"))
-    return first.select("url", "f.*").join(known.select("url"), "url", "left_anti")
+    return found.groupBy("url").agg(F.min(F.struct("parent", "pos", "referrer", "depth")).alias("f")).select("url", "f.*")
+
+
+def first_discovered(found: DataFrame, known: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """The first row of each URL that ``known`` doesn't have."""
+    return first_of_each(found, max_depth).join(known.select("url"), "url", "left_anti")
 
 
 def numbered(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:

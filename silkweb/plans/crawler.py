@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from silkweb.functions.content import content_kind, gate_passes, parse_json, parse_strict, skip_reason, stringify, to_text
 from silkweb.functions.html import extract_text, links_of, parse_html, stripped, text_of
 from silkweb.functions.patterns import admitted
-from silkweb.functions.sitemap import parse_sitemap
-from silkweb.functions.urls import normalize, normalize_or_none, normalize_url, resolve
+from silkweb.functions.sitemap import parse_sitemap_column
+from silkweb.functions.urls import normalize, normalize_url, resolve
 from silkweb.operators import frontier as fr
 from silkweb.operators.rules import effective, site_rule
 from silkweb.plans.config import load_config
@@ -30,13 +30,20 @@ from silkweb.plans.hooks import Hooks, reduced
 from silkweb.plans.output import format_records
 from silkweb.sources.fetch import FetchError, RateLimitError, fetched, resolve_fetcher, with_retries
 from silkweb.sources.shared import written
-from silkweb.sources.store import Store
+from silkweb.sources.store import LOGS, Store
 
 SITEMAP_LEVELS = 6
+#: Sitemaps that the log names when they can't be read.
+WARNINGS = 20
 _PARSED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("url", T.StringType()), T.StructField("content", T.StringType()), T.StructField("data", T.StringType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType())), T.StructField("hash", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("failed", T.StringType())])
 _FIXED = ("url", "content", "crawledAt", "data")
 
 
+@F.pandas_udf(T.StringType())
+def _texts(bodies: pd.Series) -> pd.Series:
+    return bodies.map(to_text)
+
+
 def parsed(passed: DataFrame, config: Mapping, hooks: Mapping[str, list] | None = None, now: str = "") -> DataFrame:
     """Content, links and hash of responses that passed the gate (seq, url, depth, data, status, headers, kind, rule).
 
@@ -122,31 +129,29 @@ class Crawler:
         self.logger.setLevel(level.get(self.config["log_level"], logging.INFO))
         self.stopped = False
         self.statistics: dict[str, int] = {}
-        self._queue: DataFrame | None = None
 
     # --- state ---
 
     @property
     def queue(self) -> DataFrame:
-        if self._queue is None:
-            self._queue = self.store.queue()
-        return self._queue
-
-    def _save(self, queue: DataFrame, batch: str | None = None) -> None:
-        self._queue = self.store.save_queue(queue.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in fr.QUEUE.split(", "))]), batch)
+        """Every place of the queue as it now is."""
+        return self.store.queue()
 
     def counts(self) -> dict[str, int]:
-        got = {r["state"]: r["n"] for r in fr.state_counts(self.queue).collect()}
-        return {s: got.get(s, 0) for s in ("crawled", "error", "skipped", "pending")}
+        return self.store.current()["counts"]
 
     def _seed(self) -> None:
         first = list(dict.fromkeys(self.starts))
-        self._save(self.spark.createDataFrame([(k, u, None, None, None, None, None, 0) for k, u in enumerate(first)], fr.QUEUE))
+        rows = self.spark.createDataFrame([(k, u, None, 0) for k, u in enumerate(first)], LOGS["found"])
+        self.store.append(found=rows, change={"pending": len(first)}, next=len(first))
 
     def _requeue(self, which: str) -> int:
-        n = self.counts()[which]
+        now = self.store.current()
+        n = now["counts"][which]
         if n:
-            self._save(fr.requeued(self.queue, which))
+            old = self.queue.where(fr.state() == which).select("seq", "url", "referrer", "depth")
+            back = written(fr.numbered(old.withColumnRenamed("seq", "old"), ["old"], now["next"], "seq"), "requeued")
+            self.store.append(found=back, dropped=back.select(F.col("old").alias("seq")), change={which: -n, "pending": n}, next=now["next"] + n)
         return n
 
     def requeue_errors(self) -> int:
@@ -168,7 +173,6 @@ class Crawler:
             self._seed()
         elif not n["pending"] and crawl["reset_on_complete"]:
             self.store.reset()
-            self._queue = None
             self._seed()
 
     def stop(self) -> None:
@@ -207,50 +211,68 @@ class Crawler:
             links = links.where(allowed("url", "referrer"))
         return links
 
-    def _with_new(self, queue: DataFrame, found: DataFrame) -> DataFrame:
-        new = fr.first_discovered(self._admit(found), queue, self.config["crawl"]["max_depth"])
-        start = (queue.agg(F.max("seq")).first()[0] or 0) + 1 if queue.take(1) else 0
-        rows = fr.numbered(new, ["parent", "pos", "url"], start, "seq")
-        empty = {c: F.lit(None).cast(t) for c, t in (("file", "string"), ("status", "int"), ("error", "string"), ("skipped", "string"))}
-        return queue.unionByName(rows.withColumns(empty).select(*queue.columns))
+    def _new(self, found: DataFrame) -> tuple[DataFrame, int]:
+        """Places for what the rules admit and the queue doesn't have, and their number."""
+        first = fr.first_of_each(self._admit(found), self.config["crawl"]["max_depth"])
+        rows = written(fr.numbered(self.store.unseen(first), ["parent", "pos", "url"], self.store.current()["next"], "seq"), "new")
+        return rows, rows.count()
+
+    def _enqueue(self, found: DataFrame) -> int:
+        rows, n = self._new(found)
+        if n:
+            self.store.append(found=rows, change={"pending": n}, next=self.store.current()["next"] + n)
+        return n
 
     def enqueue(self, urls: str | list[str], depth: int = 0, referrer: str | None = None) -> int:
         """Add what the rules admit and the queue doesn't have; how many that was."""
         listed = [urls] if isinstance(urls, str) else list(urls)
         if not listed:
             return 0
-        before = self.queue.count()
-        found = self.spark.createDataFrame([(u, referrer, depth, 0, k) for k, u in enumerate(listed)], "raw STRING, referrer STRING, depth INT, parent BIGINT, pos INT")
-        self._save(self._with_new(self.queue, found))
-        return self.queue.count() - before
+        return self._enqueue(self.spark.createDataFrame([(u, referrer, depth, 0, k) for k, u in enumerate(listed)], "raw STRING, referrer STRING, depth INT, parent BIGINT, pos INT"))
 
     def seed_sitemaps(self) -> int:
-        """Enqueue what sitemaps list, following indexes a few levels down."""
+        """Enqueue what sitemaps list, following indexes a few levels down.
+
+        A level is fetched and parsed as a whole; sitemaps that an earlier level had, by the address as it is written,
+        are left out. The queue is written once, after the last level.
+        """
         wanted = self.config["crawl"]["sitemap"]
         if not wanted:
             return 0
-        level = list(wanted) if isinstance(wanted, (list, tuple)) else [resolve("/sitemap.xml", u) for u in self.starts]
-        seen: set[str] = set()
-        added = 0
+        first = list(wanted) if isinstance(wanted, (list, tuple)) else [resolve("/sitemap.xml", u) for u in self.starts]
+        level = self.spark.createDataFrame([(u, 0, k) for k, u in enumerate(first)], "raw STRING, parent BIGINT, pos INT")
+        seen, found, done = None, None, 0
         for _ in range(SITEMAP_LEVELS):
-            below = []
-            for url in [u for u in dict.fromkeys(level) if u not in seen]:
-                seen.add(url)
-                got = self.fetch(url) if normalize_or_none(url) else {"error": "not a URL", "rate_limited": False}
-                if got["rate_limited"]:
-                    raise RateLimitError(code=self.config["rate_limit"]["exit_code"])
-                if got["error"] is not None:
-                    self.logger.warning("sitemap %s: %s", url, got["error"])
-                    continue
-                maps, urls = parse_sitemap(to_text(got["data"]))
-                added += self.enqueue(urls, 0, url)
-                below += maps
-            level = below
-        return added
+            fresh = level.groupBy("raw").agg(F.min(F.struct("parent", "pos")).alias("f")).select("raw", "f.*")
+            fresh = fresh if seen is None else fresh.join(seen, "raw", "left_anti")
+            maps = written(fr.numbered(fresh, ["parent", "pos"], done, "seq").withColumn("url", normalize_url(F.col("raw"))), "sitemaps")
+            n = maps.count()
+            if not n:
+                break
+            done += n
+            seen = maps.select("raw") if seen is None else seen.union(maps.select("raw"))
+            named = maps.where("url IS NOT NULL")
+            got = written(fetched(self.fetcher, named.groupBy("url").agg(F.min("seq").alias("seq")), self.config), "sitemaps-fetched")
+            if got.where("rate_limited").take(1):
+                raise RateLimitError(code=self.config["rate_limit"]["exit_code"])
+            self._warn_of(maps, got)
+            listed = written(named.join(got.where("error IS NULL").select("url", parse_sitemap_column(_texts(F.col("data"))).alias("s")), "url").select("seq", "raw", "s.*"), "sitemaps-parsed")
+            urls = listed.select(F.posexplode("urls").alias("pos", "url"), F.col("raw").alias("referrer"), F.lit(0).alias("depth"), F.col("seq").alias("parent")).withColumnRenamed("url", "raw")
+            found = urls if found is None else found.unionByName(urls)
+            level = listed.select(F.posexplode("sitemaps").alias("pos", "raw"), F.col("seq").alias("parent"))
+        return 0 if found is None else self._enqueue(found)
+
+    def _warn_of(self, maps: DataFrame, got: DataFrame) -> None:
+        """Sitemaps that can't be read, in the log: the first of them by name, the others by number."""
+        bad = maps.join(got.select("url", "error"), "url", "left").where("url IS NULL OR error IS NOT NULL").select("seq", "raw", F.coalesce("error", F.lit("not a URL")).alias("error"))
+        for row in bad.orderBy("seq").limit(WARNINGS).collect():
+            self.logger.warning("sitemap %s: %s", row["raw"], row["error"])
+        if (n := bad.count()) > WARNINGS:
+            self.logger.warning("%d more sitemaps can't be read", n - WARNINGS)
 
     def _wave(self, todo: DataFrame) -> bool:
         """Fetch and digest rows of the queue; whether a host's limit ended it."""
-        config, queue = self.config, self.queue
+        config, before = self.config, self.store.current()
         now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
         todo = written(todo.select("seq", "url", "depth", "referrer"), "wave")
         got = written(todo.join(fetched(self.fetcher, todo, config), "url"), "fetched")
@@ -267,8 +289,7 @@ class Crawler:
         passed = answers.where(passes).withColumn("kind", content_kind(F.col("ct")))
         pages = written(parsed(passed, config, self.hooks.of("links", "extract", "transform"), now), "parsed")
         good = pages.where("failed IS NULL")
-        start = fr.last_file_number(queue).first()["n"] + 1
-        named = written(fr.numbered(good.drop("links"), ["seq"], start, "n").withColumn("file", F.concat(F.col("n").cast("string"), F.lit(".json"))), "named")
+        named = written(fr.numbered(good.drop("links"), ["seq"], before["files"] + 1, "n").withColumn("file", F.concat(F.col("n").cast("string"), F.lit(".json"))), "named")
         batch = self.store.add_records(named.select("seq", "url", "content", F.lit(now).alias("crawled_at"), "data", "hash", "extra", "file"))
         skipped = answers.where(~passes).select("seq", "status", skip_reason(F.col("ct")).alias("skipped"))
         none = F.lit(None).cast("string")
@@ -279,19 +300,23 @@ class Crawler:
             .unionByName(got.where("error IS NOT NULL").select("seq", none.alias("file"), "error", none.alias("skipped")))
         )
         outcome = written(outcome.join(got.select("seq", "status"), "seq"), "outcome")
-        after = queue.alias("q").join(outcome.alias("o"), "seq", "left").select("seq", "q.url", *[F.coalesce(f"o.{c}", f"q.{c}").alias(c) for c in ("file", "status", "error", "skipped")], "q.referrer", "q.depth")
         links = good.join(todo.select("seq", F.col("url").alias("referrer"), "depth"), "seq")
         found = links.select(F.posexplode("links").alias("pos", "raw"), "referrer", (F.col("depth") + 1).alias("depth"), F.col("seq").alias("parent"))
-        self._save(self._with_new(written(after, "queue"), found), batch)
-        self._tell(outcome, got, named.withColumn("crawledAt", F.lit(now)))
-        return bool(got.where("rate_limited").take(1))
-
-    def _tell(self, outcome: DataFrame, got: DataFrame, named: DataFrame) -> None:
+        new, n = self._new(found)
+        limited = bool(got.where("rate_limited").take(1))
+        made = {r["state"]: r["n"] for r in fr.state_counts(outcome).collect()}
+        # A wave takes the first places that are pending: unless a host's limit left some, all before its last are done.
+        settled = {} if limited else {"pending_from": todo.agg(F.max("seq")).first()[0] + 1}
+        self.store.append(new if n else None, outcome, None, batch, {**made, "pending": n - sum(made.values())}, next=before["next"] + n, files=before["files"] + made.get("crawled", 0), **settled)
+        self._tell(todo, outcome, got, named.withColumn("crawledAt", F.lit(now)))
+        return limited
+
+    def _tell(self, todo: DataFrame, outcome: DataFrame, got: DataFrame, named: DataFrame) -> None:
         """Hooks that watch on the driver, row by row in the queue's order: page(record, entry, result),
         skip(entry, {reason, status, result}) and error(error, entry). Rows come one partition at a time."""
         if not any(self.hooks.has(h) for h in ("page", "skip", "error")):
             return
-        entries = self.queue.select("seq", F.struct("seq", "url", "depth", "referrer", "file", "status", "error", "skipped").alias("entry"))
+        entries = todo.join(outcome, "seq").select("seq", F.struct("seq", "url", "depth", "referrer", "file", "status", "error", "skipped").alias("entry"))
         answers = got.select("seq", F.struct("data", "status", "headers").alias("result"))
         rows = outcome.select("seq", "file", "error", "skipped", "status").join(entries, "seq").join(answers, "seq")
         if self.hooks.has("page"):
@@ -344,7 +369,7 @@ class Crawler:
                 left = None if most is None else most - n["crawled"]
                 if not n["pending"] or (left is not None and left <= 0):
                     break
-                todo = self.queue.where(fr.state() == "pending")
+                todo = self.store.pending()
                 if left is not None and left < n["pending"]:
                     last = fr.page_cutoff(todo.select("seq", F.lit(True).alias("ok")), left).agg(F.max("seq")).first()[0]
                     todo = todo.where(F.col("seq") <= last)

@@ -14,6 +14,7 @@ from silkweb.operators import rules
 from silkweb.plans import crawl_queries, output
 from silkweb.plans.config import REMOVED_ELEMENTS, load_config
 from silkweb.sources.shared import shared_dir, written
+from silkweb.sources.store import Store
 
 CONFIG = load_config(
     {
@@ -53,7 +54,7 @@ _PATH = "regexp_extract(norm, '^https://[^/]+(/.*)$', 1)"
 _ORIGIN = "regexp_extract(norm, '^(https://[^/]+)', 1)"
 # Readable text of pages' fixed template.
 _STRIP = r"regexp_replace(regexp_replace({}, '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-_ENTITIES = "regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp?;?', '&', 'g')"
+_ENTITIES = "regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 
 
 def _text_sql(part: str) -> str:
@@ -99,8 +100,11 @@ def exclude_binary(spark, sf_dir):
 
 def frontier_dedup(spark, sf_dir):
     found = _known(spark, sf_dir).select(F.col("norm").alias("url"), F.col("url").alias("referrer"), F.lit(0).alias("depth"), F.col("page_id").alias("parent"), F.lit(0).alias("pos"))
-    known = _known(spark, sf_dir).where("page_id % 7 = 0").select(F.col("norm").alias("url"))
-    return fr.first_discovered(found, known).select("url", F.col("parent").alias("page_id"))
+    place = f"{shared_dir(spark)}/silkweb/dedup-{uuid.uuid4().hex}"
+    store = Store(spark, {"queue_path": f"{place}/queue", "crawled_dir": f"{place}/crawled"})
+    known = _known(spark, sf_dir).where("page_id % 7 = 0").groupBy(F.col("norm").alias("url")).agg(F.min("page_id").alias("seq"))
+    store.append(found=known.select("seq", "url", F.lit(None).alias("referrer"), F.lit(0).alias("depth")))
+    return store.unseen(fr.first_of_each(found)).select("url", F.col("parent").alias("page_id"))
 
 
 def extract_text(spark, sf_dir):

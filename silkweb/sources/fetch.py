@@ -210,12 +210,14 @@ class TableFetcher:
         at = frontier.select("url", F.col("url").alias("key"))
         done = None
         for hop in range(config["request"]["max_redirects"] + 1):
-            met = at.join(self.pages, "key", "left")
+            met = written(at.join(self.pages, "key", "left"), "answers")  # most often the first hop is the last
             onward = F.col("status").between(300, 399)
             settled = met.where(~F.coalesce(onward, F.lit(False)) | F.col("location").isNull() | F.lit(hop == config["request"]["max_redirects"]))
             done = settled if done is None else done.unionByName(settled)
             target = F.when(F.col("location").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("location")).otherwise(_resolved("location", "key"))
             at = met.where(onward & F.col("location").isNotNull()).select("url", normalize_url(target).alias("key"))
+            if not at.take(1):
+                break
         status = F.coalesce("status", F.lit(404))
         failing = F.coalesce("fail_times", F.lit(0))
         limited = (status == 429) & (failing > 0)

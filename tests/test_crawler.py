@@ -96,30 +96,30 @@ def test_rate_limit_leaves_the_page_pending(spark, tmp_path):
     assert e.value.code == 12 and states(c.queue)["/b"][0] == "pending" and states(c.queue)["/a"][0] == "crawled"
 
 
-@pytest.mark.parametrize("where", ["add_records", "save_queue", "swap"])
+@pytest.mark.parametrize("where", ["add_records", "append", "swap", "merge", "drop"])
 def test_a_cut_within_a_wave_gives_each_record_once(spark, tmp_path, monkeypatch, where):
-    """The driver is lost after the records of the second wave, before the queue's version, or before the pointer."""
+    """The driver is lost after the records of the second wave, before the log's tables, before the pointer, in a merge
+    before its pointer, or before the merged tables go."""
     from silkweb.sources import store
 
-    c = crawler(spark, tmp_path)
-    waves = []
-    real = {"add_records": c.store.add_records, "save_queue": c.store.save_queue}
-
-    def fails(*args):
-        waves.append(1)
-        out = real["add_records"](*args) if where == "add_records" else None
-        if len(waves) == 2:
+    monkeypatch.setattr(store, "FAN", 2)
+    monkeypatch.setattr(store, "BUCKET_ROWS", 3)
+    c, times = crawler(spark, tmp_path), []
+    name = {"add_records": "add_records", "append": "append", "swap": "_swap", "merge": "_swap", "drop": "_drop"}[where]
+    real = getattr(c.store, name)
+
+    def cut(*args, **named):
+        times.append(1)
+        inside = where != "merge" or any(m["tier"] for log in store.LOGS for m in args[0][log])
+        if len(times) >= 2 and inside:
+            if where == "add_records":
+                real(*args, **named)
             raise KeyboardInterrupt
-        return out if where == "add_records" else real["save_queue"](*args)
+        return real(*args, **named)
 
-    if where == "swap":
-        swap = store.swap_text
-        monkeypatch.setattr(store, "swap_text", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt) if waves.append(1) or len(waves) == 3 else swap(*a))
-    else:
-        setattr(c.store, where, fails)
+    setattr(c.store, name, cut)
     with pytest.raises(KeyboardInterrupt):
         c.crawl()
-    monkeypatch.undo()
     again = crawler(spark, tmp_path, reset_on_complete=False)
     assert again.crawl() == {"crawled": 7, "error": 1, "skipped": 1, "pending": 0}
     records = again.records().collect()
@@ -127,6 +127,42 @@ def test_a_cut_within_a_wave_gives_each_record_once(spark, tmp_path, monkeypatch
     assert states(again.queue) == states(crawler(spark, tmp_path / "whole").run())
 
 
+def test_the_log_grows_with_the_waves_rows_and_is_never_shuffled(spark, tmp_path, monkeypatch):
+    from silkweb.sources import store
+
+    monkeypatch.setattr(store, "FAN", 4)
+    monkeypatch.setattr(store, "BUCKET_ROWS", 1000)
+    log = store.Store(spark, {"queue_path": str(tmp_path / "q"), "crawled_dir": str(tmp_path / "c")})
+    rows = lambda lo, n: spark.range(lo, lo + n).selectExpr("id AS seq", "concat('https://w.com/', id) AS url", "NULL AS referrer", "0 AS depth")
+    written = []
+    real = store.Store._add
+    monkeypatch.setattr(store.Store, "_add", lambda self, name, frame, *a: written.append(frame.count()) or real(self, name, frame, *a))
+    log.append(found=rows(0, 4000), change={"pending": 4000}, next=4000)
+    for k in range(15):
+        log.append(found=rows(4000 + 10 * k, 10), outcomes=spark.range(10 * k, 10 * k + 10).selectExpr("id AS seq", "concat(id, '.json') AS file", "200 AS status", "NULL AS error", "NULL AS skipped"), change={"crawled": 10}, pending_from=10 * k + 10)
+    # Sixteen tables of each kind: merged by fours, and the four once more.
+    assert len(log.current()["found"]) == 1 and sum(written) == 3 * 4150 + 150 + 120
+    assert log.current()["found"][0]["buckets"] == 8
+    assert log.queue().count() == 4150 and log.queue().where("file IS NOT NULL").count() == 150
+    assert log.pending().count() == 4000 and log.pending().agg({"seq": "min"}).first()[0] == 150
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([("https://w.com/7",), ("https://w.com/x",), ("https://w.com/4149",)], "url string")
+        left = log.unseen(asked)
+        assert [r[0] for r in left.collect()] == ["https://w.com/x"]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("+- == Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in final  # of what is asked only
+        # A session that knows nothing of the tables.
+        for made in log.current()["found"]:
+            spark.sql(f"DROP TABLE {made['name']}")
+        assert store.Store(spark, {"queue_path": str(tmp_path / "q"), "crawled_dir": str(tmp_path / "c")}).unseen(asked).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    log.reset()
+    assert log.queue().count() == 0
+
+
 def test_the_extract_hook_gets_what_is_left_of_the_page(spark):
     page = "<body><nav><a href=/n>n</a></nav><p>a<!-- c --><b>b</b><script>s</script></p></body>"
     row = [(0, "https://w.com/", 0, None, bytearray(page.encode()), 200, None, "html", -1)]
