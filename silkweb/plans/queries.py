@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from silkweb.functions import content, html, patterns, sitemap, urls
 from silkweb.operators import frontier as fr
+from silkweb.operators import rule_index as rule_index_of
 from silkweb.operators import rules
 from silkweb.plans import crawl_queries, output
 from silkweb.plans.config import REMOVED_ELEMENTS, load_config
@@ -194,6 +195,28 @@ def site_override(spark, sf_dir):
     return _known(spark, sf_dir).select("page_id", rules.site_rule(F.col("norm"), CONFIG["sites"]).alias("rule"))
 
 
+def _many_rules(spark, sf_dir) -> DataFrame:
+    """Forty rules from every page: prefixes of hosts and paths, pieces of URLs, regular expressions."""
+    rows = _known(spark, sf_dir).select("page_id", "norm", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    host, segment = F.split_part("norm", F.lit("/"), F.lit(3)), F.split_part("norm", F.lit("/"), F.lit(4))
+    k, i = F.col("k"), F.col("page_id")
+    prefix = F.concat(F.lit("https://"), host, F.when(k % 16 == 0, F.lit("")).when(k % 16 == 4, F.concat(F.lit("/"), segment)).otherwise(F.concat(F.lit("/"), segment, F.lit("/"), ((i * 40 + k) % 1000).cast("string"))))
+    piece = F.substr("norm", (F.lit(9) + (i + k) % 17).cast("int"), (F.lit(4) + k % 7).cast("int"))
+    expression = F.concat(F.lit("/"), F.replace(host, F.lit("."), F.lit("\\.")), F.lit("\\/[a-e]"), segment.substr(2, 9), F.lit("\\/"), (i % 10).cast("string"), F.lit("+/"))
+    return rows.select((i * 40 + k).alias("rule"), F.when(k % 4 == 0, prefix).when(k % 4 == 3, expression).otherwise(piece).alias("pattern"))
+
+
+def rule_index(spark, sf_dir):
+    """The most specific of forty rules for each page, over all pages."""
+    return rule_index_of.most_specific(_known(spark, sf_dir).select("page_id", "norm"), _many_rules(spark, sf_dir), "norm").select("page_id", "rule")
+
+
+def route_index(spark, sf_dir):
+    """The configuration's routes as tables."""
+    pages = _known(spark, sf_dir).where(~patterns.matches_any(F.col("norm"), CONFIG["output"]["exclude"])).select("page_id", "norm")
+    return rule_index_of.routed_by(pages, *rule_index_of.rules_of(spark, CONFIG["output"]["routes"]), "norm").select("page_id", F.concat(F.lit("out/"), "file").alias("file"))
+
+
 def _routed(spark, sf_dir) -> DataFrame:
     rows = _known(spark, sf_dir).select(F.col("page_id").alias("seq"), F.col("norm").alias("url"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("map<string,string>").alias("extra"))
     return output.routed(rows, CONFIG["output"], "out")
@@ -298,7 +321,7 @@ PATTERNS = {"pattern_regex": "/example\\.(com|net)\\/en/", "pattern_substring":
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (flagship, url_normalize, url_parts, pattern_any, crawl_admission, exclude_binary, frontier_dedup, extract_text, extract_text_root, faulty_pages, selected_text, discover_links, link_outdegree, link_first_discovery, content_gate, parse_json_pretty, content_hash, duplicate_content, site_override, route_records, route_counts, output_exclude, output_lines, output_jsonl, output_json, queue_states, next_dataset_id, requeue_errors, max_pages_cutoff, crawl_bfs, parse_sitemap)
+    plain = (flagship, url_normalize, url_parts, pattern_any, crawl_admission, exclude_binary, frontier_dedup, extract_text, extract_text_root, faulty_pages, selected_text, discover_links, link_outdegree, link_first_discovery, content_gate, parse_json_pretty, content_hash, duplicate_content, site_override, rule_index, route_index, route_records, route_counts, output_exclude, output_lines, output_jsonl, output_json, queue_states, next_dataset_id, requeue_errors, max_pages_cutoff, crawl_bfs, parse_sitemap)
     return {f.__name__: f for f in plain} | {name: _pattern(p) for name, p in PATTERNS.items()} | crawl_queries.queries()
 
 
@@ -346,6 +369,14 @@ SELECT origin, id, passes, CASE WHEN contains(lower(coalesce(ct, '')), 'json') T
         "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents",
         "duplicate_content": "SELECT sha256(coalesce(text, '')) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
         "site_override": f"WITH {_N} SELECT page_id, CASE WHEN norm = 'https://blog.ththan.example.net/en' OR norm LIKE 'https://blog.ththan.example.net/en/%' OR norm LIKE 'https://m.%' THEN 1 WHEN contains(norm, 'example.net') THEN 0 ELSE -1 END::INT AS rule FROM n",
+        "rule_index": f"""WITH {_N}, k AS (SELECT page_id AS i, norm, split_part(norm, '/', 3) AS host, split_part(norm, '/', 4) AS seg, unnest(range(40)) AS k FROM n),
+r AS (SELECT i * 40 + k AS rule, k % 4 AS kind, CASE WHEN k % 4 = 0 THEN 'https://' || host || CASE k % 16 WHEN 0 THEN '' WHEN 4 THEN '/' || seg ELSE '/' || seg || '/' || ((i * 40 + k) % 1000) END
+  WHEN k % 4 = 3 THEN replace(host, '.', '\\.') || '/[a-e]' || seg[2:10] || '/' || (i % 10) || '+' ELSE norm[9 + (i + k) % 17 : 12 + (i + k) % 17 + k % 7] END AS text FROM k),
+u AS (SELECT DISTINCT norm FROM n),
+m AS (SELECT norm, rule, length(text) + CASE WHEN kind = 3 THEN 4 ELSE 0 END AS size FROM u JOIN r ON CASE kind WHEN 0 THEN norm = rtrim(text, '/') OR starts_with(norm, rtrim(text, '/') || '/') WHEN 3 THEN regexp_matches(norm, text) ELSE contains(norm, text) END),
+b AS (SELECT norm, arg_min(rule, struct_pack(a := -size, b := rule)) AS rule FROM m GROUP BY norm)
+SELECT page_id, rule FROM n LEFT JOIN b USING (norm)""",
+        "route_index": f"WITH {_R} SELECT page_id, file FROM r",
         "route_records": f"WITH {_R} SELECT page_id, file FROM r",
         "route_counts": f"WITH {_R} SELECT file, count(*) AS n FROM r GROUP BY file",
         "output_exclude": f"WITH {_N} SELECT page_id FROM n WHERE NOT contains(norm, 'cheap-pills')",
