@@ -175,7 +175,9 @@ def most_specific(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataF
     """
     made = written(compiled_rules(rules.select("rule", "pattern")), "rules")
     best = T.StructType([T.StructField("length", T.IntegerType()), T.StructField("rule", T.LongType())])
-    distinct = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("url")).distinct()
+    # Searching takes more time than its few bytes tell, so the number of tasks is fixed.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("url")).distinct().repartition(tasks, F.xxhash64("url"))
     found = distinct.withColumn("best", F.lit(None).cast(best))
     searched = made.where("kind <> 'prefix'")
     size = searched.agg(F.sum(F.octet_length("text") + F.octet_length("literal") + 64)).first()[0] or 0
