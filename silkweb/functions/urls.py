@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import unicodedata
 from dataclasses import dataclass, replace
 from urllib.parse import unquote_to_bytes
 
@@ -110,12 +111,49 @@ def _host(text: str, special: bool) -> str:
     return _ipv4(name) or name
 
 
+#: Letters that keep their own form in names, and those that names drop (beside variation selectors).
+_KEPT, _DROPPED = "\u00df\u03c2\u200c\u200d", "\u00ad\u034f\u200b\u2060\u2064\ufeff" + "".join(map(chr, (*range(0xFE00, 0xFE10), *range(0x180B, 0x180E))))
+
+
+def _mapped(c: str) -> str:
+    """A character of a host's name as the compatibility mapping for names (UTS #46, not transitional) has it."""
+    if c in _KEPT:
+        return c
+    if c in _DROPPED:
+        return ""
+    if c == "\u1e9e":
+        return "\u00df"
+    plain = unicodedata.normalize("NFKC", c)
+    return unicodedata.normalize("NFKC", "".join(x if x in _KEPT else x.casefold() for x in plain))
+
+
+def _label(label: str) -> str:
+    """One part of a name in ASCII. UrlError for what no name may hold."""
+    if label.startswith("xn--"):
+        try:
+            label = label[4:].encode("ascii").decode("punycode")
+        except UnicodeError:
+            raise UrlError(label) from None
+        if label.isascii() or "".join(map(_mapped, label)) != label:
+            raise UrlError(label)
+    if label.isascii():
+        return label
+    kinds = [unicodedata.bidirectional(c) for c in label]
+    right = {"R", "AL"} & {*kinds}
+    bad = (
+        unicodedata.category(label[0]).startswith("M")
+        or any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs", "Zl", "Zp", "Zs") for c in label)
+        or any(c in "\u200c\u200d" and (not k or unicodedata.combining(label[k - 1]) != 9) for k, c in enumerate(label))
+        or right and ("L" in kinds or kinds[0] not in ("R", "AL") or next((k for k in reversed(kinds) if k != "NSM"), "") not in ("R", "AL", "EN", "AN"))
+    )
+    if bad:
+        raise UrlError(label)
+    return "xn--" + label.encode("punycode").decode()
+
+
 def _punycode(name: str) -> str:
-    labels = re.split("[.。．｡]", name)
-    try:
-        return ".".join(label.lower() if label.isascii() else label.encode("idna").decode() for label in labels)
-    except UnicodeError:
-        raise UrlError(name) from None
+    mapped = unicodedata.normalize("NFC", "".join(map(_mapped, name)))
+    return ".".join(map(_label, re.split("[.\u3002]", mapped)))
 
 
 def _path(text: str, special: bool, base: list[str]) -> str:

@@ -22,6 +22,7 @@ REMOVED_ELEMENTS = [
     *(f'[role="{role}"]' for role in ("dialog", "alert", "banner", "form", "navigation", "search")),
 ]
 
+#: Defaults, the first start URL and its route among them.
 DEFAULT_CONFIG = {
     "start_urls": ["https://crawler-test.com/"],
     "include": [],

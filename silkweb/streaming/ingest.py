@@ -1,4 +1,4 @@
-"""Pages as a stream: new files of a folder, first URL wins, routed output refreshed per batch."""
+"""Pages as a stream: new files of a folder, first URL wins within a day, records appended."""
 
 from __future__ import annotations
 

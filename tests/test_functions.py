@@ -9,7 +9,7 @@ from silkweb.functions.content import classify_content_type, js_number, parse_js
 from silkweb.functions.html import SelectorError, compile_selector, discover_links, extract_text, tidy, tidy_column
 from silkweb.functions.patterns import PatternError, compile_pattern, matches, matches_any_pattern, matches_pattern
 from silkweb.functions.sitemap import parse_sitemap
-from silkweb.functions.urls import normalize_or_none, normalize_url, path_prefixes, resolve
+from silkweb.functions.urls import normalize, normalize_or_none, normalize_url, path_prefixes, resolve
 from silkweb.operators.rules import most_specific, route
 from silkweb.plans.config import ConfigError, listed, load_config, merged
 from silkweb.plans.hooks import Hooks
@@ -182,3 +182,26 @@ def test_waits_and_retries():
     assert with_retries(fetch, "u", retry, limit)["error"] == "gone"
     answers[:] = [FetchError("", 429)]
     assert with_retries(fetch, "u", retry, limit | {"exit_on_limit": True})["rate_limited"]
+
+
+@pytest.mark.parametrize(
+    "host, name",
+    [
+        ("fa\u00df.de", "xn--fa-hia.de"),
+        ("\u03b2\u03cc\u03bb\u03bf\u03c2.com", "xn--nxasmm1c.com"),
+        ("\u1e9eA.de", "xn--a-pfa.de"),
+        ("B\u00dcCHER.DE", "xn--bcher-kva.de"),
+        ("a\u3002b\uff0ec\uff61d", "a.b.c.d"),
+        ("\u2615.us", "xn--53h.us"),
+        ("XN--FA-HIA.\u0064e", "xn--fa-hia.de"),
+        ("\u05d0\u05d1.com", "xn--4dbc.com"),
+        ("\u0915\u094d\u200d\u0937.in", "xn--11b2ezcw70k.in"),
+    ],
+)
+def test_names_that_are_not_ascii(host, name):
+    assert normalize(f"http://{host}/") == f"https://{name}/"
+
+
+@pytest.mark.parametrize("host", ["\u0301a.de", "a\u200db.de", "\ue000.de", "\u2100.de", "\u05d0a.com", "xn--\u00e9.de", "\u00ad"])
+def test_names_that_are_refused(host):
+    assert normalize_or_none(f"http://{host}/") is None
