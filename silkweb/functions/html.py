@@ -13,7 +13,7 @@ from silkweb.functions.htmltree import Comment, Node, parse_html
 from silkweb.functions.selectors import SelectorError, compile_selector, select
 from silkweb.functions.urls import UrlError, parse
 
-__all__ = ["Node", "SelectorError", "compile_selector", "discover_links", "discover_links_column", "extract_text", "extract_text_column", "links_of", "parse_html", "select", "stripped", "text_of"]
+__all__ = ["Node", "SelectorError", "compile_selector", "discover_links", "discover_links_column", "extract_text", "extract_text_column", "links_of", "page_column", "parse_html", "select", "stripped", "text_of"]
 
 _RAW = {"script", "style"}
 
@@ -133,6 +133,25 @@ def extract_text_column(html: Column, remove_selectors: list[str] = (), root: st
     return run(html)
 
 
+def page_column(html: Column, base: Column, texts: list[dict]) -> Column:
+    """struct<links, texts> of a column of pages, each parsed once: its links, and a text for each of ``texts``, which are
+    arguments of ``extract_text``. Null pages have no links and null texts."""
+    for t in texts:
+        for s in [*t.get("remove_selectors", ()), t.get("root") or "body"]:
+            compile_selector(s)
+
+    @F.pandas_udf(T.StructType().add("links", T.ArrayType(T.StringType())).add("texts", T.ArrayType(T.StringType())))
+    def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, b in zip(pages, bases):
+            page = None if h is None else parse_html(h)
+            found = [None if page is None else text_of(page, t.get("remove_selectors", ()), t.get("root"), t.get("root_fallback", "body")) for t in texts]
+            out.append(([] if page is None else links_of(page, b or ""), found))
+        return pd.DataFrame(out, columns=["links", "texts"])
+
+    return run(html, base)
+
+
 def discover_links_column(html: Column, base: Column) -> Column:
     """Links of a column of pages; null pages have none."""
 

@@ -74,6 +74,23 @@ def url_normalize(spark, sf_dir):
     return _known(spark, sf_dir).select("page_id", "norm")
 
 
+#: Hosts in letters of many kinds, and what they are called.
+HOSTS = (
+    ("fa\u00df.de", "xn--fa-hia.de"),
+    ("\u03b2\u03cc\u03bb\u03bf\u03c2.com", "xn--nxasmm1c.com"),
+    ("B\u00dcCHER.example", "xn--bcher-kva.example"),
+    ("\uff45\uff58\uff41\uff4d\uff50\uff4c\uff45.com", "example.com"),
+    ("\u2615.us", "xn--53h.us"),
+    ("www.a\u3002b\u00ad.com", "a.b.com"),
+)
+
+
+def idn_hosts(spark, sf_dir):
+    """Canonical URLs on hosts that aren't ASCII."""
+    host = F.element_at(F.array(*[F.lit(h) for h, _ in HOSTS]), (F.col("page_id") % len(HOSTS) + 1).cast("int"))
+    return _pages(spark, sf_dir).select("page_id", urls.normalize_url(F.concat(F.lit("http://"), host, F.lit("/"), F.col("page_id").cast("string"), F.lit("/?q"))).alias("norm"))
+
+
 def url_parts(spark, sf_dir):
     n = F.col("norm")
     return _known(spark, sf_dir).select("page_id", urls.authority_of(n).alias("host"), F.array_join(urls.path_segments(n), "|").alias("segments"), F.array_join(urls.path_prefixes(n), "|").alias("prefixes"), urls.sitemap_url(n).alias("sitemap"))
@@ -124,9 +141,10 @@ def faulty_pages(spark, sf_dir):
     """Text and links of pages with faults, which only the standard's tree tells: what follows the table comes before it."""
     page = F.replace("html", F.lit("<article>"), F.lit(FAULTS + "<article>"))
     rows = _known(spark, sf_dir).where("contains(html, '<article>')").select("page_id", "norm", page.alias("html"))
-    links = F.filter(html.discover_links_column(F.col("html"), F.col("norm")), lambda x: x.endswith("/one") | x.endswith("/two"))
-    cells = html.extract_text_column(F.col("html"), root="table td, textarea, p:has(> a ~ a) > :not(a)")
-    return rows.select("page_id", html.extract_text_column(F.col("html"), REMOVED_ELEMENTS).alias("content"), F.array_join(links, " ").alias("links"), cells.alias("cells"))
+    texts = [{"remove_selectors": REMOVED_ELEMENTS}, {"root": "table td, textarea, p:has(> a ~ a) > :not(a)"}]
+    read = rows.select("page_id", html.page_column(F.col("html"), F.col("norm"), texts).alias("p"))
+    links = F.filter("p.links", lambda x: x.endswith("/one") | x.endswith("/two"))
+    return read.select("page_id", F.col("p.texts")[0].alias("content"), F.array_join(links, " ").alias("links"), F.col("p.texts")[1].alias("cells"))
 
 
 def selected_text(spark, sf_dir):
@@ -321,7 +339,7 @@ PATTERNS = {"pattern_regex": "/example\\.(com|net)\\/en/", "pattern_substring":
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (flagship, url_normalize, url_parts, pattern_any, crawl_admission, exclude_binary, frontier_dedup, extract_text, extract_text_root, faulty_pages, selected_text, discover_links, link_outdegree, link_first_discovery, content_gate, parse_json_pretty, content_hash, duplicate_content, site_override, rule_index, route_index, route_records, route_counts, output_exclude, output_lines, output_jsonl, output_json, queue_states, next_dataset_id, requeue_errors, max_pages_cutoff, crawl_bfs, parse_sitemap)
+    plain = (flagship, url_normalize, idn_hosts, url_parts, pattern_any, crawl_admission, exclude_binary, frontier_dedup, extract_text, extract_text_root, faulty_pages, selected_text, discover_links, link_outdegree, link_first_discovery, content_gate, parse_json_pretty, content_hash, duplicate_content, site_override, rule_index, route_index, route_records, route_counts, output_exclude, output_lines, output_jsonl, output_json, queue_states, next_dataset_id, requeue_errors, max_pages_cutoff, crawl_bfs, parse_sitemap)
     return {f.__name__: f for f in plain} | {name: _pattern(p) for name, p in PATTERNS.items()} | crawl_queries.queries()
 
 
@@ -345,6 +363,7 @@ def oracle_sql() -> dict[str, str]:
     return crawl_queries.oracle_sql() | {
         "flagship": f"WITH {_N}, {_FIRST}, t AS (SELECT f.page_id, f.norm, html, split_part({_PATH.replace('norm', 'f.norm')}, '/', 2) AS seg FROM f JOIN pages USING (page_id)), u AS (SELECT page_id, norm AS url, {_ROUTE} AS file, {_text_sql('html')} AS content FROM t) SELECT page_id, url, file, sha256(content) AS hash, length(content) AS chars FROM u",
         "url_normalize": f"WITH {_N} SELECT page_id, norm FROM n",
+        "idn_hosts": f"SELECT page_id, 'https://' || CASE page_id % {len(HOSTS)} {' '.join(f"WHEN {k} THEN '{name}'" for k, (_, name) in enumerate(HOSTS))} END || '/' || page_id AS norm FROM pages",
         "url_parts": f"""WITH {_N}, p AS (SELECT page_id, {_ORIGIN} AS origin, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS seg FROM n)
 SELECT page_id, origin[9:] AS host, array_to_string(seg, '|') AS segments, array_to_string(list_transform(range(len(seg), 0, -1), lambda i: array_to_string(seg[1:i], '/')), '|') AS prefixes, origin || '/sitemap.xml' AS sitemap FROM p""",
         "pattern_regex": f"WITH {_N} SELECT page_id, regexp_matches(norm, 'example\\.(com|net)/en') AS matched FROM n",
