@@ -14,12 +14,16 @@ from silkweb.functions.urls import normalize
 BROWSER_WAIT_UNTIL = ("load", "domcontentloaded", "networkidle0", "networkidle2")
 BROWSER_BLOCKABLE_RESOURCES = ("image", "stylesheet", "font", "media")
 #: File endings that are no pages.
-BINARY_ENDINGS = "zip rar webp png jpg jpeg gif mp3 mp4 pdf css js svg ico eot ttf woff woff2 otf webm ogg wav flac m4a mkv mov avi wmv flv swf exe msi dmg iso bin".split()
+BINARY_ENDINGS = [
+    "zip", "rar", "webp", "png", "jpg", "jpeg", "gif", "mp3", "mp4", "pdf", "css", "js", "svg", "ico", "eot", "ttf",
+    "woff", "woff2", "otf", "webm", "ogg", "wav", "flac", "m4a", "mkv", "mov", "avi", "wmv", "flv", "swf", "exe",
+    "msi", "dmg", "iso", "bin",
+]
 #: Elements that hold no readable text.
 REMOVED_ELEMENTS = [
-    *"script noscript style meta link svg path img input textarea embed object iframe nav header footer aside button".split(),
-    "[aria-modal]",
-    *(f'[role="{role}"]' for role in ("dialog", "alert", "banner", "form", "navigation", "search")),
+    "script", "noscript", "style", "meta", "link", "svg", "path", "img", "input", "textarea", "embed", "object",
+    "iframe", "nav", "header", "footer", "aside", "button", "[aria-modal]", '[role="dialog"]', '[role="alert"]',
+    '[role="banner"]', '[role="form"]', '[role="navigation"]', '[role="search"]',
 ]
 
 #: Defaults, the first start URL and its route among them.
@@ -37,7 +41,7 @@ DEFAULT_CONFIG = {
     "request": {"timeout": 10_000, "max_redirects": 5, "max_content_length": 20 << 20, "user_agent": "Mozilla/5.0 (compatible; silkweb/1.0)", "headers": {}},
     "retry": {"max": 1, "status_codes": [408, 500, 502, 503, 504], "delay": 1000},
     "rate_limit": {"fallback_delay": 60_000, "exit_on_limit": False, "exit_code": 10},
-    "crawl": {"concurrency": 5, "delay": 200, "max_depth": None, "max_pages": None, "reset_on_complete": True, "retry_errors": False, "retry_skipped": False, "sitemap": False},
+    "crawl": {"concurrency": 5, "delay": 200, "lease": 60_000, "max_depth": None, "max_pages": None, "reset_on_complete": True, "retry_errors": False, "retry_skipped": False, "sitemap": False},
     "extract": {"root": None, "root_fallback": "body", "json": True, "remove_selectors": REMOVED_ELEMENTS},
     "output": {"format": "json", "exclude": [], "routes": {"https://crawler-test.com": {"*": "general.json"}}},
 }

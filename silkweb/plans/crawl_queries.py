@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from silkweb.functions import urls
 from silkweb.operators import frontier as fr
+from silkweb.operators.schedule import leased
 from silkweb.plans.config import load_config
 from silkweb.plans.crawler import Crawler, parsed
 from silkweb.sources.fetch import TableFetcher, rate_limit_wait
@@ -107,6 +108,14 @@ def rate_limit_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", wait("after", "reset").alias("ms"))
 
 
+def fetch_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When pages may be asked for, 250 ms apart for each host, within a lease of 5 s; some hosts were asked before."""
+    at = _pages(spark, sf_dir).select(F.col("page_id").alias("seq"), urls.normalize_url(F.col("url")).alias("url")).where("url IS NOT NULL")
+    host = urls.authority_of(F.col("url"))
+    due = at.select(host.alias("host")).distinct().select("host", (F.length("host") % 5 * 700 - 300).alias("due"))
+    return leased(at, 250, 5_000, due).select("seq", "host", "turn", "start")
+
+
 def malformed_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs of which some can't be parsed: those have no canonical form and go."""
     i = F.col("page_id")
@@ -135,7 +144,7 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (crawler_fixpoint, sitemap_levels, fetch_outcomes, rate_limit_waits, malformed_dropped, parsed_bodies, stale_files)}
+    return {f.__name__: f for f in (crawler_fixpoint, sitemap_levels, fetch_outcomes, fetch_schedule, rate_limit_waits, malformed_dropped, parsed_bodies, stale_files)}
 
 
 def _fixpoint_sql() -> str:
@@ -173,6 +182,9 @@ def oracle_sql() -> dict[str, str]:
         "fetch_outcomes": f"""WITH t AS (SELECT event_id AS e, CASE event_id % 6 WHEN 1 THEN event_id + 1 ELSE event_id END AS k FROM events),
 s AS (SELECT e, CASE WHEN k NOT IN (SELECT event_id FROM events) THEN 404 ELSE CASE k % 6 WHEN 2 THEN CASE WHEN k % 12 < 6 THEN 200 ELSE 503 END WHEN 3 THEN 413 WHEN 4 THEN 404 WHEN 5 THEN 404 ELSE 200 END END AS status FROM t)
 SELECT 'https://f.example.com/' || e AS url, status::INT AS status, CASE status WHEN 413 THEN 'Response too large: 60 bytes (max 50)' WHEN 200 THEN NULL ELSE 'Invalid status code: ' || status END AS error, CASE WHEN status = 200 THEN 2 END::BIGINT AS n, false AS rate_limited FROM s""",
+        "fetch_schedule": r"""WITH h AS (SELECT page_id AS seq, regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1) AS host FROM pages WHERE url IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) - 1 AS turn FROM h), s AS (SELECT *, greatest(0, length(host) % 5 * 700 - 300) + turn * 250 AS start FROM t)
+SELECT seq, host, turn, start FROM s WHERE start < 5000""",
         "rate_limit_waits": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN (event_id % 90) * 1000 WHEN 1 THEN 200000 WHEN 3 THEN greatest(0, event_id % 2000 - 1000) * 1000 ELSE 60000 END::DOUBLE AS ms FROM events",
         "malformed_dropped": "SELECT page_id, CASE page_id % 6 WHEN 4 THEN 'https://h' || page_id || '.com/b' ELSE 'https://h' || page_id || '.com/%7Ea' END AS norm FROM pages WHERE page_id % 6 >= 4",
         "parsed_bodies": """WITH e AS (SELECT event_id, props, regexp_extract(props, '(-?[0-9]+)', 1) AS k FROM events)

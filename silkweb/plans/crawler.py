@@ -1,7 +1,8 @@
 """The crawler: waves of fetch, gate, parse and enqueue over the queue's table, then routed output.
 
-Its order is that of one worker taking the queue first in, first out. A wave is one plan; what it leaves is written, so
-a crawl that ends in any way goes on from its last complete wave.
+Its order is that of one worker taking the queue first in, first out, wave by wave; what a wave's lease leaves is the
+next one's. A wave is one plan; what it leaves is written, so a crawl that ends in any way goes on from its last complete
+wave.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import logging
 import signal
+import time
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
@@ -22,19 +24,22 @@ from silkweb.functions.content import content_kind, gate_passes, parse_json, par
 from silkweb.functions.html import extract_text, links_of, parse_html, stripped, text_of
 from silkweb.functions.patterns import admitted
 from silkweb.functions.sitemap import parse_sitemap_column
-from silkweb.functions.urls import normalize, normalize_url, resolve
+from silkweb.functions.urls import authority_of, normalize, normalize_url, resolve
 from silkweb.operators import frontier as fr
 from silkweb.operators.rules import effective, site_rule
 from silkweb.plans.config import load_config
 from silkweb.plans.hooks import Hooks, reduced
 from silkweb.plans.output import format_records
-from silkweb.sources.fetch import FetchError, RateLimitError, fetched, resolve_fetcher, with_retries
+from silkweb.sources.fetch import FetchError, RateLimitError, resolve_fetcher, with_retries
+from silkweb.sources.polite import StopLine, fetched
 from silkweb.sources.shared import written
 from silkweb.sources.store import LOGS, Store
 
 SITEMAP_LEVELS = 6
 #: Sitemaps that the log names when they can't be read.
 WARNINGS = 20
+#: Seconds until the next look at a frontier whose hosts all have to wait.
+IDLE = 1.0
 _PARSED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("url", T.StringType()), T.StructField("content", T.StringType()), T.StructField("data", T.StringType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType())), T.StructField("hash", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("failed", T.StringType())])
 _FIXED = ("url", "content", "crawledAt", "data")
 
@@ -127,7 +132,7 @@ class Crawler:
         self.logger = logging.getLogger(f"silkweb.{id(self)}")
         level = {"silent": logging.CRITICAL + 1, "error": logging.ERROR, "warn": logging.WARNING, "debug": logging.DEBUG}
         self.logger.setLevel(level.get(self.config["log_level"], logging.INFO))
-        self.stopped = False
+        self.stopped, self._line = False, None
         self.statistics: dict[str, int] = {}
 
     # --- state ---
@@ -176,8 +181,10 @@ class Crawler:
             self._seed()
 
     def stop(self) -> None:
-        """End the crawl after the wave that runs."""
+        """End the crawl: requests that run are finished and kept, no other starts."""
         self.stopped = True
+        if self._line:
+            self._line.cut()
 
     # --- stages ---
 
@@ -185,7 +192,7 @@ class Crawler:
         if hasattr(self.fetcher, "fetch"):
             return with_retries(self.fetcher.fetch, normalize(url), self.config["retry"], self.config["rate_limit"])
         one = self.spark.createDataFrame([(0, normalize(url))], "seq BIGINT, url STRING")
-        return fetched(self.fetcher, one, self.config).first().asDict()
+        return fetched(self.fetcher, one, self.config).drop("due", "put_off").first().asDict()
 
     def extract(self, html: str, url: str | None = None) -> dict:
         from silkweb.functions.patterns import compile_pattern
@@ -275,7 +282,10 @@ class Crawler:
         config, before = self.config, self.store.current()
         now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
         todo = written(todo.select("seq", "url", "depth", "referrer"), "wave")
-        got = written(todo.join(fetched(self.fetcher, todo, config), "url"), "fetched")
+        due, began = self.store.due(), int(time.time() * 1000)
+        waits = None if due is None else due.select("host", (F.col("due") - began).alias("due"))
+        asked = written(todo.join(fetched(self.fetcher, todo, config, waits, config["crawl"]["lease"], self._line and self._line.address), "url"), "fetched")
+        got = asked.where("NOT put_off").drop("put_off", "due")
         answers = got.where("error IS NULL AND NOT rate_limited")
         on_response = self.hooks.of("response")["response"]
         if on_response:
@@ -305,12 +315,23 @@ class Crawler:
         new, n = self._new(found)
         limited = bool(got.where("rate_limited").take(1))
         made = {r["state"]: r["n"] for r in fr.state_counts(outcome).collect()}
-        # A wave takes the first places that are pending: unless a host's limit left some, all before its last are done.
-        settled = {} if limited else {"pending_from": todo.agg(F.max("seq")).first()[0] + 1}
-        self.store.append(new if n else None, outcome, None, batch, {**made, "pending": n - sum(made.values())}, next=before["next"] + n, files=before["files"] + made.get("crawled", 0), **settled)
+        # A wave takes the first places that are pending. Those before the first that it left are all done.
+        rest = todo.count() - sum(made.values())
+        first = todo.join(outcome.select("seq"), "seq", "left_anti").agg(F.min("seq")).first()[0] if rest else todo.agg(F.max("seq") + 1).first()[0]
+        self.store.append(new if n else None, outcome, None, batch, {**made, "pending": n - sum(made.values())}, self._due_after(asked, due), next=before["next"] + n, files=before["files"] + made.get("crawled", 0), pending_from=first)
+        if not any(made.values()) and not limited:
+            time.sleep(IDLE)  # every host has to wait longer than a lease
         self._tell(todo, outcome, got, named.withColumn("crawledAt", F.lit(now)))
         return limited
 
+    def _due_after(self, asked: DataFrame, before: DataFrame | None) -> DataFrame | None:
+        """Hosts that a next wave has to wait for: what is due later than now only, so a few of a long crawl's."""
+        if hasattr(self.fetcher, "fetch_frame"):
+            return None
+        rows = asked.select(authority_of(F.col("url")).alias("host"), "due")
+        rows = rows if before is None else rows.unionByName(before)
+        return rows.where(F.col("due") > int(time.time() * 1000)).groupBy("host").agg(F.max("due").alias("due"))
+
     def _tell(self, todo: DataFrame, outcome: DataFrame, got: DataFrame, named: DataFrame) -> None:
         """Hooks that watch on the driver, row by row in the queue's order: page(record, entry, result),
         skip(entry, {reason, status, result}) and error(error, entry). Rows come one partition at a time."""
@@ -355,7 +376,7 @@ class Crawler:
 
     def crawl(self) -> dict[str, int]:
         """Waves until nothing is pending, ``stop`` was called, or max_pages are crawled; counts by state."""
-        self.stopped = False
+        self.stopped, self._line = False, StopLine(self.spark)
         most = self.config["crawl"]["max_pages"]
         old = self._catch_signals()
         try:
@@ -383,6 +404,8 @@ class Crawler:
         finally:
             for s, handler in old.items():
                 signal.signal(s, handler)
+            self._line.close()
+            self._line = None
 
     def _catch_signals(self) -> dict:
         if not self.config["signals"]:
@@ -391,7 +414,7 @@ class Crawler:
         def handle(number, frame):
             if self.stopped:
                 raise SystemExit(1)
-            self.logger.warning("stopping after this wave")
+            self.logger.warning("stopping after the requests that run")
             self.stop()
 
         try:

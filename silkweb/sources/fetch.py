@@ -6,11 +6,11 @@ or ``fetch(url)``, a dict with data, status and headers that raises FetchError;
 
 from __future__ import annotations
 
-import heapq
 import http.client
+import threading
 import time
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable
 from datetime import timezone
 from email.utils import parsedate_to_datetime
 from urllib.parse import urlsplit
@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkweb.functions.urls import authority_of, normalize_url, resolve
+from silkweb.functions.urls import normalize_url, resolve
 from silkweb.sources.shared import written
 
-#: Bytes of answers that a task holds, about; one more may be as large as the limit on bodies.
-ANSWER_BYTES = 16 << 20
+#: Connections that a thread keeps; bytes of an answer without use that are read so that its connection can be kept.
+KEPT, UNREAD = 32, 1 << 16
+_OPEN = threading.local()
 FETCHED = "url STRING, data BINARY, status INT, headers MAP<STRING,STRING>, error STRING, rate_limited BOOLEAN"
 
 
@@ -61,66 +62,39 @@ def rate_limit_wait(headers: dict[str, str], fallback_ms: float, now: float | No
     return fallback_ms
 
 
+def attempted(fetch: Callable[[str], dict], url: str, tries: int, retry: dict, rate_limit: dict) -> tuple[dict | None, int, float]:
+    """One request after ``tries`` that failed: its row, or None with the tries by now and the seconds to wait.
+
+    Statuses that pass are tried again ``max`` times; waits for 429 don't count as tries.
+    """
+    try:
+        got = fetch(url)
+        return {"url": url, "data": got["data"], "status": got["status"], "headers": got["headers"], "error": None, "rate_limited": False}, tries, 0.0
+    except Exception as e:
+        status = getattr(e, "status", None)
+        if status == 429:
+            if rate_limit["exit_on_limit"]:
+                return {"url": url, "data": None, "status": 429, "headers": dict(e.headers), "error": None, "rate_limited": True}, tries, 0.0
+            return None, tries, rate_limit_wait(e.headers, rate_limit["fallback_delay"]) / 1000
+        if (status is None or status in retry["status_codes"]) and tries < retry["max"]:
+            return None, tries + 1, max(0, retry["delay"]) / 1000
+        return {"url": url, "data": None, "status": status, "headers": None, "error": str(e) or type(e).__name__, "rate_limited": False}, tries, 0.0
+
+
 def with_retries(fetch: Callable[[str], dict], url: str, retry: dict, rate_limit: dict, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """Result row of a fetch. Statuses that pass are tried again ``max`` times; waits for 429 don't count as tries."""
+    """Result row of a fetch with all its tries."""
     tries = 0
     while True:
-        try:
-            got = fetch(url)
-            return {"url": url, "data": got["data"], "status": got["status"], "headers": got["headers"], "error": None, "rate_limited": False}
-        except Exception as e:
-            status = getattr(e, "status", None)
-            if status == 429:
-                if rate_limit["exit_on_limit"]:
-                    return {"url": url, "data": None, "status": 429, "headers": dict(e.headers), "error": None, "rate_limited": True}
-                sleep(rate_limit_wait(e.headers, rate_limit["fallback_delay"]) / 1000)
-                continue
-            if (status is None or status in retry["status_codes"]) and tries < retry["max"]:
-                tries += 1
-                if retry["delay"] > 0:
-                    sleep(retry["delay"] / 1000)
-                continue
-            return {"url": url, "data": None, "status": status, "headers": None, "error": str(e) or type(e).__name__, "rate_limited": False}
-
-
-def _polite(frontier: DataFrame, fetch: Callable[[str], dict], config: dict) -> DataFrame:
-    """Fetch in as many tasks as requests may run at once. A host's URLs are one task's, so its requests can be spaced;
-    a task takes the host that is due next, so a slow one doesn't hold up the others. Answers leave by bytes."""
-    retry, limit, gap = config["retry"], config["rate_limit"], config["crawl"]["delay"] / 1000
-    hosts = frontier.withColumn("_host", authority_of(F.col("url")))
-    dealt = hosts.repartition(max(1, config["crawl"]["concurrency"]), "_host").sortWithinPartitions("seq").select("url", "_host")
-    names = ["url", "data", "status", "headers", "error", "rate_limited"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        due: dict[str, float] = {}
-        rows, size = [], 0
-        for batch in batches:
-            waiting: dict[str, deque] = {}
-            for url, host in zip(batch["url"], batch["_host"]):
-                waiting.setdefault(host, deque()).append(url)
-            turns = [(due.get(host, 0.0), k, host) for k, host in enumerate(waiting)]
-            heapq.heapify(turns)
-            turn = len(turns)
-            while turns:
-                when, _, host = heapq.heappop(turns)
-                time.sleep(max(0.0, when - time.monotonic()))
-                due[host] = time.monotonic() + gap
-                rows.append(with_retries(fetch, waiting[host].popleft(), retry, limit))
-                size += len(rows[-1]["data"] or b"")
-                turn += 1
-                if waiting[host]:
-                    heapq.heappush(turns, (due[host], turn, host))
-                if size > ANSWER_BYTES or len(rows) >= 1000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, size = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    return dealt.mapInPandas(run, FETCHED)
+        row, tries, seconds = attempted(fetch, url, tries, retry, rate_limit)
+        if row:
+            return row
+        if seconds > 0:
+            sleep(seconds)
 
 
 class HttpFetcher:
-    """Plain HTTP with redirects followed one by one, a time limit per hop and a limit on the body's bytes."""
+    """Plain HTTP with redirects followed one by one, a time limit per hop and a limit on the body's bytes. Connections
+    are kept for the host's next URL."""
 
     name = "http"
 
@@ -149,21 +123,52 @@ class HttpFetcher:
 
     def _once(self, url: str) -> dict:
         parts = urlsplit(url)
-        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
         seconds = self.request["timeout"] / 1000
-        connection = kind(parts.netloc.rpartition("@")[2], timeout=seconds)
-        by = time.monotonic() + seconds
+        host, by = parts.netloc.rpartition("@")[2], time.monotonic() + seconds
+        target = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
         try:
-            connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": self.request["user_agent"], **self.request["headers"]})
-            response = connection.getresponse()
-            headers = {k.lower(): v for k, v in response.getheaders()}
-            if 300 <= response.status < 400 or not 200 <= response.status < 300:
-                return {"data": b"", "status": response.status, "headers": headers}
-            return {"data": self._body(response, headers, by), "status": response.status, "headers": headers}
+            connection, response = self._answer((parts.scheme, host, seconds), target)
+            whole = False
+            try:
+                headers = {k.lower(): v for k, v in response.getheaders()}
+                if not 200 <= response.status < 300:
+                    response.read(UNREAD)
+                    data = b""
+                else:
+                    data = self._body(response, headers, by)
+                whole = response.isclosed()  # read to its end, so the next request may follow
+                return {"data": data, "status": response.status, "headers": headers}
+            finally:
+                self._keep((parts.scheme, host, seconds), connection if whole else None)
         except TimeoutError:
             raise FetchError(f"Request timed out after {self.request['timeout']}ms", 408) from None
-        finally:
-            connection.close()
+
+    def _answer(self, key: tuple, target: str):
+        """The connection and its response: by one that this thread kept, else or if that one is gone by a new one."""
+        kept = _OPEN.__dict__.setdefault("kept", OrderedDict()).pop(key, None)
+        kind = http.client.HTTPSConnection if key[0] == "https" else http.client.HTTPConnection
+        for connection in (kept, kind(key[1], timeout=key[2])):
+            if connection is None:
+                continue
+            try:
+                connection.request("GET", target, headers={"User-Agent": self.request["user_agent"], **self.request["headers"]})
+                return connection, connection.getresponse()
+            except (ConnectionError, http.client.HTTPException):
+                connection.close()
+                if connection is not kept:
+                    raise
+            except BaseException:
+                connection.close()
+                raise
+
+    @staticmethod
+    def _keep(key: tuple, connection) -> None:
+        """Keep a connection for the host's next URL, the most recent ``KEPT`` of a thread; without one, drop it."""
+        if connection is None or connection.sock is None:
+            return
+        _OPEN.kept[key] = connection
+        if len(_OPEN.kept) > KEPT:
+            _OPEN.kept.popitem(last=False)[1].close()
 
     def _body(self, response, headers: dict, by: float) -> bytes:
         most = self.request["max_content_length"]
@@ -262,10 +267,3 @@ def resolve_fetcher(config: dict):
     if wanted == "browser":
         raise NotImplementedError("no browser here: give an object with fetch(url) that drives one")
     raise ValueError(f"Unknown fetcher: {wanted}")
-
-
-def fetched(fetcher, frontier: DataFrame, config: dict) -> DataFrame:
-    """Responses for a frontier (seq, url), a row of ``FETCHED`` each."""
-    if hasattr(fetcher, "fetch_frame"):
-        return fetcher.fetch_frame(frontier, config)
-    return _polite(frontier, fetcher.fetch, config)

@@ -121,9 +121,9 @@ class Store:
 
     def current(self) -> dict:
         """Tables by log with rows and tier, record batches, states' counts, the next place and the last file's number.
-        Every place before ``pending_from`` is settled."""
+        Every place before ``pending_from`` is settled; ``due`` names the table of hosts that have to wait."""
         text = read_text(self.spark, f"{self.queue_dir}/CURRENT")
-        return json.loads(text) if text else {**{log: [] for log in LOGS}, "records": [], "counts": dict.fromkeys(STATES, 0), "next": 0, "files": 0, "pending_from": 0}
+        return json.loads(text) if text else {**{log: [] for log in LOGS}, "records": [], "counts": dict.fromkeys(STATES, 0), "next": 0, "files": 0, "pending_from": 0, "due": None}
 
     # --- tables of the log ---
 
@@ -157,10 +157,11 @@ class Store:
         tables = [self._table(log, made) for made in (now or self.current())[log]]
         return reduce(DataFrame.unionByName, tables) if tables else self.spark.createDataFrame([], LOGS[log])
 
-    def append(self, found: DataFrame | None = None, outcomes: DataFrame | None = None, dropped: DataFrame | None = None, batch: str | None = None, change: dict | None = None, **marks: int) -> None:
+    def append(self, found: DataFrame | None = None, outcomes: DataFrame | None = None, dropped: DataFrame | None = None, batch: str | None = None, change: dict | None = None, due: DataFrame | None = None, **marks: int) -> None:
         """Add rows to the logs and a batch to the records, all at once. ``change`` is added to the states' counts, and
-        ``marks`` replace next, files and pending_from."""
+        ``marks`` replace next, files and pending_from, ``due`` (host, due) the hosts' due times."""
         now = self.current()
+        waited = now.get("due")
         for log, rows in (("found", found), ("outcomes", outcomes), ("dropped", dropped)):
             if rows is not None:
                 kinds = [x.split() for x in LOGS[log].split(", ")]
@@ -168,8 +169,13 @@ class Store:
         now["records"] += [batch] if batch else []
         for state, n in (change or {}).items():
             now["counts"][state] += n
+        if due is not None:
+            now["due"] = f"due-{uuid.uuid4().hex}"
+            due.select("host", "due").write.parquet(f"{self.queue_dir}/{now['due']}")
         now |= marks
         self._swap(now)
+        if due is not None and waited:
+            delete(self.spark, f"{self.queue_dir}/{waited}")
         self.merge()
 
     def _swap(self, now: dict) -> None:
@@ -206,6 +212,11 @@ class Store:
         rows = self.log("found", now).where(behind).join(self.log("outcomes", now).where(behind).select("seq"), "seq", "left_anti")
         return rows.join(self.log("dropped", now).where(behind), "seq", "left_anti") if now["dropped"] else rows
 
+    def due(self) -> DataFrame | None:
+        """Hosts with the epoch milliseconds before which they aren't asked again, as of the last wave."""
+        named = self.current().get("due")
+        return None if named is None else self.spark.read.schema("host STRING, due BIGINT").parquet(f"{self.queue_dir}/{named}")
+
     def queue(self) -> DataFrame:
         """Every place of the queue with what came of it."""
         now = self.current()

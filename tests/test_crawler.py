@@ -235,8 +235,7 @@ def test_hosts_take_turns(spark):
     """A task fetches the hosts in turn and spaces the requests of each."""
     import time
 
-    from silkweb.plans.config import load_config
-    from silkweb.sources.fetch import fetched
+    from silkweb.sources.polite import fetched
 
     class Clock:
         name = "clock"
@@ -273,6 +272,169 @@ def test_several_crawlers(spark, tmp_path):
     assert [q.count() for q in queues] == [1, 3]
 
 
+def test_turns_of_a_host_in_many_ranges(spark):
+    from silkweb.operators.schedule import leased, turns
+
+    hosts = ["big"] * 900 + [f"h{k % 40}" for k in range(400)]
+    frame = spark.createDataFrame([(k * 7 % 1300, f"https://{h}.com/{k}") for k, h in enumerate(hosts)], "seq long, url string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = turns(frame).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 1300 and (got.turn == got.groupby("host").seq.rank().astype(int) - 1).all()
+    due = spark.createDataFrame([("h1.com", 450), ("h2.com", -5), ("h3.com", 2000)], "host string, due long")
+    rows = leased(frame, 100, 1000, due).toPandas()
+    n = rows.groupby("host").start.agg(["size", "min"])
+    assert n.loc["big.com"].tolist() == [10, 0] and n.loc["h1.com"].tolist() == [6, 450] and n.loc["h2.com"].tolist() == [10, 0] and "h3.com" not in n.index
+    assert leased(frame.limit(0), 100, 1000, due).count() == 0
+
+
+class Slow:
+    """Answers of a web without links but from its first page; hosts differ in what they do."""
+
+    name = "slow"
+
+    def __init__(self, links, seconds=0.0, log=None):
+        self.links, self.seconds, self.log = links, seconds, log
+
+    def fetch(self, url):
+        import os
+        import time
+
+        began = time.time()
+        if self.log:
+            with open(f"{self.log}/{os.getpid()}", "a") as f:
+                f.write(f"{began} {url}\n")
+        if url.endswith("/429") and began - float(open(f"{self.log}/start").read()) < 1.5:
+            raise FetchError("wait", 429, {"retry-after": "2"})
+        time.sleep(0 if url == "https://w.com/" else self.seconds)
+        return {"data": page(*(self.links if url == "https://w.com/" else [])).encode(), "status": 200, "headers": {"content-type": "text/html"}}
+
+
+def slow_crawler(spark, tmp_path, fetcher, signals=False, **crawl):
+    user = {"start_urls": ["https://w.com/"], "include": ["com/"], "fetcher": fetcher, "signals": signals, "log_level": "silent", "storage": {"dir": f"{tmp_path}/data"}, "crawl": crawl}
+    return Crawler(spark, user)
+
+
+def started(log):
+    rows = [line.split() for f in log.iterdir() if f.name.isdigit() for line in f.read_text().splitlines()]
+    return sorted((float(t), u) for t, u in rows)
+
+
+def test_a_host_that_waits_holds_up_no_other(spark, tmp_path):
+    import time
+
+    from silkweb.sources.polite import fetched
+
+    (tmp_path / "start").write_text(str(time.time() + 1))
+    config = load_config({"start_urls": ["https://a.com/"], "crawl": {"concurrency": 1, "delay": 50}})
+    urls = ["https://a.com/429", "https://a.com/1", "https://b.com/0", "https://b.com/1", "https://c.com/0"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "seq long, url string")
+    got = {r.url: r for r in fetched(Slow([], log=tmp_path), frame, config).collect()}
+    assert set(got) == set(urls) and all(r.status == 200 and not r.put_off for r in got.values())
+    order = [u for _, u in started(tmp_path)]
+    assert order[0] == "https://a.com/429" and set(order[1:4]) == set(urls[2:]) and order[-2:] == urls[:2]
+    (tmp_path / "start").write_text(str(time.time() + 1))
+    rows = fetched(Slow([], log=tmp_path), frame, config, lease=1500).collect()
+    assert sorted(r.url for r in rows if not r.put_off) == urls[2:]  # host a is due after the lease
+    late = [r for r in rows if r.put_off]
+    assert [r.url for r in late] == [urls[0]] and late[0].due > time.time() * 1000 - 1500 and late[0].status is None
+
+
+def test_requests_at_once_beyond_the_tasks(spark, tmp_path):
+    from silkweb.sources.polite import fetched
+
+    at_once = 3 * spark.sparkContext.defaultParallelism
+    config = load_config({"start_urls": ["https://a.com/"], "crawl": {"concurrency": at_once, "delay": 0}})
+    frame = spark.createDataFrame([(k, f"https://h{k}.com/") for k in range(60)], "seq long, url string")
+    assert fetched(Slow([], 0.3, tmp_path), frame, config).count() == 60
+    times = [t for t, _ in started(tmp_path)]
+    assert times[-1] - times[0] < 60 * 0.3 / spark.sparkContext.defaultParallelism - 0.3  # one at a time in each task takes longer
+
+
+def test_leases_and_due_times_outlive_waves_and_crawlers(spark, tmp_path):
+    links = [f"https://long.com/{k}" for k in range(8)] + ["https://s.com/0"]
+    c = slow_crawler(spark, tmp_path, Slow(links, log=tmp_path), delay=3000, lease=4000, concurrency=4, max_pages=4)
+    assert c.crawl()["crawled"] >= 3
+    again = slow_crawler(spark, tmp_path, Slow(links, log=tmp_path), delay=3000, lease=10_000, concurrency=4)
+    assert again.crawl() == {"crawled": 10, "error": 0, "skipped": 0, "pending": 0}
+    times = [t for t, u in started(tmp_path) if "long" in u]
+    assert len(times) == 8 and all(b - a > 2.95 for a, b in zip(times, times[1:]))
+    assert len({r.url for r in again.records().collect()}) == 10
+
+
+@pytest.mark.parametrize("way", ["SIGINT", "SIGTERM", "stop"])
+def test_a_stop_within_a_wave_keeps_what_was_fetched(spark, tmp_path, way):
+    import os
+    import signal
+    import time
+
+    links = [f"https://w.com/{k}" for k in range(200)]
+    c = slow_crawler(spark, tmp_path, Slow(links, 0.1, tmp_path), signals=True, delay=200, concurrency=4)
+    at = []
+
+    def stop():
+        while len(started(tmp_path)) < 6:
+            time.sleep(0.05)
+        at.append(time.time())
+        c.stop() if way == "stop" else os.kill(os.getpid(), getattr(signal, way))
+
+    threading.Thread(target=stop, daemon=True).start()
+    before = signal.getsignal(signal.SIGTERM)
+    n = c.crawl()
+    assert signal.getsignal(signal.SIGTERM) is before
+    log = started(tmp_path)
+    assert n["pending"] > 150 and n["crawled"] == len(log) and log[-1][0] < at[0] + 1  # 200 pages take 40 s
+    again = slow_crawler(spark, tmp_path, Slow(links), delay=0)
+    assert again.crawl() == {"crawled": 201, "error": 0, "skipped": 0, "pending": 0}
+
+
+class _Kept(http.server.BaseHTTPRequestHandler):
+    protocol_version = "HTTP/1.1"
+    opened = []
+
+    def setup(self):
+        super().setup()
+        self.opened.append(1)
+
+    def do_GET(self):
+        body = b"x" * 50
+        self.send_response({"/gone": 404, "/move": 302}.get(self.path, 200))
+        if self.path == "/move":
+            self.send_header("Location", "/there")
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+        if self.path == "/last":
+            self.close_connection = True  # without saying so
+
+    def log_message(self, *args):
+        pass
+
+
+def test_connections_are_kept():
+    import pickle
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Kept)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    fetcher = HttpFetcher({"timeout": 2000, "max_redirects": 5, "max_content_length": 100, "user_agent": "t", "headers": {}})
+    try:
+        assert [fetcher.fetch(at + p)["data"] for p in ("/a", "/move", "/b")] == [b"x" * 50] * 3
+        with pytest.raises(FetchError, match="404"):
+            fetcher.fetch(at + "/gone")
+        assert pickle.loads(pickle.dumps(fetcher)).fetch(at + "/last")["status"] == 200
+        assert len(_Kept.opened) == 1
+        assert fetcher.fetch(at + "/c")["status"] == 200 and len(_Kept.opened) == 2  # the kept one was gone
+        small = HttpFetcher(fetcher.request | {"max_content_length": 10})
+        with pytest.raises(FetchError, match="too large"):
+            small.fetch(at + "/d")
+        assert fetcher.fetch(at + "/e")["status"] == 200 and len(_Kept.opened) == 3  # an unread answer ends its connection
+    finally:
+        server.shutdown()
+
+
 class _Site(http.server.BaseHTTPRequestHandler):
     def do_GET(self):
         n = int(self.path[2:] or 0) if self.path.startswith("/r") else 0
