@@ -10,11 +10,14 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from silkweb.functions import urls
+from silkweb.functions.jspattern import JsPatternError, translated
 
 Pattern = str | re.Pattern
 
@@ -23,48 +26,31 @@ class PatternError(ValueError):
     """The pattern can't be compiled."""
 
 
-def _from_js(source: str, flags: str) -> str:
-    """A regular expression of the web's dialect for Java's and Python's engines, which share what is left."""
-    if len(set(flags)) != len(flags) or set(flags) - set("dgimsuvy"):
-        raise PatternError(f"invalid flags {flags!r}")
-    multiline = "m" in flags
-    out, in_class, k = [], False, 0
-    while k < len(source):
-        ch = source[k]
-        if ch == "\\":
-            pair = source[k : k + 2]
-            out.append("/" if pair == "\\/" else pair)
-            k += 2
-            continue
-        if ch == "[" and not in_class:
-            in_class = True
-        elif ch == "[":
-            ch = "\\["  # opens nothing within a class
-        elif ch == "]" and in_class:
-            in_class = False
-        elif ch == "$" and not in_class and not multiline:
-            ch = "(?![\\s\\S])"  # only the very end, not before a last line feed
-        elif ch == "&" and in_class and source[k : k + 2] == "&&":
-            ch = "\\&"
-        out.append(ch)
-        k += 1
-    inline = "".join(f for f in "ims" if f in flags)
-    start = "(?:^)" if "y" in flags and not multiline else ""
-    return (f"(?{inline})" if inline else "") + start + "".join(out)
-
-
 @lru_cache(maxsize=512)
 def _python(text: str):
-    """The twin of what Java runs: named groups and look-behind of several lengths are the same in both."""
+    """The twin of what Java runs."""
     return regex.compile(text, regex.V0)
 
 
+def _searched(text: str):
+    """The test of a column by Python's engine."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(values: pd.Series) -> pd.Series:
+        found = _python(text)
+        return pd.Series([None if v is None else found.search(v) is not None for v in values], dtype=object)
+
+    return run
+
+
 @dataclass(frozen=True)
 class Compiled:
     kind: str
     text: str
     #: Length by which the most specific pattern is found; of a regular expression with slashes and flags.
     length: int
+    #: The expression for Java's engine, None where only Python's can run it.
+    java: str | None = None
 
     def test(self, value: str) -> bool:
         if self.kind == "regex":
@@ -81,7 +67,7 @@ class Compiled:
     def column(self, value: Column) -> Column:
         """The same test over a column of canonical URLs."""
         if self.kind == "regex":
-            return value.rlike(self.text)
+            return _searched(self.text)(value) if self.java is None else value.rlike(self.java)
         if self.kind == "substring":
             return value.contains(self.text)
         try:
@@ -98,17 +84,18 @@ def compile_pattern(pattern: Pattern) -> Compiled:
     """Raises PatternError for what isn't a pattern or doesn't compile, before any row is read."""
     if isinstance(pattern, re.Pattern):
         flags = "".join(f for f, bit in (("i", re.I), ("m", re.M), ("s", re.S)) if pattern.flags & bit)
-        return Compiled("regex", (f"(?{flags})" if flags else "") + pattern.pattern, len(pattern.pattern) + 2 + len(flags))
+        text = (f"(?{flags})" if flags else "") + pattern.pattern
+        return Compiled("regex", text, len(pattern.pattern) + 2 + len(flags), text)
     if not isinstance(pattern, str):
         raise PatternError(f"not a pattern: {pattern!r}")
     end = pattern.rfind("/")
     if pattern.startswith("/") and end > 0:
-        text = _from_js(pattern[1:end], pattern[end + 1 :])
         try:
+            text, java = translated(pattern[1:end], pattern[end + 1 :])
             _python(text)
-        except regex.error as e:
+        except (JsPatternError, regex.error) as e:
             raise PatternError(f"{pattern!r}: {e}") from None
-        return Compiled("regex", text, len(pattern))
+        return Compiled("regex", text, len(pattern), java)
     if pattern.startswith(("http://", "https://")):
         return Compiled("prefix", pattern, len(pattern))
     return Compiled("substring", pattern, len(pattern))

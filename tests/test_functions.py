@@ -87,6 +87,39 @@ def test_pattern_edges():
             compile_pattern(bad)
 
 
+#: Pattern, texts that it fits, texts that it doesn't.
+JS_PATTERNS = [
+    ("/x{id}/", ["x{id}"], ["xid"]), ("/[^]a/", ["\na", "xa"], ["a"]), ("/a[]/", [], ["a", "a[]"]), ("/\\u{61}/u", ["a"], ["u"]), ("/^\\u{3}$/", ["uuu"], ["a", "\x03"]),
+    ("/(?<$n>a)\\k<$n>/", ["aa"], ["a"]), ("/\\k<x>/", ["k<x>"], ["x"]), ("/a{,2}/", ["a{,2}"], ["aa"]), ("/^a{2}?$/", ["aa"], ["a"]), ("/]}/", ["]}"], ["]"]),
+    ("/^.$/", ["a", "\u0085", "😀"], ["\n", "\r", "\u2028"]), ("/^.$/s", ["\n", "\u2028"], [""]), ("/^b$/m", ["a\nb", "a\rb\u2028c", "b"], ["a\u0085b", "bb"]), ("/^b$/", ["b"], ["b\n", "a\nb"]),
+    ("/^\\d$/", ["5"], ["٣"]), ("/^\\w$/", ["_"], ["é"]), ("/^\\s$/", ["\ufeff", "\u00a0", "\u2003", "\x0b"], ["\u0085", "\x1c"]), ("/^[\\D]$/", ["٣", "x"], ["3"]), ("/^[^\\W_]$/", ["a"], ["_", "é"]), ("/^\\W$/i", ["é", "-"], ["k", "S", "i"]),
+    ("/é\\b/", ["éa"], ["é"]), ("/a\\Bb/", ["ab"], ["a b"]), ("/\\07\\x4/", ["\x07x4"], ["7"]), ("/^\\101[\\101]\\8$/", ["AA8"], ["1018"]), ("/\\cJ[\\c_]/", ["\n\x1f"], ["J_"]), ("/^\\c$/", ["\\c"], ["c"]), ("/[\\b]/", ["\b"], ["b"]),
+    ("/\\1(a)/", ["a"], ["b"]), ("/(a\\1)b/", ["ab"], ["aa"]), ("/^(a)\\1(?:0)$/", ["aa0"], ["a0"]), ("/^(?:(a)|b\\1)$/", ["a", "b"], ["ba"]), ("/^(a)?\\1b$/", ["aab", "b"], ["ab"]), ("/^(a|(b))\\2$/", ["a", "bb"], ["b"]),
+    ("/(?<=a+x*)b/", ["aab", "axxb"], ["b", "xb"]), ("/(?<!a|bc)d/", ["xd"], ["ad", "bcd"]), ("/^(?=a)*b/", ["b"], ["a"]), ("/(?i:a)b/", ["Ab"], ["AB"]), ("/(?-i:a)b/i", ["aB"], ["Ab"]), ("/^(?s:.).$/", ["\na"], ["a\n"]),
+    ("/b|c/y", ["bx", "cx"], ["ab", "ac"]), ("/É/i", ["é"], ["e"]), ("/[a-z&&[^b]]/", ["&]", "a]", "[]"], ["a", "]"]), ("/^[\\w-a]$/", ["-", "x"], ["+"]), ("/[--0]/", ["/"], ["1"]), ("/[a\\-z]/u", ["-"], ["b"]), ("/a\\/b/", ["a/b"], ["ab"]),
+    ("/^\\p{Lu}\\P{Letter}[\\p{Script=Greek}\\d]$/u", ["É1λ", "A-1"], ["é1λ", "Axλ"]), ("/^\\p{Alphabetic}[\\p{ASCII}]\\p{Any}$/u", ["éa😀"], ["1a😀"]), ("/\\p{L}/", ["p{L}"], ["x"]), ("/^\\p{scx=Deva}$/u", ["\u0964"], ["a"]), ("/^\\ud83d\\ude00[\\u{1f600}-\\u{1f610}]$/u", ["😀😃"], ["😀"]),
+    ("/^(?:)*(?:a{0}b{1,2}c{2,}?)$/", ["bcc", "bbccc"], ["abcc", "bbbcc"]), ("/(?<y>a)|(?<y>b)/", ["b"], ["c"]),
+]
+BAD_JS = ["/a++/", "/a**/", "/{2}/", "/a{2}{3}/", "/a{3,2}/", "/(/", "/)/", "/[/", "/[z-a]/", "/?/", "/(?<=a)*/", "/^*/", "/\\b+/", "/x{id}/u", "/}/u", "/\\-/u", "/\\1/u", "/(?=a)*/u", "/\\u{110000}/u", "/\\k<a>/u", "/(?<a>x)\\k<b>/", "/(?<a>x)(?<a>y)/", "/(?<1>x)/", "/[\\d-z]/u", "/\\p{Nope}/u", "/(?ii:a)/", "/(?-:a)/", "/(?>a)/", "/a/uv", "/a/gg", "/a/x", "/\\/", "/(?:(a)|b)*\\1/", "/(?:(a)?\\1b)+/"]
+
+
+def test_js_patterns_in_both_engines(spark):
+    cases = [(p, t, fits) for p, yes, no in JS_PATTERNS for texts, fits in ((yes, True), (no, False)) for t in texts]
+    assert [(p, t) for p, t, fits in cases if matches_pattern(t, p) is not fits] == []
+    rows = spark.createDataFrame([(t,) for t in sorted({t for _, t, _ in cases})], "t string")
+    got = rows.select("t", *[matches(F.col("t"), p).alias(f"p{k}") for k, (p, _, _) in enumerate(JS_PATTERNS)]).collect()
+    found = {(p, r["t"]): r[f"p{k}"] for r in got for k, (p, _, _) in enumerate(JS_PATTERNS)}
+    assert [(p, t) for p, t, fits in cases if found[p, t] is not fits] == []
+    assert [(p, t) for (p, t), fits in found.items() if matches_pattern(t, p) is not fits] == []
+    assert sum(compile_pattern(p).java is None for p, _, _ in JS_PATTERNS) == 4
+
+
+@pytest.mark.parametrize("bad", BAD_JS)
+def test_what_is_no_js_pattern(bad):
+    with pytest.raises(PatternError):
+        compile_pattern(bad)
+
+
 def test_extract_text():
     assert extract_text("<p>a<b>b</b>c<!--x-->d &copy;<script>x</script><ul><li>1<li>2</ul><nav>n</nav>", ["nav"]) == "a b c d © 1 2"
     assert extract_text("<main>m<div class='x y'>d</div></main>z", root=".y") == "d"
