@@ -29,7 +29,7 @@ from silkweb.operators import frontier as fr
 from silkweb.operators.rules import effective, site_rule
 from silkweb.plans.config import load_config
 from silkweb.plans.hooks import Hooks, reduced
-from silkweb.plans.output import format_records
+from silkweb.plans.output import format_records, save_json
 from silkweb.sources.fetch import FetchError, RateLimitError, resolve_fetcher, with_retries
 from silkweb.sources.polite import StopLine, fetched
 from silkweb.sources.shared import written
@@ -429,6 +429,10 @@ class Crawler:
         """Write the routed files; records per file."""
         return format_records(self.records() if records is None else records, self.config["output"], self.config["storage"]["formatted_dir"])
 
+    def save_json(self, directory: str) -> dict[str, int]:
+        """Write queue and records as pretty JSON into a folder; rows of each."""
+        return save_json(self.queue, self.records(), directory)
+
     def run(self) -> DataFrame:
         try:
             self.crawl()

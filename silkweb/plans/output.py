@@ -73,22 +73,27 @@ _EMPTY = {"lines": "", "jsonl": "\n", "json": "[]"}
 
 
 def _write_files(records: DataFrame, form: str) -> dict[str, int]:
-    """Write every file of ``records`` (with file); records per file.
+    """Write every file of ``records`` (with file); records per file."""
+    return _write_pieces(rendered(records, form).withColumn("key", F.collate("url", "UNICODE")).drop("url"), form)
+
+
+def _write_pieces(pieces: DataFrame, form: str) -> dict[str, int]:
+    """Write every file of ``pieces`` (file, line, key, seq) in the order of key and seq; pieces per file.
 
     Executors sort and write parts of consecutive records, as many as there are partitions; the driver then copies the
     parts of a file one after the other, as bytes of which it holds a buffer. Files are few: the routes name them.
     """
     from silkweb.sources.store import delete, join_parts
 
-    spark = records.sparkSession
+    spark = pieces.sparkSession
     form = form if form in _FRAME else "json"
     first, between, last = _FRAME[form]
-    rows = written(rendered(records, form), "output-lines")
+    rows = written(pieces.select("file", "line", "key", "seq"), "output-lines")
     counts = {r["file"]: r["n"] for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     number = F.create_map(*[F.lit(x) for k, f in enumerate(sorted(counts)) for x in (f, k)])
-    parts = rows.withColumns({"number": F.try_element_at(number, F.col("file")), "key": F.collate("url", "UNICODE")})
+    parts = rows.withColumn("number", F.try_element_at(number, F.col("file")))
     place = f"{shared_dir(spark)}/silkweb/output-{uuid.uuid4().hex}"
     line = F.concat("line", F.lit(between[:-1])) if between != "\n" else F.col("line")
     parts.repartitionByRange("number", "key", "seq").sortWithinPartitions("number", "key", "seq").select("number", line.alias("line")).write.partitionBy("number").text(place)
@@ -108,6 +113,44 @@ def write_records(records: DataFrame, path: str, form: str = "json") -> int:
     return n
 
 
+@F.pandas_udf(T.StringType())
+def _saved_record(urls, contents, times, datas, hashes, extras):
+    import pandas as pd
+
+    out = []
+    for url, content, at, data, digest, extra in zip(urls, contents, times, datas, hashes, extras):
+        members = {"url": url, "content": content, "crawledAt": at} | ({} if data is None else {"data": parse_strict(data)}) | {"hash": digest}
+        members |= {k: parse_strict(v) for k, v in (dict(extra) if extra is not None else {}).items()}
+        out.append("  " + stringify(members, 2).replace("\n", "\n  "))
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _saved_entry(urls, files, statuses, errors, skips, referrers, depths):
+    import pandas as pd
+
+    names = ("url", "file", "status", "error", "skipped", "referrer", "depth")
+    rows = zip(urls, files, statuses, errors, skips, referrers, depths)
+    made = [{k: None if v is None or v != v else int(v) if k in ("status", "depth") else v for k, v in zip(names, row)} for row in rows]
+    return pd.Series(["  " + stringify(m, 2).replace("\n", "\n  ") for m in made], dtype=object)
+
+
+def save_json(queue: DataFrame, records: DataFrame, directory: str) -> dict[str, int]:
+    """Write the queue and the records as pretty JSON, ``queue.json`` and ``records.json`` in the queue's order; rows of
+    each. Executors print and write them in parts, as they do the routed files."""
+    from silkweb.sources.store import write_text
+
+    entry = _saved_entry("url", "file", F.col("status").cast("int"), "error", "skipped", "referrer", "depth")
+    record = _saved_record("url", "content", "crawled_at", "data", "hash", "extra")
+    counts = {}
+    for name, frame, line in (("queue", queue, entry), ("records", records, record)):
+        path = f"{directory}/{name}.json"
+        counts[name] = _write_pieces(frame.select(F.lit(path).alias("file"), line.alias("line"), F.lit("").alias("key"), "seq"), "json").get(path, 0)
+        if not counts[name]:
+            write_text(frame.sparkSession, path, _EMPTY["json"])
+    return counts
+
+
 def format_records(records: DataFrame, output: dict, directory: str) -> dict[str, int]:
     """Write every routed file under ``directory`` and delete what else is there; records per file."""
     from silkweb.sources.store import prune

@@ -242,12 +242,6 @@ class Store:
             return self.spark.createDataFrame([], RECORDS)
         return self.spark.read.schema(RECORDS).parquet(*[f"{self.crawled_dir}/{b}" for b in batches])
 
-    def export_json(self, path: str) -> int:
-        """Write the records as JSON Lines by the executors, a folder of parts; their number."""
-        rows = self.records().select("file", "url", "content", F.col("crawled_at").alias("crawledAt"), "data", "hash", "extra")
-        rows.write.mode("overwrite").json(path)
-        return rows.count()
-
     def reset(self) -> None:
         now = self.current()
         for log in LOGS:

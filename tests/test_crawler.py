@@ -218,6 +218,26 @@ def test_files_are_written_by_parts(spark, tmp_path):
         assert open(path).read() == {"lines": "", "jsonl": "\n"}.get(form, "[]")
 
 
+def test_state_is_saved_as_pretty_json(spark, tmp_path):
+    import json
+
+    c = crawler(spark, tmp_path, max_depth=2)
+    assert c.save_json(str(tmp_path / "none")) == {"queue": 0, "records": 0} and (tmp_path / "none/records.json").read_text() == "[]"
+    c.on("transform", lambda record, entry, result: {**record, "title": {"t": [1, "é"]}})
+    c.crawl()
+    assert c.save_json(str(tmp_path / "saved")) == {"queue": 8, "records": 6}
+    for name, rows in (("queue", c.queue.orderBy("seq").collect()), ("records", c.records().orderBy("seq").collect())):
+        text = (tmp_path / f"saved/{name}.json").read_text()
+        made = json.loads(text)
+        assert text == json.dumps(made, indent=2, ensure_ascii=False)
+        assert [m["url"] for m in made] == [r["url"] for r in rows]
+    queue = json.loads((tmp_path / "saved/queue.json").read_text())
+    assert queue[0] == {"url": "https://w.com/", "file": "1.json", "status": 200, "error": None, "skipped": None, "referrer": None, "depth": 0}
+    assert {q["url"]: q["error"] for q in queue}["https://w.com/gone"] == "Invalid status code: 404"
+    record = {m["url"]: m for m in made}["https://w.com/json"]
+    assert list(record) == ["url", "content", "crawledAt", "data", "hash", "title"] and record["data"] == {"b": 1} and record["title"] == {"t": [1, "é"]}
+
+
 def test_store_files(spark, tmp_path):
     from silkweb.sources import store
 
