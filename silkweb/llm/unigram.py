@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ BLANK = "▁"
 #: Words that a worker remembers with their counts: the first it meets, which the frequent ones are among.
 MOST_WORDS = 1_000_000
 LONGEST_REMEMBERED = 64
+#: Places of a longer segment that are held at once, beside as many as the longest piece has characters.
+PLACES = 1 << 16
 
 
 class Words(dict):
@@ -58,6 +61,7 @@ class Unigram:
             automaton.add_word(piece, (len(piece), score))
         automaton.make_automaton()
         self.matches = automaton.iter
+        self.longest = max(len(piece) for piece, _ in vocabulary)
         held = {c for piece, _ in vocabulary for c in piece}
         # Where no piece holds a blank after another character, the best path of a line is that of its words one after
         # the other, each with its blank: no piece reaches over the place before it. Nor over a line feed, if no piece
@@ -68,6 +72,8 @@ class Unigram:
 
     def count_segment(self, text: str) -> int:
         n = len(text)
+        if n > PLACES:
+            return self._count_long(text)
         worst = float("-inf")
         score, count = [0.0] + [worst] * n, [0] * (n + 1)
         if self.single.issuperset(text):
@@ -93,6 +99,33 @@ class Unigram:
             done += 1
         return count[n]
 
+    def _count_long(self, text: str) -> int:
+        """The same for a segment of any length, of which ``PLACES`` and the longest piece before them are held."""
+        worst, size = float("-inf"), PLACES + self.longest
+        score, count = [0.0] + [worst] * size, [0] * (size + 1)
+        base = done = 0
+        for last, match in chain(self.matches(text), [(len(text), None)]):
+            while True:
+                if done + 1 - base > size:  # a piece that ends further on begins after these
+                    kept = done + 1 - self.longest - base
+                    score, count = score[kept:] + [worst] * (PLACES + 1), count[kept:] + [0] * (PLACES + 1)
+                    base += kept
+                if done >= last:
+                    break
+                if text[done] not in self.single:
+                    s = score[done - base] + self.unknown
+                    if s > score[done + 1 - base]:
+                        score[done + 1 - base] = s
+                        count[done + 1 - base] = count[done - base] + len(text[done].encode())
+                done += 1
+            if match:
+                start = last + 1 - match[0] - base
+                s = score[start] + match[1]
+                if s > score[last + 1 - base]:
+                    score[last + 1 - base] = s
+                    count[last + 1 - base] = count[start] + 1
+        return count[len(text) - base]
+
     def _or_unknown(self, text: str, at: int, score: list[float], count: list[int]) -> None:
         """A character that is no piece may also end its path as its bytes."""
         if text[at] not in self.single:

@@ -117,6 +117,26 @@ def test_unigram_counts(spark, rows):
     assert got == collections.Counter((k, count(t)) for k, t, *_ in rows)
 
 
+def test_unigram_segments_of_any_length(monkeypatch):
+    import random
+    import tracemalloc
+
+    u, rng = unigram.load(PIECES), random.Random(7)
+    texts = ["".join(rng.choice(["a", "the", "▁in", "é", "漢", "\U0001f600", "tion", "x\n", "===="]) for _ in range(rng.randrange(400))) for _ in range(60)]
+    texts += ["a" * 500, "漢" * 500, "é漢" * 200, "=" * 700]
+    whole = [u.count_segment(t) for t in texts]
+    for places in (1, 2, 7, 100):
+        monkeypatch.setattr(unigram, "PLACES", places)
+        assert [u.count_segment(t) for t in texts] == whole
+    monkeypatch.undo()
+    text = "a漢" * 600_000
+    tracemalloc.start()
+    n = u.count_segment(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 600_000 * u.count_segment("a漢a漢") // 2 and peak < 20 << 20  # two lists of the whole take 80 MB
+
+
 def test_unigram_ties_keep_the_longest_last_piece():
     u = unigram.Unigram([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abb", -3.0)])
     assert u.count_segment("ab") == 1 and u.count_segment("abb") == 1 and u.count_segment("aé") == 3
