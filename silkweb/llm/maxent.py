@@ -1,16 +1,20 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-A word's probability after the words before it has two kinds of features. Pairs of a word and the one before it, hashed,
-have a weight each, as many as the training texts hold: P(w | v, u) = (exp(weight(v, w)) + P_c(w | v, u)) / Z(v). All
-words without a pair are reached through P_c, a softmax over classes times a word's share of its class. The most frequent
-words are classes of their own, the others share classes by their endings. Classes lie in groups, and their softmax is
-factored: first the group, then the class in it; it has weights for hashed features of the context, the word before and
-the word before that (a skip).
-
-The softmax is trained by a distributed update: tasks add up the gradient of all training texts at the classes' shares,
-and every weight moves to where its feature alone has no gradient left, damped for features that were seen rarely. The
-weights of pairs are where absolute discounting puts them, from counts in shards. Texts are packed in batches; a batch
-asks the shards for what it holds of pairs and rare words, and scores its texts in numpy when the answers are back.
+P(w | v, u) = P(group | v, u) P(class | group, v, u) P(w | class, v), for a word w after v, and u before that. All three
+are log-linear. The first two have hashed weights for the word before and for the word before that (a skip), tell the
+groups apart and the classes of each group, and start from their shares. The third has a hashed weight for every pair of
+v and w in training, as many as the training texts hold: P(w | c, v) = q(w | c) exp(weight(v, w)) / Z(v, c), where q is a
+word's share of its class; Z sums over the whole class, since words without a pair have weight 0.
+
+The most frequent words are classes of their own; other frequent ones share classes by their endings, and rare ones have
+classes by endings of their own, where all have the same share, one for the words that training doesn't know among them.
+Groups, and classes of a group, are as many as the fourth root of the vocabulary, within bounds.
+
+Training follows the gradient of the log-likelihood with a Gaussian prior, a step per coordinate divided by the mean of
+what was observed and expected there. The weights of groups and classes take ROUNDS steps; in each, tasks add up what
+all training texts make the model expect. Pairs lie in shards by v and class, so that a word that very many follow is
+spread; the gradient of a pair's weight follows from its class's pairs alone, and a shard takes PAIR_ROUNDS steps. Texts
+are packed in batches; a batch asks the shards for its pairs and rare words, and scores its texts in numpy.
 """
 
 from __future__ import annotations
@@ -25,28 +29,31 @@ from pyspark.sql import functions as F
 from silkweb.llm.common import bundled, bundles, distinct, mix, packed_row, row_words_and_tails, small_batches, stable, texts_of
 from silkweb.sources.shared import written
 
-#: Words that are classes of their own, and classes of the others; groups of classes, and classes of a group.
-SINGLES = 40
-BINS = 24
-GROUP = 8
-#: Features of the softmax: a quarter of the different words in training, within these; rows of weights go to all tasks.
-LEAST_ROWS, MOST_ROWS = 1 << 10, 1 << 15
-#: Occurrences that a feature's own counts are weighed against, and what a feature counts for beside the other.
-DAMPING = 8.0
-WEIGHT = 0.6
+#: Groups, and classes of a group: a power of two near the fourth root of the number of words, within these.
+LEAST_GROUPS, MOST_GROUPS = 4, 16
+#: Shares of the classes for words of their own, for endings of frequent words, and (the rest) for endings of rare ones.
+SINGLES, BINS = 1 / 2, 3 / 8
+#: Features of the softmax: a quarter of the different words in training, LEAST_ROWS at least, MOST_CELLS weights at most.
+LEAST_ROWS, MOST_CELLS = 1 << 10, 1 << 22
+#: Gradient steps of the softmax, each over all training texts, and of the pairs' weights, within their shard.
+ROUNDS, PAIR_ROUNDS = 3, 12
+#: Share of a step that the softmax takes: two features meet in every token, so that halves never overshoot.
+RATE = 0.5
+#: What the priors take from the gradient for each unit of a weight.
+DAMPING, PAIR_DAMPING = 1.0, 0.1
+#: Tokens after which the events of training are packed.
+PACKED = 1 << 20
 #: Tokens of a step of scoring.
-SCORED = 4096
-#: Words whose counts go to every task, at most.
-FREQUENT = 1 << 16
+SCORED = 1 << 14
+#: Words whose counts go to every task, at most, and how often they occur at least; the others are rare.
+FREQUENT, SEEN = 1 << 16, 2
 #: Cells of the gradient that are added up together.
 BLOCK = 1 << 16
 #: Bytes of text that are packed together, and shards of pairs and rare words, each for so many bytes of texts.
 BATCH_BYTES = 6 << 20
 SHARD_BYTES = 8 << 20
-#: What a seen pair gives up to all words, in occurrences.
-DISCOUNT = 0.75
-#: Bits of the word before, and of the word, in a pair's hash.
-BEFORE_BITS, WORD_BITS = 40, 24
+#: Bits of the word before with the class, and of the word in its class, in a pair's hash.
+BEFORE_BITS, WORD_BITS = 44, 20
 #: The word that ends a text, and the one before its first. No text holds them: words are hashed, these are reserved.
 END = np.uint64(0x1234567)
 START = np.uint64(0)
@@ -58,16 +65,12 @@ def is_held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def bin_of(tail: np.ndarray) -> np.ndarray:
-    return (mix(tail.astype(np.uint64) + _C) % np.uint64(BINS)).astype(np.int64)
-
-
 def _token_runs(column):
-    """(first row, tokens, bins, tokens per row) of runs of texts, an END after each."""
+    """(first row, tokens, tails, tokens per row) of runs of texts, an END after each."""
     data, at = texts_of(column)
     for row, _, words, counts, tails in row_words_and_tails(data, at):
         ends = np.cumsum(counts)
-        yield row, np.insert(words, ends, END), np.insert(bin_of(tails), ends, 0), counts + 1
+        yield row, np.insert(words, ends, END), np.insert(tails, ends, 0), counts + 1
 
 
 def _before(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +83,10 @@ def _before(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two
 
 
-def _pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Hashes of pairs; those of one word before lie together in their order."""
-    return mix(before * _A + _B) >> np.uint64(64 - BEFORE_BITS) << np.uint64(WORD_BITS) | mix(tokens * _B + _C) >> np.uint64(64 - WORD_BITS)
+def _pairs(before: np.ndarray, classes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hashes of pairs; those of one word before and one class lie together in their order."""
+    group = mix(before * _A + mix(classes.astype(np.uint64) + _B))
+    return group >> np.uint64(64 - BEFORE_BITS) << np.uint64(WORD_BITS) | mix(tokens * _B + _C) >> np.uint64(64 - WORD_BITS)
 
 
 def _features(before: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
@@ -90,18 +94,48 @@ def _features(before: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
     return np.stack([(h & np.uint64(rows - 1)).astype(np.int64) for h in (mix(one * _A + _C), mix(two * _C + _B))])
 
 
-class Classes:
-    """Class of each word: its own for SINGLES words, else by its ending."""
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
 
-    def __init__(self, singles: np.ndarray) -> None:
-        self.words = np.sort(singles)
-        self.n = len(self.words) + BINS
 
-    def of(self, tokens: np.ndarray, bins: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return bins
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, at, len(self.words) + bins)
+class Classes:
+    """Class of each word: its own for the most frequent, else by its ending, apart for frequent and rare words."""
+
+    def __init__(self, frequent: np.ndarray, often: np.ndarray, types: int) -> None:
+        """``frequent`` are words in order of their hashes, ``often`` their counts; ``types`` is the number of all words."""
+        self.groups = int(min(max(1 << round(math.log2(max(types, 1)) / 4), LEAST_GROUPS), MOST_GROUPS))
+        self.n = self.groups**2
+        self.first_bin, self.first_rare = int(self.n * SINGLES), int(self.n * (SINGLES + BINS))
+        self.frequent, self.often = frequent, often
+        self.words = np.sort(frequent[np.lexsort((frequent.view(np.int64), -often))[: self.first_bin]])
+        self.of_class, self.types = np.zeros(self.n), np.zeros(self.n)
+
+    def bins(self, tails: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        h = mix(tails.astype(np.uint64) + _C)
+        some = self.first_bin + (h % np.uint64(self.first_rare - self.first_bin)).astype(np.int64)
+        return np.where(rare, self.first_rare + (h % np.uint64(self.n - self.first_rare)).astype(np.int64), some)
+
+    def of(self, tokens: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of tokens, and the counts of the frequent ones among them, else 0."""
+        c = _found(self.frequent, self.often, tokens)
+        out = self.bins(tails, c == 0)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+            out = np.where(self.words[at] == tokens, at, out)
+        return out, c
+
+    def paired(self, classes: np.ndarray) -> np.ndarray:
+        """Whether words of a class have weights for pairs."""
+        return classes >= self.first_bin
+
+    def shares(self, classes: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Shares of words in their classes, from the counts of frequent ones; rare words, and one for all that aren't
+        known, have even shares."""
+        frequent = np.where(classes < self.first_bin, 1.0, c / np.maximum(self.of_class[classes], 0.5))
+        return np.where(classes < self.first_rare, frequent, 1 / (self.types[classes] + 1))
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -110,94 +144,174 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _step(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, damping: float) -> np.ndarray:
+    """What a gradient step adds to weights: the gradient, with the prior's part, over the mean of seen and expected."""
+    return (seen - expected - damping * weights) / ((seen + expected) / 2 + damping)
+
+
 class Softmax:
-    """Probability of a class: of its group among GROUP groups, times its own among the GROUP classes of the group.
+    """Probability of a class: of its group, times its own among the classes of the group.
 
-    A feature has 1 + GROUP rows of weights: one over groups, and one over the classes of each group. Without any
+    A feature has 1 + groups rows of weights: one over groups, and one over the classes of each group. Without any
     weights, classes have their shares of all tokens.
     """
 
-    def __init__(self, shares: np.ndarray) -> None:
-        padded = np.full(GROUP * GROUP, 1e-9)
-        padded[: len(shares)] = shares / shares.sum()
-        self.square = padded.reshape(GROUP, GROUP)
-        self.group_prior = np.log(self.square.sum(1)).astype(np.float32)
-        self.class_prior = np.log(self.square / self.square.sum(1, keepdims=True)).astype(np.float32)
-        self.weights = np.zeros((1, GROUP), np.float32)
-
-    def update(self, seen: np.ndarray) -> None:
-        """Weights from how often each feature (row of ``seen``) met each class.
-
-        The gradient of a feature's weights at the classes' shares is what it met less what the shares make it expect;
-        the weights move to the point where, with DAMPING occurrences as the shares have them, none is left.
-        """
-        met = seen.reshape(-1, GROUP, GROUP).astype(np.float64)
-        weights = np.empty((len(met), 1 + GROUP, GROUP), np.float32)
-        groups, group_share = met.sum(2), self.square.sum(1)
-        weights[:, 0] = np.log((groups + DAMPING * group_share) / ((groups.sum(1, keepdims=True) + DAMPING) * group_share))
-        share = self.square / group_share[:, None]
-        weights[:, 1:] = np.log((met + DAMPING * share) / ((groups[:, :, None] + DAMPING) * share))
-        self.weights = (WEIGHT * weights).reshape(-1, GROUP)
+    def __init__(self, shares: np.ndarray, groups: int, features: int) -> None:
+        square = np.maximum(shares / shares.sum(), 1e-9).reshape(groups, groups)
+        self.groups, self.features = groups, features
+        self.group_prior = np.log(square.sum(1) / square.sum()).astype(np.float32)
+        self.class_prior = np.log(square / square.sum(1, keepdims=True)).astype(np.float32)
+        self.weights = np.zeros((features * (1 + groups), groups), np.float32)
 
-    def log_p(self, features: np.ndarray, target: np.ndarray) -> np.ndarray:
-        group, own = np.divmod(target, GROUP)
-        first = features * (1 + GROUP)
+    def logs(self, features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Logarithms of the groups' probabilities, of those of the classes of ``group``, and the rows of weights."""
+        first = features * (1 + self.groups)
         second = first + 1 + group
         z1 = self.weights[first[0]] + self.weights[first[1]] + self.group_prior
         z2 = self.weights[second[0]] + self.weights[second[1]] + self.class_prior[group]
+        return _log_softmax(z1), _log_softmax(z2), (first, second)
+
+    def log_p(self, features: np.ndarray, target: np.ndarray) -> np.ndarray:
+        group, own = np.divmod(target, self.groups)
+        z1, z2, _ = self.logs(features, group)
+        at = np.arange(len(target))
+        return z1[at, group] + z2[at, own]
+
+    def expect(self, out: np.ndarray, features: np.ndarray, target: np.ndarray, n: np.ndarray) -> float:
+        """Add to ``out`` (as the weights lie) how often each feature should meet each group and class, for targets that
+        occur n times each; their log-likelihood."""
+        group, own = np.divmod(target, self.groups)
+        z1, z2, rows = self.logs(features, group)
         at = np.arange(len(target))
-        return _log_softmax(z1)[at, group] + _log_softmax(z2)[at, own]
+        gained = float((n * (z1[at, group] + z2[at, own])).sum())
+        for z, which in ((z1, rows[0]), (z2, rows[1])):
+            p = np.exp(z) * n[:, None].astype(np.float32)
+            for row in which:
+                order = np.argsort(row, kind="stable")
+                row = row[order]
+                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                out[row[first]] += np.add.reduceat(p[order], first, axis=0)
+        return gained
+
+    def meet(self, out: np.ndarray, features: np.ndarray, target: np.ndarray, n: np.ndarray) -> None:
+        """Add to ``out`` how often each feature met each group and class."""
+        group, own = np.divmod(target, self.groups)
+        for row in features * (1 + self.groups):
+            np.add.at(out, (row, group), n)
+            np.add.at(out, (row + 1 + group, own), n)
+
+
+def _events(training: DataFrame, classes: Classes, features: int) -> DataFrame:
+    """(payload) of different (features, class) of the training texts with their counts, packed; written."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _gradient(training: DataFrame, classes: Classes, rows: int) -> np.ndarray:
-    """How often each feature met each class, over all training texts: the gradient but for what the shares expect."""
-    cells = rows * GROUP * GROUP
+        parts, held = [], 0
+
+        def packed():
+            events, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_pydict({"payload": [_pack(events.view(np.uint64), n)]})
+
+        for batch in batches:
+            for _, tokens, tails, counts in _token_runs(batch.column(0)):
+                one, two = _features(_before(tokens, counts), features)
+                parts.append((one << 40) + (two << 16) + classes.of(tokens, tails)[0])
+                held += len(tokens)
+                if held > PACKED:
+                    yield packed()
+                    parts, held = [], 0
+        if parts:
+            yield packed()
+
+    return written(training.mapInArrow(run, "payload binary"), "lm-events")
+
+
+def _added(events: DataFrame, softmax: Softmax, what: str) -> tuple[np.ndarray, float]:
+    """Sums over all events of what ``Softmax.meet`` or ``Softmax.expect`` adds, and the log-likelihood."""
+    shared = events.sparkSession.sparkContext.broadcast(softmax)  # MOST_CELLS weights
 
     def run(batches):
         import pyarrow as pa
 
-        met = np.zeros(cells, np.int32)
+        model = shared.value
+        out, gained = np.zeros(model.weights.shape), 0.0
         for batch in batches:
-            for _, tokens, bins, counts in _token_runs(batch.column(0)):
-                target = classes.of(tokens, bins)
-                for feature in _features(_before(tokens, counts), rows):
-                    at, n = np.unique(feature * GROUP * GROUP + target, return_counts=True)
-                    met[at] += n.astype(np.int32)
-        for k in range(0, cells, BLOCK):
-            if met[k : k + BLOCK].any():
-                yield pa.RecordBatch.from_pydict({"block": [k // BLOCK], "met": [pa.compress(met[k : k + BLOCK].tobytes(), "zstd", asbytes=True)]})
+            for payload in batch.column(0):
+                every, n = _unpack(payload.as_py())
+                every = every.view(np.int64)
+                for k in range(0, len(every), SCORED):
+                    some = every[k : k + SCORED]
+                    gained += getattr(model, what)(out, np.stack((some >> 40, some >> 16 & 0xFFFFFF)), some & 0xFFFF, n[k : k + SCORED]) or 0.0
+        flat = out.ravel().astype(np.float32)
+        for k in range(0, len(flat), BLOCK):
+            if flat[k : k + BLOCK].any():
+                yield pa.RecordBatch.from_pydict({"block": [k // BLOCK], "sums": [pa.compress(flat[k : k + BLOCK].tobytes(), "zstd", asbytes=True)], "gained": [gained if k == 0 else 0.0]})
 
     def added(table):
         import pyarrow as pa
 
-        size = min(BLOCK, cells)
-        met = sum(np.frombuffer(pa.decompress(x.as_py(), size * 4, "zstd"), np.int32).astype(np.int64) for x in table.column("met"))
-        return pa.table({"block": [table.column("block")[0].as_py()], "met": [np.asarray(met).tobytes()]}, schema=pa.schema([("block", pa.int64()), ("met", pa.binary())]))
+        block = table.column("block")[0].as_py()
+        size = min(BLOCK, softmax.weights.size - block * BLOCK) * 4
+        total = sum(np.frombuffer(pa.decompress(x.as_py(), size, "zstd"), np.float32).astype(np.float64) for x in table.column("sums"))
+        return pa.table({"block": [block], "sums": [total.tobytes()], "gained": [sum(table.column("gained").to_pylist())]})
 
-    out = np.zeros(cells, np.int64)
-    for row in training.mapInArrow(run, "block long, met binary").groupBy("block").applyInArrow(added, "block long, met binary").collect():  # MOST_ROWS rows of classes
-        part = np.frombuffer(row["met"], np.int64)
+    kind = "block long, sums binary, gained double"
+    tasks = max(1, events.sparkSession.sparkContext.defaultParallelism)
+    out, gained = np.zeros(softmax.weights.size), 0.0
+    for row in events.coalesce(tasks).mapInArrow(run, kind).groupBy("block").applyInArrow(added, kind).toLocalIterator():  # MOST_CELLS sums
+        part = np.frombuffer(row["sums"], np.float64)
         out[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    return out.reshape(rows, -1)
+        gained += row["gained"]
+    shared.unpersist()
+    return out.reshape(softmax.weights.shape), gained
+
+
+def trained(training: DataFrame, classes: Classes, softmax: Softmax, rounds: int | None = None) -> list[float]:
+    """Take gradient steps with the softmax's weights; the log-likelihood before each."""
+    events = _events(training, classes, softmax.features)
+    seen, gained = _added(events, softmax, "meet")[0], []
+    for _ in range(ROUNDS if rounds is None else rounds):
+        expected, now = _added(events, softmax, "expect")
+        softmax.weights = (softmax.weights + RATE * _step(softmax.weights, seen, expected, DAMPING)).astype(np.float32)
+        gained.append(now)
+    return gained
+
+
+def pair_weights(group: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of pairs that lie in order of their group (a word before, and a class), seen n times each, whose words
+    have shares q of the class; where each group begins, and its log Z."""
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, int)
+    own = np.cumsum(np.concatenate(([0], group[1:] != group[:-1]))) if len(group) else np.empty(0, int)
+    weights, z = np.zeros(len(n)), np.ones(len(first))
+    if not len(n):
+        return weights, first, z
+    total = np.add.reduceat(n, first).astype(np.float64)
+    for _ in range(PAIR_ROUNDS):
+        weights += _step(weights, n, total[own] * q * np.exp(weights) / z[own], PAIR_DAMPING)
+        z = np.maximum(1 + np.add.reduceat(q * np.expm1(weights), first), 1e-12)
+    return weights, first, np.log(z)
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, bin, n) of all tokens of the texts in the first column."""
+    """(word, tail, n) of all tokens of the texts in the first column."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for _, tokens, bins, _ in _token_runs(batch.column(0)):
+            for _, tokens, tails, _ in _token_runs(batch.column(0)):
                 words, at, n = np.unique(tokens, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(bins[at]), pa.array(n)], names=["word", "bin", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(tails[at]), pa.array(n)], names=["word", "tail", "n"])
 
-    return training.mapInArrow(run, "word long, bin long, n long").groupBy("word", "bin").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(run, "word long, tail long, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
 
 
 def _frequent(counted: DataFrame) -> DataFrame:
-    """The most frequent words, FREQUENT at most, without sorting all: those from some order of magnitude on."""
+    """The most frequent words, FREQUENT at most, seen SEEN times at least, without sorting all: those from some order of
+    magnitude on."""
     size = F.floor(F.log2("n") * 16)
+    counted = counted.where(F.col("n") >= SEEN)
     sizes = counted.groupBy(size.alias("size")).agg(F.count("*").alias("words")).orderBy(F.col("size").desc()).collect()  # 1024 rows at most
     least, words = math.inf, 0
     for row in sizes:
@@ -211,22 +325,32 @@ def _frequent(counted: DataFrame) -> DataFrame:
 # --- pairs and rare words in shards ------------------------------------------------------------------------------------
 
 
-def _pack(hashes: np.ndarray, counts: np.ndarray | None = None) -> bytes:
-    """Hashes in order, as steps byte by byte, with counts, compressed."""
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _pack(hashes: np.ndarray, *others: np.ndarray) -> bytes:
+    """Hashes in order, as steps byte by byte, with counts and shares if given, compressed."""
     import pyarrow as pa
 
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    data = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8).T.tobytes() + (b"" if counts is None else np.ascontiguousarray(counts.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes())
+    data = _planes(np.diff(hashes, prepend=np.uint64(0))) + b"".join(_planes(x.astype(np.float32 if x.dtype.kind == "f" else np.uint32)) for x in others)
     return np.array([len(hashes), len(data)], np.int64).tobytes() + pa.compress(data, "zstd", asbytes=True)
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts."""
+    return _unpack_all(payload)[:2]
+
+
+def _unpack_all(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and shares."""
     import pyarrow as pa
 
     n, size = (int(x) for x in np.frombuffer(payload, np.int64, 2))
     data = np.frombuffer(pa.decompress(payload[16:], size, "zstd", asbytes=True), np.uint8)
-    hashes = np.cumsum(np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    return hashes, np.ascontiguousarray(data[8 * n :].reshape(4, -1).T).view(np.uint32).ravel()
+    part = lambda lo, hi: np.ascontiguousarray(data[lo * n : hi * n].reshape(hi - lo, -1).T)
+    hashes = np.cumsum(part(0, 8).view(np.uint64).ravel(), dtype=np.uint64)
+    return hashes, part(8, 12).view(np.uint32).ravel(), part(12, 16).view(np.float32).ravel()
 
 
 def _by_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -240,22 +364,30 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return hashes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(hashes)).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
-def _counted_pairs(training: DataFrame, shards: int) -> DataFrame:
-    """(shard, batch, kind 2, payload): pairs of the training texts and how often each occurs, in parts."""
+def _counted_pairs(training: DataFrame, classes, shards: int) -> DataFrame:
+    """(shard, batch, kind 2, payload): pairs of the training texts, how often each occurs and its word, in parts."""
 
     def run(batches):
         parts, held = [], 0
 
         def rows():
             hashes, n = _summed(parts)
+            # Of each pair, the count of its word, which the shard makes the share of the class from.
+            share = np.empty(len(hashes), np.float32)
+            for some, _, q in parts:
+                share[np.searchsorted(hashes, some)] = q
             edge = _by_shard(hashes, shards)
             for s in np.flatnonzero(np.diff(edge)):
-                yield packed_row(int(s), -1, 2, _pack(hashes[edge[s] : edge[s + 1]], n[edge[s] : edge[s + 1]]))
+                part = slice(edge[s], edge[s + 1])
+                yield packed_row(int(s), -1, 2, _pack(hashes[part], n[part], share[part]))
 
         for batch in batches:
-            for _, tokens, _, counts in _token_runs(batch.column(0)):
-                parts.append(np.unique(_pairs(_before(tokens, counts)[0], tokens), return_counts=True))
-                held += len(parts[-1][0])
+            for _, tokens, tails, counts in _token_runs(batch.column(0)):
+                which, c = classes.value.of(tokens, tails)
+                some = classes.value.paired(which)
+                pairs, at, n = np.unique(_pairs(_before(tokens, counts)[0][some], which[some], tokens[some]), return_index=True, return_counts=True)
+                parts.append((pairs, n, classes.value.shares(which[some][at], c[some][at]).astype(np.float32)))
+                held += len(pairs)
             if held > 2_000_000:
                 yield from rows()
                 parts, held = [], 0
@@ -265,11 +397,29 @@ def _counted_pairs(training: DataFrame, shards: int) -> DataFrame:
     return training.mapInArrow(run, bundled)
 
 
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted), values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
+def _model(counted: DataFrame, types: int) -> tuple[Classes, Softmax]:
+    """Classes with what their words sum up to, and the softmax before training, from the counts of words."""
+    top = _frequent(counted).select("word", "n").toPandas().sort_values("word")
+    words = top["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    classes = Classes(words[order], top["n"].to_numpy(np.float64)[order], types)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            word, tail, n = (batch.column(k).to_numpy() for k in range(3))
+            which, _ = classes.of(word.view(np.uint64), tail)
+            sums = np.bincount(which, n, classes.n)
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_pydict({"class": some, "sum": sums[some], "types": np.bincount(which, minlength=classes.n)[some]})
+
+    for row in counted.mapInArrow(run, "class long, sum double, types long").groupBy("class").agg(F.sum("sum"), F.sum("types")).collect():  # MOST_GROUPS squared
+        classes.of_class[row[0]], classes.types[row[0]] = row[1], row[2]
+    classes.of_class[classes.first_rare :] += 0.5  # for words that aren't known
+    features = max(types // 4, LEAST_ROWS)
+    features = 1 << min(int(features).bit_length(), int(MOST_CELLS // (classes.groups + classes.n)).bit_length() - 1)
+    return classes, Softmax(classes.of_class, classes.groups, features)
 
 
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,35 +437,27 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     training = rows.where("NOT held_out").select("text")
     counted = written(word_counts(training), "lm-counts")
     total, types = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = _frequent(counted).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    frequent = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, often = frequent[order], top["n"].to_numpy(np.float64)[order]
-    classes = Classes(top["word"].to_numpy(np.int64).view(np.uint64)[:SINGLES])
-    single = counted["word"].isin(*[int(x) for x in classes.words.view(np.int64)]) if len(classes.words) else F.lit(False)
-    sums = {r["bin"]: r["z"] for r in counted.where(~single).groupBy("bin").agg(F.sum(F.col("n") + 0.5).alias("z")).collect()}  # BINS rows
-    of_bin = np.array([sums.get(k, 0.0) + 0.5 for k in range(BINS)])
-    own = dict(zip(frequent, often))
-    softmax = Softmax(np.array([own[w] + 0.5 for w in classes.words] + list(of_bin)))
-    n_rows = 1 << min(max(int(types // 4).bit_length(), LEAST_ROWS.bit_length() - 1), MOST_ROWS.bit_length() - 1)
-    softmax.update(_gradient(training, classes, n_rows))
+    classes, softmax = _model(counted, types)
+    trained(training, classes, softmax)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(64, int(size) // SHARD_BYTES)
-    shared = spark.sparkContext.broadcast((softmax, frequent, often))  # bounded by MOST_ROWS and FREQUENT
+    shared = spark.sparkContext.broadcast(softmax)  # bounded by MOST_CELLS
+    known = spark.sparkContext.broadcast(classes)  # bounded by FREQUENT
     kind = df.schema[key].dataType.simpleString()
 
     def runs(table):
-        """Per run of texts: batch, first row, tokens, bins, tokens per row, and the counts of frequent words, else 0."""
-        _, frequent, often = shared.value
+        """Per run of texts: batch, first row, tokens, classes, tokens per row, and the counts of frequent words, else 0."""
         for batch in table:
-            for first, tokens, bins, counts in _token_runs(batch.column(1)):
-                yield batch, first, tokens, bins, counts, _found(frequent, often, tokens)
+            for first, tokens, tails, counts in _token_runs(batch.column(1)):
+                which, c = known.value.of(tokens, tails)
+                yield batch, first, tokens, which, counts, c
 
     def wanted(parts) -> tuple[np.ndarray, np.ndarray]:
         """Different pairs and rare words of a batch's runs, in order."""
         pairs, rares = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for _, _, tokens, _, counts, c in parts:
-            pairs.append(distinct(_pairs(_before(tokens, counts)[0], tokens)))
+        for _, _, tokens, which, counts, c in parts:
+            some = known.value.paired(which)
+            pairs.append(distinct(_pairs(_before(tokens, counts)[0][some], which[some], tokens[some])))
             rares.append(distinct(tokens[c == 0]))
         return distinct(*pairs), distinct(*rares)
 
@@ -347,95 +489,82 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield packed_row(int(s), -1, 4, _pack(word[some], np.minimum(n[some], 2**32 - 1)))
 
     def meet(table):
-        """The shard's answers: for the pairs of a batch their counts, with those of each word before and its different
-        pairs; for its rare words theirs."""
+        """The shard's answers: for the pairs of a batch weight less log Z; for its rare words their counts."""
         import pyarrow as pa
 
         rows = list(zip(table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("payload")))
-        pairs, n = _summed([_unpack(p.as_py()) for k, _, p in rows if k == 2])
+        parts = [_unpack_all(p.as_py()) for k, _, p in rows if k == 2]
+        pairs, n = _summed(parts)
+        q = np.empty(len(pairs))
+        for some, _, share in parts:
+            q[np.searchsorted(pairs, some)] = share
         words, of_word = _summed([_unpack(p.as_py()) for k, _, p in rows if k == 4])
-        before = pairs >> np.uint64(WORD_BITS)
-        first = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))) if len(pairs) else np.empty(0, int)
-        known = before[first]
-        of_before = np.add.reduceat(n, first) if len(first) else np.empty(0, np.int64)
-        kinds = np.diff(np.concatenate((first, [len(pairs)])))
+        group = pairs >> np.uint64(WORD_BITS)
+        weights, first, log_z = pair_weights(group, n, q)
         out: dict[str, list] = {"shard": [], "batch": [], "kind": [], "payload": []}
         for which, number, payload in rows:
             if which > 1:
                 continue
             asked, _ = _unpack(payload.as_py())
             if which == 0:
-                own = asked >> np.uint64(WORD_BITS)
-                own = own[np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))]
-                counts = np.concatenate([_found(pairs, n, asked), _found(known, of_before, own), _found(known, kinds, own)])
-                head = np.array([len(asked), len(own)], np.int64).tobytes()
+                values = (_found(pairs, weights, asked) - _found(group[first], log_z, asked >> np.uint64(WORD_BITS))).astype(np.float32)
             else:
-                counts, head = _found(words, of_word, asked), np.array([len(asked), 0], np.int64).tobytes()
-            data = np.ascontiguousarray(counts.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
+                values = _found(words, of_word, asked).astype(np.uint32)
             out["shard"].append(int(table.column("shard")[0].as_py()))
             out["batch"].append(number)
             out["kind"].append(which)
-            out["payload"].append(head + pa.compress(data, "zstd", asbytes=True))
+            out["payload"].append(np.array([len(asked)], np.int64).tobytes() + pa.compress(_planes(values), "zstd", asbytes=True))
         return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("kind", pa.int64()), ("payload", pa.binary())]))
 
-    def answers(rows: list[tuple[int, bytes]]):
-        """Counts from all shards in their order: a list of the arrays in each."""
+    def answers(rows: list[tuple[int, bytes]], kind) -> np.ndarray:
+        """Values from all shards in their order."""
         import pyarrow as pa
 
-        out = []
+        out = [np.empty(0, kind)]
         for _, data in sorted(rows):
-            a, b = (int(x) for x in np.frombuffer(data, np.int64, 2))
-            size = a + 2 * b
-            flat = np.ascontiguousarray(np.frombuffer(pa.decompress(data[16:], size * 4, "zstd", asbytes=True), np.uint8).reshape(4, size).T).view(np.uint32).ravel().astype(np.int64)
-            out.append((flat[:a], flat[a : a + b], flat[a + b :]))
-        return [np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(3)]
+            size = int(np.frombuffer(data, np.int64, 1)[0])
+            out.append(np.ascontiguousarray(np.frombuffer(pa.decompress(data[8:], size * 4, "zstd", asbytes=True), np.uint8).reshape(4, size).T).view(kind).ravel())
+        return np.concatenate(out)
 
     def finish(table):
         import pyarrow as pa
 
-        softmax = shared.value[0]
+        softmax, classes = shared.value, known.value
         rows = list(zip(table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("payload")))
         texts = list(pa.ipc.open_stream(next(p for k, _, p in rows if k == 3).as_py()))
-        n_pair, n_before, kinds = answers([(s, p.as_py()) for k, s, p in rows if k == 0])
-        n_rare, _, _ = answers([(s, p.as_py()) for k, s, p in rows if k == 1])
+        log_pair = answers([(s, p.as_py()) for k, s, p in rows if k == 0], np.float32)
+        n_rare = answers([(s, p.as_py()) for k, s, p in rows if k == 1], np.uint32)
         parts = list(runs(texts))
         pairs, rares = wanted(parts)
-        if len(pairs) != len(n_pair) or len(rares) != len(n_rare):
+        if len(pairs) != len(log_pair) or len(rares) != len(n_rare):
             raise RuntimeError("texts changed between two readings of one partition")
-        before = pairs >> np.uint64(WORD_BITS)
-        own = np.cumsum(np.concatenate(([False], before[1:] != before[:-1]))) if len(pairs) else np.empty(0, int)
-        # By pair: what it has of its own, and what is left to the classes.
-        of_v, of_t = n_before[own], kinds[own]
-        z = np.where(of_v > 0, DISCOUNT * of_t / np.maximum(of_v, 1), 1.0)
-        share = np.where(n_pair > 0, (n_pair - DISCOUNT) / np.maximum(of_v, 1), 0.0)
-        n_single, out = len(classes.words), {}
-        for batch, first, tokens, bins, counts, c in parts:
+        out = {}
+        for batch, first, tokens, which, counts, c in parts:
             if id(batch) not in out:
                 out[id(batch)] = batch, *(np.zeros(batch.num_rows, kind) for kind in (np.int64, np.int64, float, float))
             _, n_tokens, n_known, base, score = out[id(batch)]
             many, owner = batch.num_rows, np.repeat(np.arange(first, first + len(counts)), counts)
             context = _before(tokens, counts)
-            target, features = classes.of(tokens, bins), _features(context, len(softmax.weights) // (1 + GROUP))
-            log_class = np.concatenate([softmax.log_p(features[:, k : k + SCORED], target[k : k + SCORED]) for k in range(0, len(tokens), SCORED)])
-            rare = c == 0
-            some_rare, where = np.unique(tokens[rare], return_inverse=True)
-            c[rare] = n_rare[np.searchsorted(rares, some_rare)][where]
-            in_class = np.where(target < n_single, 1.0, (c + 0.5) / of_bin[bins])
-            some_pairs, where = np.unique(_pairs(context[0], tokens), return_inverse=True)  # in order, they are found fast
-            at = np.searchsorted(pairs, some_pairs)[where]
-            p = share[at] + z[at] * np.exp(log_class.astype(np.float64)) * in_class
+            features = _features(context, softmax.features)
+            log_p = np.concatenate([softmax.log_p(features[:, k : k + SCORED], which[k : k + SCORED]) for k in range(0, len(tokens), SCORED)]).astype(np.float64)
+            rare, some = c == 0, classes.paired(which)
+            log_p += np.log(classes.shares(which, c))
+            if rare.any():
+                c[rare] = n_rare[np.searchsorted(rares, tokens[rare])]
+            some_pairs, where = np.unique(_pairs(context[0][some], which[some], tokens[some]), return_inverse=True)  # in order, they are found fast
+            log_p[some] += log_pair[np.searchsorted(pairs, some_pairs)][where]
             n_tokens += np.bincount(owner, minlength=many)
             n_known += np.bincount(owner[c > 0], minlength=many)
             base += np.bincount(owner, np.log10(c + 0.5), many)
-            score += np.bincount(owner, np.log10(p), many)
+            score += np.bincount(owner, log_p / math.log(10), many)
         done = []
-        for batch, n, known, base, score in out.values():
-            columns = [batch.column(0), batch.column(2), *map(pa.array, (n, known, np.full(len(n), total), base - n * math.log10(total + 0.5 * (types + 1)), score))]
+        for batch, n, n_known, base, score in out.values():
+            columns = [batch.column(0), batch.column(2), *map(pa.array, (n, n_known, np.full(len(n), total), base - n * math.log10(total + 0.5 * (types + 1)), score))]
             done.append(pa.RecordBatch.from_arrays(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         pa.default_memory_pool().release_unused()  # workers live on for other stages
         return pa.Table.from_batches(done)
 
-    asked = rows.mapInArrow(ask, bundled).union(_counted_pairs(training, shards)).union(counted.mapInArrow(dealt, bundled))
+    asked = rows.mapInArrow(ask, bundled).union(_counted_pairs(training, known, shards)).union(counted.mapInArrow(dealt, bundled))
     found = asked.groupBy("shard").applyInArrow(meet, bundled)
     both = rows.mapInArrow(bundle, bundled).union(found)
     return both.groupBy("batch").applyInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -518,46 +519,96 @@ def test_lm_scores(spark, rows, monkeypatch):
 
 
 def plain_scores(rows):
-    """log10 probability of every text, from dictionaries: pairs, then classes with two features, then shares of them."""
-    from silkweb.llm.common import word_hashes
+    """log10 probability of every text, from dictionaries: a softmax over groups and one over a group's classes, trained
+    token by token, and in each class weights of pairs, trained word by word. Only hashes are shared with the module."""
+    from silkweb.llm.common import mix, word_hashes
 
     held = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % 5 == 1
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    code = lambda w: np.array([maxent.END], np.uint64) if w is None else np.array([maxent.START], np.uint64) if w == 0 else word_hashes(np.frombuffer(w, np.uint8))[0]
-    c, pairs = collections.Counter(), collections.defaultdict(collections.Counter)
+    codes = {None: maxent.END, 0: maxent.START}
+    code = lambda w: codes[w] if w in codes else codes.setdefault(w, word_hashes(np.frombuffer(w, np.uint8))[0][0])
     train = [tokens(t) for k, t, *_ in rows if not held(k)]
-    for words_ in train:
-        c.update(words_)
-        for a, b in zip([0, *words_], words_):
-            pairs[a][b] += 1
-    ranked = sorted(c, key=lambda w: (-c[w], int(code(w).view(np.int64)[0])))
-    singles = sorted(ranked[: maxent.SINGLES], key=lambda w: int(code(w)[0]))
-    bin_ = lambda w: 0 if w is None else int(maxent.bin_of(np.array([(w[-1] + 1) * 256 + (w[-2] + 1 if len(w) > 1 else 0)]))[0])
-    class_ = lambda w: singles.index(w) if w in singles else len(singles) + bin_(w)
-    of_bin = [0.5] * maxent.BINS
+    c = collections.Counter(w for words_ in train for w in words_)
+    size = lambda w: math.floor(math.log2(c[w]) * 16)
+    least, frequent = math.inf, []
+    for k in sorted({size(w) for w in c if c[w] >= maxent.SEEN}, reverse=True):
+        some = [w for w in c if size(w) == k]
+        if len(frequent) + len(some) > maxent.FREQUENT:
+            break
+        frequent, least = frequent + some, k
+    g = min(max(2 ** round(math.log2(max(len(c), 1)) / 4), maxent.LEAST_GROUPS), maxent.MOST_GROUPS)
+    bins, rare = int(g * g * maxent.SINGLES), int(g * g * (maxent.SINGLES + maxent.BINS))
+    ranked = sorted(frequent, key=lambda w: (-c[w], int(code(w).view(np.int64))))[:bins]
+    single = {w: k for k, w in enumerate(sorted(ranked, key=lambda w: int(code(w))))}
+
+    @functools.cache
+    def class_(w):
+        tail = 0 if w is None else (w[-1] + 1) * 256 + (w[-2] + 1 if len(w) > 1 else 0)
+        h = int(mix(np.array([tail], np.uint64) + maxent._C)[0])
+        lo, hi = (bins, rare) if w in often else (rare, g * g)
+        return single.get(w, lo + h % (hi - lo))
+
+    often = set(frequent)
+    mass, types = np.zeros(g * g), collections.Counter(class_(w) for w in c)
     for w in c:
-        if w not in singles:
-            of_bin[bin_(w)] += c[w] + 0.5
-    softmax = maxent.Softmax(np.array([c[w] + 0.5 for w in singles] + of_bin))
-    size = 1 << min(max((len(c) // 4).bit_length(), maxent.LEAST_ROWS.bit_length() - 1), maxent.MOST_ROWS.bit_length() - 1)
-    feature = lambda a, b: maxent._features((code(a), code(b)), size)
-    met = np.zeros((size, 64), np.int64)
+        mass[class_(w)] += c[w]
+    mass[rare:] += 0.5
+    share = lambda w: 1.0 if w in single else c[w] / mass[class_(w)] if w in often else 1 / (types[class_(w)] + 1)
+    features = 1 << min(max(len(c) // 4, maxent.LEAST_ROWS).bit_length(), int(maxent.MOST_CELLS // (g + g * g)).bit_length() - 1)
+
+    @functools.cache
+    def feature(v, u):
+        one, two = maxent._features((np.array([code(v)]), np.array([code(u)])), features)
+        return int(one[0]), int(two[0])
+
+    prior = np.maximum(mass / mass.sum(), 1e-9).reshape(g, g)
+    over, within = np.zeros((features, g)), np.zeros((features, g, g))
+
+    def softmax(z):
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def p_of(rows_, group):
+        first = softmax(np.log(prior.sum(1) / prior.sum()) + sum(over[r] for r in rows_))
+        return first, softmax(np.log(prior[group] / prior[group].sum()) + sum(within[r, group] for r in rows_))
+
+    events = collections.Counter((feature(v, u), class_(w)) for words_ in train for u, v, w in zip([0, 0, *words_], [0, *words_], words_))
+    for _ in range(maxent.ROUNDS):
+        seen, due = [np.zeros_like(over), np.zeros_like(within)], [np.zeros_like(over), np.zeros_like(within)]
+        for (rows_, k), n in events.items():
+            group, own = divmod(k, g)
+            first, second = p_of(rows_, group)
+            for r in rows_:
+                seen[0][r, group] += n
+                seen[1][r, group, own] += n
+                due[0][r] += n * first
+                due[1][r, group] += n * second
+        for w_, o, e in zip((over, within), seen, due):
+            w_ += maxent.RATE * (o - e - maxent.DAMPING * w_) / ((o + e) / 2 + maxent.DAMPING)
+
+    pairs = collections.defaultdict(collections.Counter)
     for words_ in train:
-        for two, one, w in zip([0, 0, *words_], [0, *words_], words_):
-            for row in feature(one, two):
-                met[row[0], class_(w)] += 1
-    softmax.update(met)
+        for v, w in zip([0, *words_], words_):
+            if w not in single:
+                pairs[v, class_(w)][w] += 1
+    weight, log_z = {}, {}
+    for at, followers in pairs.items():
+        n, q = np.array(list(followers.values()), float), np.array([share(w) for w in followers])
+        theta, z = np.zeros(len(n)), 1.0
+        for _ in range(maxent.PAIR_ROUNDS):
+            due = n.sum() * q * np.exp(theta) / z
+            theta += (n - due - maxent.PAIR_DAMPING * theta) / ((n + due) / 2 + maxent.PAIR_DAMPING)
+            z = max(1 + (q * (np.exp(theta) - 1)).sum(), 1e-12)
+        weight[at], log_z[at] = dict(zip(followers, theta)), math.log(z)
 
     def score(words_):
         total = 0.0
-        for two, one, w in zip([0, 0, *words_], [0, *words_], words_):
-            p = math.exp(softmax.log_p(feature(one, two), np.array([class_(w)]))[0]) * (1 if w in singles else (c[w] + 0.5) / of_bin[bin_(w)])
-            after = pairs.get(one)
-            if after:
-                n = sum(after.values())
-                p = max(after.get(w, 0) - maxent.DISCOUNT, 0) / n + maxent.DISCOUNT * len(after) / n * p
-            total += math.log10(p)
-        return total
+        for u, v, w in zip([0, 0, *words_], [0, *words_], words_):
+            group, own = divmod(class_(w), g)
+            first, second = p_of(feature(v, u), group)
+            total += math.log(first[group]) + math.log(second[own]) + math.log(share(w))
+            if w not in single:
+                total += weight.get((v, class_(w)), {}).get(w, 0.0) - log_z.get((v, class_(w)), 0.0)
+        return total / math.log(10)
 
     return [score(tokens(t)) for _, t, *_ in rows]
 
@@ -593,12 +644,51 @@ def test_lm_tells_texts_that_occur_twice(spark):
 
 def test_lm_probabilities_add_up():
     rng = np.random.default_rng(0)
-    softmax = maxent.Softmax(rng.uniform(1, 9, 60))
+    softmax = maxent.Softmax(rng.uniform(1, 9, 64), 8, 4)
+    softmax.weights = rng.normal(size=softmax.weights.shape).astype(np.float32)
     features = np.tile(np.array([[1], [3]]), (1, 64))
-    softmax.weights = np.zeros((8 * (1 + maxent.GROUP), maxent.GROUP), np.float32)
     assert np.allclose(np.exp(softmax.log_p(features, np.arange(64))).sum(), 1)
-    softmax.update(rng.integers(0, 50, (8, 64)))
-    assert abs(np.exp(softmax.log_p(features, np.arange(64))).sum() - 1) < 1e-5
+
+
+def test_lm_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    softmax = maxent.Softmax(rng.uniform(1, 9, 16), 4, 8)
+    softmax.weights = rng.normal(size=softmax.weights.shape)
+    features, target, n = rng.integers(0, 8, (2, 50)), rng.integers(0, 16, 50), rng.integers(1, 5, 50)
+    seen, expected = np.zeros(softmax.weights.shape), np.zeros(softmax.weights.shape)
+    softmax.meet(seen, features, target, n)
+    softmax.expect(expected, features, target, n)
+    for _ in range(30):
+        at = tuple(rng.integers(0, x) for x in softmax.weights.shape)
+        moved = []
+        for step in (1e-3, -2e-3):
+            softmax.weights[at] += step
+            moved.append((n * softmax.log_p(features, target)).sum())
+        softmax.weights[at] += 1e-3
+        assert abs((moved[0] - moved[1]) / 2e-3 - (seen - expected)[at]) < 1e-2
+
+
+def test_lm_likelihood_rises_round_by_round(spark):
+    rng = random.Random(21)
+    frame = docs(spark, [(k, " ".join(rng.choice(WORDS[k % 3 :: 3]) for _ in range(80)), "en", "a") for k in range(200)])
+    counted = maxent.word_counts(frame.select("text"))
+    classes, softmax = maxent._model(counted, counted.count())
+    gained = maxent.trained(frame.select("text"), classes, softmax, rounds=5)
+    assert len(gained) == 5 and all(a < b for a, b in zip(gained, gained[1:])) and gained[-1] < 0
+
+
+def test_lm_pair_weights_settle_and_add_up():
+    rng = np.random.default_rng(2)
+    group = np.repeat(np.arange(40), rng.integers(1, 9, 40)).astype(np.uint64)
+    n, q = rng.integers(1, 50, len(group)), rng.uniform(0.001, 0.1, len(group))
+    weights, first, log_z = maxent.pair_weights(group, n, q)
+    own = np.searchsorted(group[first], group)
+    p = q * np.exp(weights) / np.exp(log_z)[own]
+    rest = (1 - np.add.reduceat(q, first)) / np.exp(log_z)
+    assert np.allclose(np.add.reduceat(p, first) + rest, 1)
+    gradient = n - np.add.reduceat(n, first)[own] * p - maxent.PAIR_DAMPING * weights
+    assert np.abs(gradient / n).max() < 0.1
+
 
 
 # --- quality -----------------------------------------------------------------------------------------------------------
