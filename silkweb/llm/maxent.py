@@ -30,11 +30,11 @@ from silkweb.llm.common import bundled, bundles, distinct, mix, packed_row, row_
 from silkweb.sources.shared import written
 
 #: Groups, and classes of a group: a power of two near the fourth root of the number of words, within these.
-LEAST_GROUPS, MOST_GROUPS = 4, 16
+LEAST_GROUPS, MOST_GROUPS = 4, 8
 #: Shares of the classes for words of their own, for endings of frequent words, and (the rest) for endings of rare ones.
 SINGLES, BINS = 1 / 2, 3 / 8
 #: Features of the softmax: a quarter of the different words in training, LEAST_ROWS at least, MOST_CELLS weights at most.
-LEAST_ROWS, MOST_CELLS = 1 << 10, 1 << 22
+LEAST_ROWS, MOST_CELLS = 1 << 10, 1 << 21
 #: Gradient steps of the softmax, each over all training texts, and of the pairs' weights, within their shard.
 ROUNDS, PAIR_ROUNDS = 3, 12
 #: Share of a step that the softmax takes: two features meet in every token, so that halves never overshoot.
@@ -52,6 +52,8 @@ BLOCK = 1 << 16
 #: Bytes of text that are packed together, and shards of pairs and rare words, each for so many bytes of texts.
 BATCH_BYTES = 6 << 20
 SHARD_BYTES = 8 << 20
+#: Weights of pairs, less log Z, come back in steps of one in so many.
+FINE = 1 << 10
 #: Bits of the word before with the class, and of the word in its class, in a pair's hash.
 BEFORE_BITS, WORD_BITS = 44, 20
 #: The word that ends a text, and the one before its first. No text holds them: words are hashed, these are reserved.
@@ -507,7 +509,8 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 continue
             asked, _ = _unpack(payload.as_py())
             if which == 0:
-                values = (_found(pairs, weights, asked) - _found(group[first], log_z, asked >> np.uint64(WORD_BITS))).astype(np.float32)
+                values = (_found(pairs, weights, asked) - _found(group[first], log_z, asked >> np.uint64(WORD_BITS))) * FINE
+                values = np.clip(np.rint(values), -(1 << 15), (1 << 15) - 1).astype(np.int16)
             else:
                 values = _found(words, of_word, asked).astype(np.uint32)
             out["shard"].append(int(table.column("shard")[0].as_py()))
@@ -521,9 +524,10 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         out = [np.empty(0, kind)]
+        wide = np.dtype(kind).itemsize
         for _, data in sorted(rows):
             size = int(np.frombuffer(data, np.int64, 1)[0])
-            out.append(np.ascontiguousarray(np.frombuffer(pa.decompress(data[8:], size * 4, "zstd", asbytes=True), np.uint8).reshape(4, size).T).view(kind).ravel())
+            out.append(np.ascontiguousarray(np.frombuffer(pa.decompress(data[8:], size * wide, "zstd", asbytes=True), np.uint8).reshape(wide, size).T).view(kind).ravel())
         return np.concatenate(out)
 
     def finish(table):
@@ -532,7 +536,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         softmax, classes = shared.value, known.value
         rows = list(zip(table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("payload")))
         texts = list(pa.ipc.open_stream(next(p for k, _, p in rows if k == 3).as_py()))
-        log_pair = answers([(s, p.as_py()) for k, s, p in rows if k == 0], np.float32)
+        log_pair = answers([(s, p.as_py()) for k, s, p in rows if k == 0], np.int16) / FINE
         n_rare = answers([(s, p.as_py()) for k, s, p in rows if k == 1], np.uint32)
         parts = list(runs(texts))
         pairs, rares = wanted(parts)
