@@ -44,14 +44,18 @@ DAMPING, PAIR_DAMPING = 1.0, 0.1
 #: Tokens after which the events of training are packed.
 PACKED = 1 << 20
 #: Tokens of a step of scoring.
-SCORED = 1 << 14
+SCORED = 1 << 13
 #: Words whose counts go to every task, at most, and how often they occur at least; the others are rare.
 FREQUENT, SEEN = 1 << 16, 2
+#: Numbers that ``hashed_words`` makes of the last two bytes of a word are less.
+TAILS = (257 << 8) + 1
 #: Cells of the gradient that are added up together.
 BLOCK = 1 << 16
 #: Bytes of text that are packed together, and shards of pairs and rare words, each for so many bytes of texts.
 BATCH_BYTES = 6 << 20
 SHARD_BYTES = 8 << 20
+#: Pairs of training texts that a task holds before it sends them to their shards.
+HELD_PAIRS = 2_000_000
 #: Weights of pairs, less log Z, come back in steps of one in so many.
 FINE = 1 << 10
 #: Bits of the word before with the class, and of the word in its class, in a pair's hash.
@@ -103,6 +107,24 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return np.where(keys[at] == wanted, values[at], 0)
 
 
+class Hashes:
+    """Ordered hashes, found by their first bits: a binary search of so many misses the cache at every step."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = min(max(4 * len(keys), 1).bit_length(), 24)
+        self.keys, self.shift = np.concatenate((keys, [np.uint64(2**64 - 1)])), np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each of ``wanted`` lies, -1 where it doesn't."""
+        at = self.first[(wanted >> self.shift).view(np.int64)]
+        less = np.flatnonzero(self.keys[at] < wanted)
+        while len(less):
+            at[less] += 1
+            less = less[self.keys[at[less]] < wanted[less]]
+        return np.where((self.keys[at] == wanted) & (at < len(self.keys) - 1), at, -1)
+
+
 class Classes:
     """Class of each word: its own for the most frequent, else by its ending, apart for frequent and rare words."""
 
@@ -114,20 +136,19 @@ class Classes:
         self.frequent, self.often = frequent, often
         self.words = np.sort(frequent[np.lexsort((frequent.view(np.int64), -often))[: self.first_bin]])
         self.of_class, self.types = np.zeros(self.n), np.zeros(self.n)
-
-    def bins(self, tails: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        h = mix(tails.astype(np.uint64) + _C)
-        some = self.first_bin + (h % np.uint64(self.first_rare - self.first_bin)).astype(np.int64)
-        return np.where(rare, self.first_rare + (h % np.uint64(self.n - self.first_rare)).astype(np.int64), some)
+        self.hashes = Hashes(frequent)
+        # By place among the frequent ones, with a last place for all others: counts, and classes of one's own, else -1.
+        self.often_at, self.own = np.append(often, 0.0), np.full(len(frequent) + 1, -1)
+        self.own[np.searchsorted(frequent, self.words)] = np.arange(len(self.words))
+        h = mix(np.arange(TAILS, dtype=np.uint64) + _C)
+        self.often_bins = self.first_bin + (h % np.uint64(self.first_rare - self.first_bin)).astype(np.int64)
+        self.rare_bins = self.first_rare + (h % np.uint64(self.n - self.first_rare)).astype(np.int64)
 
     def of(self, tokens: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes of tokens, and the counts of the frequent ones among them, else 0."""
-        c = _found(self.frequent, self.often, tokens)
-        out = self.bins(tails, c == 0)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-            out = np.where(self.words[at] == tokens, at, out)
-        return out, c
+        at = self.hashes.find(tokens)
+        own = self.own[at]
+        return np.where(own >= 0, own, np.where(at >= 0, self.often_bins[tails], self.rare_bins[tails])), self.often_at[at]
 
     def paired(self, classes: np.ndarray) -> np.ndarray:
         """Whether words of a class have weights for pairs."""
@@ -140,12 +161,6 @@ class Classes:
         return np.where(classes < self.first_rare, frequent, 1 / (self.types[classes] + 1))
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
 def _step(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, damping: float) -> np.ndarray:
     """What a gradient step adds to weights: the gradient, with the prior's part, over the mean of seen and expected."""
     return (seen - expected - damping * weights) / ((seen + expected) / 2 + damping)
@@ -165,42 +180,52 @@ class Softmax:
         self.class_prior = np.log(square / square.sum(1, keepdims=True)).astype(np.float32)
         self.weights = np.zeros((features * (1 + groups), groups), np.float32)
 
-    def logs(self, features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Logarithms of the groups' probabilities, of those of the classes of ``group``, and the rows of weights."""
-        first = features * (1 + self.groups)
-        second = first + 1 + group
-        z1 = self.weights[first[0]] + self.weights[first[1]] + self.group_prior
-        z2 = self.weights[second[0]] + self.weights[second[1]] + self.class_prior[group]
-        return _log_softmax(z1), _log_softmax(z2), (first, second)
+    def _parts(self, features: np.ndarray, target: np.ndarray):
+        """For SCORED targets at a time, and for groups, then for the classes of the target's group: the slice, the
+        logarithms of probabilities before they are divided by their sums, a row for each group or class, and the sums."""
+        group, own = np.divmod(target, self.groups)
+        for k in range(0, len(target), SCORED):
+            part = slice(k, k + SCORED)
+            first = features[:, part] * (1 + self.groups)
+            for level, rows, wanted in ((0, first, group[part]), (1, first + 1 + group[part], own[part])):
+                z = self.weights.take(rows[0], axis=0)
+                z += self.weights.take(rows[1], axis=0)
+                z += self.class_prior.take(group[part], axis=0) if level else self.group_prior
+                z = np.ascontiguousarray(z.T)  # sums over few long rows, not within many short ones
+                z -= z.max(axis=0)
+                log_p = z[wanted, np.arange(z.shape[1])]
+                np.exp(z, out=z)
+                total = z.sum(axis=0)
+                yield part, level, z, total, log_p - np.log(total)
 
     def log_p(self, features: np.ndarray, target: np.ndarray) -> np.ndarray:
-        group, own = np.divmod(target, self.groups)
-        z1, z2, _ = self.logs(features, group)
-        at = np.arange(len(target))
-        return z1[at, group] + z2[at, own]
+        out = np.zeros(len(target), self.weights.dtype)
+        for part, _, _, _, log_p in self._parts(features, target):
+            out[part] += log_p
+        return out
 
     def expect(self, out: np.ndarray, features: np.ndarray, target: np.ndarray, n: np.ndarray) -> float:
         """Add to ``out`` (as the weights lie) how often each feature should meet each group and class, for targets that
         occur n times each; their log-likelihood."""
-        group, own = np.divmod(target, self.groups)
-        z1, z2, rows = self.logs(features, group)
-        at = np.arange(len(target))
-        gained = float((n * (z1[at, group] + z2[at, own])).sum())
-        for z, which in ((z1, rows[0]), (z2, rows[1])):
-            p = np.exp(z) * n[:, None].astype(np.float32)
-            for row in which:
-                order = np.argsort(row, kind="stable")
-                row = row[order]
-                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                out[row[first]] += np.add.reduceat(p[order], first, axis=0)
+        group, gained = target // self.groups, 0.0
+        p = np.empty((2, self.groups, len(target)), self.weights.dtype)
+        for part, level, z, total, log_p in self._parts(features, target):
+            np.multiply(z, n[part] / total, out=p[level, :, part], casting="same_kind")
+            gained += float((n[part] * log_p).sum())
+        by_group = out.reshape(self.features, 1 + self.groups, self.groups)
+        for which in features:
+            both = which * self.groups + group
+            for k in range(self.groups):
+                by_group[:, 0, k] += np.bincount(which, p[0, k], self.features)
+                by_group[:, 1:, k] += np.bincount(both, p[1, k], self.features * self.groups).reshape(self.features, self.groups)
         return gained
 
     def meet(self, out: np.ndarray, features: np.ndarray, target: np.ndarray, n: np.ndarray) -> None:
         """Add to ``out`` how often each feature met each group and class."""
         group, own = np.divmod(target, self.groups)
         for row in features * (1 + self.groups):
-            np.add.at(out, (row, group), n)
-            np.add.at(out, (row + 1 + group, own), n)
+            for cell in (row * self.groups + group, (row + 1 + group) * self.groups + own):
+                out += np.bincount(cell, n, out.size).reshape(out.shape)
 
 
 def _events(training: DataFrame, classes: Classes, features: int) -> DataFrame:
@@ -242,9 +267,9 @@ def _added(events: DataFrame, softmax: Softmax, what: str) -> tuple[np.ndarray,
             for payload in batch.column(0):
                 every, n = _unpack(payload.as_py())
                 every = every.view(np.int64)
-                for k in range(0, len(every), SCORED):
-                    some = every[k : k + SCORED]
-                    gained += getattr(model, what)(out, np.stack((some >> 40, some >> 16 & 0xFFFFFF)), some & 0xFFFF, n[k : k + SCORED]) or 0.0
+                for k in range(0, len(every), PACKED):
+                    some = every[k : k + PACKED]
+                    gained += getattr(model, what)(out, np.stack((some >> 40, some >> 16 & 0xFFFFFF)), some & 0xFFFF, n[k : k + PACKED]) or 0.0
         flat = out.ravel().astype(np.float32)
         for k in range(0, len(flat), BLOCK):
             if flat[k : k + BLOCK].any():
@@ -366,37 +391,16 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return hashes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(hashes)).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
-def _counted_pairs(training: DataFrame, classes, shards: int) -> DataFrame:
-    """(shard, batch, kind 2, payload): pairs of the training texts, how often each occurs and its word, in parts."""
-
-    def run(batches):
-        parts, held = [], 0
-
-        def rows():
-            hashes, n = _summed(parts)
-            # Of each pair, the count of its word, which the shard makes the share of the class from.
-            share = np.empty(len(hashes), np.float32)
-            for some, _, q in parts:
-                share[np.searchsorted(hashes, some)] = q
-            edge = _by_shard(hashes, shards)
-            for s in np.flatnonzero(np.diff(edge)):
-                part = slice(edge[s], edge[s + 1])
-                yield packed_row(int(s), -1, 2, _pack(hashes[part], n[part], share[part]))
-
-        for batch in batches:
-            for _, tokens, tails, counts in _token_runs(batch.column(0)):
-                which, c = classes.value.of(tokens, tails)
-                some = classes.value.paired(which)
-                pairs, at, n = np.unique(_pairs(_before(tokens, counts)[0][some], which[some], tokens[some]), return_index=True, return_counts=True)
-                parts.append((pairs, n, classes.value.shares(which[some][at], c[some][at]).astype(np.float32)))
-                held += len(pairs)
-            if held > 2_000_000:
-                yield from rows()
-                parts, held = [], 0
-        if parts:
-            yield from rows()
-
-    return training.mapInArrow(run, bundled)
+def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int) -> Iterator:
+    """Rows (shard, batch, kind 2, payload) of pairs, how often each occurs and its word's share of the class."""
+    hashes, n = _summed(parts)
+    share = np.empty(len(hashes), np.float32)
+    for some, _, q in parts:
+        share[np.searchsorted(hashes, some)] = q
+    edge = _by_shard(hashes, shards)
+    for s in np.flatnonzero(np.diff(edge)):
+        part = slice(edge[s], edge[s + 1])
+        yield packed_row(int(s), -1, 2, _pack(hashes[part], n[part], share[part]))
 
 
 def _model(counted: DataFrame, types: int) -> tuple[Classes, Softmax]:
@@ -454,21 +458,35 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 which, c = known.value.of(tokens, tails)
                 yield batch, first, tokens, which, counts, c
 
-    def wanted(parts) -> tuple[np.ndarray, np.ndarray]:
-        """Different pairs and rare words of a batch's runs, in order."""
-        pairs, rares = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for _, _, tokens, which, counts, c in parts:
-            some = known.value.paired(which)
-            pairs.append(distinct(_pairs(_before(tokens, counts)[0][some], which[some], tokens[some])))
-            rares.append(distinct(tokens[c == 0]))
-        return distinct(*pairs), distinct(*rares)
+    def pairs_of(tokens: np.ndarray, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens have weights for pairs, and their pairs."""
+        some = known.value.paired(which)
+        return some, _pairs(_before(tokens, counts)[0][some], which[some], tokens[some])
 
     def ask(batches: Iterator) -> Iterator:
+        """What each batch asks the shards for, and the pairs of the training texts among it, counted in parts: one reading
+        of the words serves both."""
+        parts, held = [], 0
         for number, table in bundles(batches, 1, BATCH_BYTES):
-            for which, hashes in enumerate(wanted(runs(table))):
+            wanted = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for batch, first, tokens, which, counts, c in runs(table):
+                some, pairs = pairs_of(tokens, which, counts)
+                wanted[0].append(distinct(pairs))
+                wanted[1].append(distinct(tokens[c == 0]))
+                learnt = ~np.asarray(batch.column(2).slice(first, len(counts)).to_numpy(zero_copy_only=False), bool)
+                of = np.flatnonzero(some)[mine := np.repeat(learnt, counts)[some]]
+                pairs, at, n = np.unique(pairs[mine], return_index=True, return_counts=True)
+                parts.append((pairs, n, known.value.shares(which[of[at]], c[of[at]]).astype(np.float32)))
+                held += len(pairs)
+            for kind, hashes in enumerate(distinct(*x) for x in wanted):
                 edge = _by_shard(hashes, shards)
                 for s in np.flatnonzero(np.diff(edge)):
-                    yield packed_row(int(s), number, which, _pack(hashes[edge[s] : edge[s + 1]]))
+                    yield packed_row(int(s), number, kind, _pack(hashes[edge[s] : edge[s + 1]]))
+            if held > HELD_PAIRS:
+                yield from _counted(parts, shards)
+                parts, held = [], 0
+        if held:
+            yield from _counted(parts, shards)
 
     def bundle(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -539,7 +557,8 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         log_pair = answers([(s, p.as_py()) for k, s, p in rows if k == 0], np.int16) / FINE
         n_rare = answers([(s, p.as_py()) for k, s, p in rows if k == 1], np.uint32)
         parts = list(runs(texts))
-        pairs, rares = wanted(parts)
+        pairs = distinct(np.empty(0, np.uint64), *(distinct(pairs_of(tokens, which, counts)[1]) for _, _, tokens, which, counts, _ in parts))
+        rares = distinct(np.empty(0, np.uint64), *(distinct(tokens[c == 0]) for _, _, tokens, _, _, c in parts))
         if len(pairs) != len(log_pair) or len(rares) != len(n_rare):
             raise RuntimeError("texts changed between two readings of one partition")
         out = {}
@@ -550,7 +569,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             many, owner = batch.num_rows, np.repeat(np.arange(first, first + len(counts)), counts)
             context = _before(tokens, counts)
             features = _features(context, softmax.features)
-            log_p = np.concatenate([softmax.log_p(features[:, k : k + SCORED], which[k : k + SCORED]) for k in range(0, len(tokens), SCORED)]).astype(np.float64)
+            log_p = softmax.log_p(features, which).astype(np.float64)
             rare, some = c == 0, classes.paired(which)
             log_p += np.log(classes.shares(which, c))
             if rare.any():
@@ -568,7 +587,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         pa.default_memory_pool().release_unused()  # workers live on for other stages
         return pa.Table.from_batches(done)
 
-    asked = rows.mapInArrow(ask, bundled).union(_counted_pairs(training, known, shards)).union(counted.mapInArrow(dealt, bundled))
+    asked = rows.mapInArrow(ask, bundled).union(counted.mapInArrow(dealt, bundled))
     found = asked.groupBy("shard").applyInArrow(meet, bundled)
     both = rows.mapInArrow(bundle, bundled).union(found)
     return both.groupBy("batch").applyInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -642,6 +642,30 @@ def test_lm_tells_texts_that_occur_twice(spark):
     assert len(twice) > 10 and min(twice) > max(once)
 
 
+def test_lm_reads_training_words_four_times(spark, monkeypatch):
+    """For counts, for events, for pairs together with what is asked, and for scores; those left out for the last two."""
+    rng = random.Random(6)
+    made = [(k, words(rng, 30), "en", "a") for k in range(100)]
+    seen, plain = spark.sparkContext.accumulator(0), maxent._token_runs
+
+    def counted(column):
+        for run in plain(column):
+            seen.add(len(run[1]))
+            yield run
+
+    monkeypatch.setattr(maxent, "_token_runs", counted)
+    got = collected(maxent.scores(docs(spark, made)))
+    assert seen.value == sum(r["n_tokens"] * (2 if r["held_out"] else 4) for r in got)
+
+
+def test_lm_finds_hashes():
+    rng = np.random.default_rng(3)
+    for keys in (np.empty(0, np.uint64), np.sort(rng.integers(0, 2**64, 5000, np.uint64)), np.arange(50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)):
+        at = maxent.Hashes(keys).find(np.concatenate((keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64))))
+        places = {int(k): i for i, k in enumerate(keys)}
+        assert at.tolist() == [places.get(int(w), -1) for w in np.concatenate((keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)))]
+
+
 def test_lm_probabilities_add_up():
     rng = np.random.default_rng(0)
     softmax = maxent.Softmax(rng.uniform(1, 9, 64), 8, 4)
