@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silkweb.functions.batches import small_batches
 from silkweb.functions.content import parse_strict, stringify
 from silkweb.operators.rules import route
 from silkweb.sources.shared import shared_dir, written
@@ -51,6 +52,7 @@ def _record(url, content, data, extra, indent) -> str:
 
 def rendered(records: DataFrame, form: str) -> DataFrame:
     """(file, line) pieces of the files, with url and seq to order them by. Unknown forms count as json."""
+    small_batches(records.sparkSession)
     if form == "lines":
         line = F.concat_ws(" ", "url", F.coalesce("content", F.lit("")))
     else:
@@ -140,6 +142,7 @@ def save_json(queue: DataFrame, records: DataFrame, directory: str) -> dict[str,
     each. Executors print and write them in parts, as they do the routed files."""
     from silkweb.sources.store import write_text
 
+    small_batches(queue.sparkSession)
     entry = _saved_entry("url", "file", F.col("status").cast("int"), "error", "skipped", "referrer", "depth")
     record = _saved_record("url", "content", "crawled_at", "data", "hash", "extra")
     counts = {}

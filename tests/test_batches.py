@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silkweb.plans import queries
+from silkweb.plans import output, queries
 from tests.same import SF
 
 
@@ -32,3 +32,21 @@ def test_batches_are_bounded_by_bytes(spark, largest, name):
     queries.queries()[name](spark, SF)
     size, rows = largest()
     assert size < 6 << 20 and rows <= 4096
+
+
+def test_batches_of_records_are_bounded(spark, largest):
+    frame = spark.range(1).select(F.lit("f").alias("file"), F.lit("u").alias("url"), F.col("id").alias("seq"), *(F.lit(None).cast("string").alias(c) for c in ("content", "data")), F.lit(None).cast("map<string,string>").alias("extra"))
+    output.rendered(frame, "json")
+    assert largest()[1] <= 4096
+
+
+def test_urls_of_files_are_normalised_once(spark, monkeypatch):
+    frames, plain = [], output.format_records
+
+    def format_records(records, *rest):
+        frames.append(records)
+        return plain(records, *rest)
+
+    monkeypatch.setattr(output, "format_records", format_records)
+    assert queries.output_json(spark, SF).count() > 0
+    assert "ArrowEvalPython" not in frames[0]._jdf.queryExecution().executedPlan().toString()
