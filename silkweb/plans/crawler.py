@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silkweb.functions.batches import small_batches
 from silkweb.functions.content import content_kind, gate_passes, parse_json, parse_strict, skip_reason, stringify, to_text
 from silkweb.functions.html import extract_text, links_of, parse_html, stripped, text_of
 from silkweb.functions.patterns import admitted
@@ -92,6 +93,7 @@ def parsed(passed: DataFrame, config: Mapping, hooks: Mapping[str, list] | None
                     out.append((row.seq, row.url, None, None, None, None, [], str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=_PARSED.names)
 
+    small_batches(passed.sparkSession)
     return passed.select("seq", "url", "depth", "referrer", "data", "status", "headers", "kind", "rule").mapInPandas(run, _PARSED)
 
 
@@ -116,6 +118,7 @@ def watched(answers: DataFrame, hooks: list) -> DataFrame:
                 out.append([row[c] for c in columns])
             yield pd.DataFrame(out, columns=columns)
 
+    small_batches(answers.sparkSession)
     return answers.mapInPandas(run, schema)
 
 

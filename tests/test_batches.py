@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silkweb.plans import output, queries
+from silkweb.plans import crawl_queries, output, queries
 from tests.same import SF
 
 
@@ -27,9 +27,9 @@ def largest(spark):
         spark.conf.set(name, value)
 
 
-@pytest.mark.parametrize("name", ["faulty_pages", "extract_text", "discover_links", "parse_json_pretty", "parse_sitemap"])
+@pytest.mark.parametrize("name", ["faulty_pages", "parsed_bodies", "extract_text", "discover_links", "parse_json_pretty", "parse_sitemap"])
 def test_batches_are_bounded_by_bytes(spark, largest, name):
-    queries.queries()[name](spark, SF)
+    (crawl_queries if name == "parsed_bodies" else queries).queries()[name](spark, SF)
     size, rows = largest()
     assert size < 6 << 20 and rows <= 4096
 
